@@ -208,7 +208,9 @@ def catalogue() -> dict[str, Feature]:
     add("minimum", "lo")
     add("absolute_maximum", "greatest(abs(hi), abs(lo))")
     add("abs_energy", ENERGY)
-    add("variation_coefficient", f"try_divide({SD}, {MEAN})")
+    # a mean within rounding noise of the values counts as zero
+    noise = "1e-12D * greatest(abs(hi), abs(lo))"
+    add("variation_coefficient", f"CASE WHEN abs({MEAN}) > {noise} THEN {SD} / {MEAN} END")
     add("variance_larger_than_standard_deviation", f"var > {SD}")
     add("skewness", _skewness(), "s3")
     add("kurtosis", _kurtosis(), "s3", "s4")

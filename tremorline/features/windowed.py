@@ -234,7 +234,8 @@ def fourier_coefficients(frames: Frames, names: list[str], kinds: list[str] | No
                         if order in wanted:
                             real.append(total.real)
                             imag.append(total.imag)
-                    parts.append({**record, "end": end, "real": real, "imag": imag})
+                    mass = np.abs(inside + origin).sum()
+                    parts.append({**record, "end": end, "mass": mass, "real": real, "imag": imag})
                     if len(parts) == 256:
                         yield pd.DataFrame(parts)
                         parts = []
@@ -244,17 +245,20 @@ def fourier_coefficients(frames: Frames, names: list[str], kinds: list[str] | No
     wanted = set(orders)
     fields = {f.name: f.dataType for f in blocks.schema}
     schema = T.StructType([T.StructField(k, fields[k]) for k in keys])
+    schema = schema.add("mass", T.DoubleType())
     schema = schema.add("real", T.ArrayType(T.DoubleType())).add("imag", T.ArrayType(T.DoubleType()))
     sums = (
         blocks.mapInPandas(contribute, schema)
-        .select(*keys, F.posexplode(F.arrays_zip("real", "imag")).alias("i", "z"))
+        .select(*keys, "mass", F.posexplode(F.arrays_zip("real", "imag")).alias("i", "z"))
         .groupBy(*keys, "i")
-        .agg(F.sum("z.real").alias("re"), F.sum("z.imag").alias("im"))
+        .agg(F.sum("z.real").alias("re"), F.sum("z.imag").alias("im"), (F.sum("mass") * 1e-12).alias("noise"))
     )
     order = F.get(F.array(*[F.lit(k) for k in orders]), c("i"))
-    # order zero and the highest order of an even window are real
-    im = F.when((order == 0) | (order * 2 == c("end")), 0.0).otherwise(c("im"))
-    parts = {"real": c("re"), "imag": im, "abs": F.sqrt(c("re") * c("re") + im * im), "angle": F.degrees(F.atan2(im, c("re")))}
+    # order zero and the highest order of an even window are real; rounding noise is zero
+    two_sided = (order > 0) & (order * 2 < c("end")) & (F.abs("im") > c("noise"))
+    im = F.when(two_sided, c("im")).otherwise(0.0)
+    re = F.when(F.abs("re") > c("noise"), c("re")).otherwise(0.0)
+    parts = {"real": re, "imag": im, "abs": F.sqrt(re * re + im * im), "angle": F.degrees(F.atan2(im, re))}
     pairs = F.array(
         *[
             F.struct(

@@ -119,3 +119,29 @@ def with_halo(rows: DataFrame, reach: int, size: int = BLOCK_ROWS) -> DataFrame:
     near_end = F.pmod(F.col("pos"), F.lit(size)) >= size - reach
     copies = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
     return rows.withColumn("_block", F.explode(copies)).withColumn("_halo", F.col("_block") != own)
+
+
+def running_sum(df: DataFrame, keys: tuple[str, ...], order: str, values: tuple[str, ...]) -> DataFrame:
+    """Add ``before_<value>``: the sum of ``value`` over the earlier rows of the same key.
+
+    Rows are range-partitioned and staged; sums inside a partition are completed by the
+    totals of the partitions before it.
+    """
+    ordering = [*keys, order]
+    ranged = stage(
+        df.repartitionByRange(*ordering)
+        .sortWithinPartitions(*ordering)
+        .withColumn("_rid", F.monotonically_increasing_id()),
+        "ranged",
+    ).withColumn("_part", F.shiftright("_rid", _LOCAL_BITS))
+    totals = ranged.groupBy("_part", *keys).agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
+    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(
+        "_part", *keys, *[F.coalesce(F.sum(f"_total_{v}").over(earlier), F.lit(0)).alias(f"_base_{v}") for v in values]
+    )
+    inside = Window.partitionBy("_part", *keys).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {
+        f"before_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_base_{v}") for v in values
+    }
+    return ranged.join(stage(bases, "bases"), ["_part", *keys]).withColumns(sums).select(*df.columns, *sums)

@@ -69,12 +69,17 @@ def long_windows(spark: SparkSession, sf_dir: str) -> Frames:
     return expanding(prepared(spark, sf_dir, long_sensor), LONG_MIN_TIMESHIFT, LONG_STEP)
 
 
+# Six decimals; the factor moves values off exact rounding ties, where two engines with
+# a different summation order may disagree.
+_OFF_TIES = "1.000000001"
+
+
 def rounded(value: Column) -> Column:
-    return F.when(F.abs(value) < 5e-7, 0.0).otherwise(F.round(value, 6))
+    return F.when(F.abs(value) < 5e-7, 0.0).otherwise(F.round(value * float(_OFF_TIES), 6))
 
 
 def r6(expression: str) -> str:
-    return f"CASE WHEN abs({expression}) < 5e-7 THEN 0.0 ELSE round({expression}, 6) END"
+    return f"CASE WHEN abs({expression}) < 5e-7 THEN 0.0 ELSE round(({expression}) * CAST({_OFF_TIES} AS DOUBLE), 6) END"
 
 
 SENSOR = """sensor AS (

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tremorline.verification import features
+from tremorline.verification import features, learning, series
 from tremorline.verification.base import Query
+from tremorline.verification.series import flagship
 
-
-def build() -> dict[str, Query]:
-    return {**features.build()}
+__all__ = ["build", "flagship"]
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def build() -> dict[str, Query]:
+    return {**series.build(), **features.build(), **learning.build()}

@@ -91,7 +91,7 @@ def build() -> dict[str, Query]:
         {
             "standard_deviation": "stddev_pop(v)",
             "variance": "var_pop(v)",
-            "variation_coefficient": "stddev_pop(v) / nullif(avg(v), 0)",
+            "variation_coefficient": "CASE WHEN abs(avg(v)) > 1e-12 * max(abs(v)) THEN stddev_pop(v) / avg(v) END",
             "variance_larger_than_standard_deviation": "CASE WHEN var_pop(v) > stddev_pop(v) THEN 1 ELSE 0 END",
             **{
                 f"large_standard_deviation__r_{r}": f"CASE WHEN stddev_pop(v) > {r} * (max(v) - min(v)) THEN 1 ELSE 0 END"
@@ -353,9 +353,11 @@ FROM entropy""",
     )
     fourier = f""",
 ft AS (
-    SELECT id, e, kind, k, sum(v * cos(2 * pi() * ((k * pos) % e) / e)) AS re,
-           CASE WHEN k = 0 OR 2 * k = e THEN 0 ELSE -sum(v * sin(2 * pi() * ((k * pos) % e) / e)) END AS im
-    FROM r, range(0, 100) o(k) WHERE 2 * k <= e GROUP BY id, e, kind, k),
+    SELECT id, e, kind, k, CASE WHEN abs(re) > noise THEN re ELSE 0 END AS re,
+           CASE WHEN k > 0 AND 2 * k < e AND abs(im) > noise THEN im ELSE 0 END AS im
+    FROM (SELECT id, e, kind, k, sum(v * cos(2 * pi() * ((k * pos) % e) / e)) AS re,
+                 -sum(v * sin(2 * pi() * ((k * pos) % e) / e)) AS im, 1e-12 * sum(abs(v)) AS noise
+          FROM r, range(0, 100) o(k) WHERE 2 * k <= e GROUP BY id, e, kind, k)),
 grid AS (SELECT w.id, w.e, x.kind, o.k FROM windows w, (VALUES ('x'), ('y')) x(kind), range(0, 100) o(k)),
 parts AS (
     SELECT g.id, g.e, g.kind, g.k, re, im FROM grid g
