@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.features import occurrences, segments, spectral, windowed
 from tremorline.features.rows import union_all
+from tremorline.operators.indexing import quoted
 from tremorline.operators.quantiles import BUFFER_ROWS, group_quantiles
 from tremorline.operators.rolling import Frames
 from tremorline.session import stage
@@ -117,10 +118,6 @@ def align_columns(matrix: DataFrame, train: DataFrame) -> DataFrame:
     return matrix.select(*[quoted(name) for name in train.columns])
 
 
-def quoted(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def matrix_columns(spec: dict[str, list[str]]) -> list[str]:
     return [column_name(kind, feature) for kind, names in spec.items() for feature in names]
 

@@ -31,6 +31,8 @@ CORRIDORS = tuple((a, b) for a in CORRIDOR for b in CORRIDOR if a < b)
 BINS = 10
 PARTS = 10
 FOURIER_BLOCK = 4096
+# A value closer to the mean than this is equal to it up to rounding.
+NOISE = "1e-12D * greatest(abs(hi), abs(lo))"
 FOURIER_COEFFS = tuple(range(100))
 FOURIER_ATTRS = ("real", "imag", "abs", "angle")
 
@@ -58,7 +60,7 @@ def beyond_statistics(frames: Frames, names: list[str], kinds: list[str] | None
     for i, r in enumerate(SIGMAS):
         aggregates[f"beyond_{i}"] = total(f"abs(v - mean) > {r} * sd")
         values[f"ratio_beyond_r_sigma__r_{r}"] = f"beyond_{i} / n"
-    aggregates["above"], aggregates["below"] = total("v > mean"), total("v < mean")
+    aggregates["above"], aggregates["below"] = total(f"v - mean > {NOISE}"), total(f"mean - v > {NOISE}")
     values["count_above_mean"], values["count_below_mean"] = "above", "below"
     shares = []
     for b in range(BINS):
@@ -140,7 +142,7 @@ def mass_quantiles(frames: Frames, names: list[str], kinds: list[str] | None = N
     )
     wanted = [q for q in QUANTILES if f"index_mass_quantile__q_{q}" in names]
     table = reached.groupBy(*keys).agg(
-        *[F.min(F.when(c("run") / c("total") >= q, c("pos"))).alias(f"p{int(q * 10)}") for q in wanted]
+        *[F.min(F.when(c("run") >= c("total") * (q * (1 - 1e-12)), c("pos"))).alias(f"p{int(q * 10)}") for q in wanted]
     )
     values = {f"index_mass_quantile__q_{q}": (c(f"p{int(q * 10)}") + 1) / c("end") for q in wanted}
     return as_long(table, frames.window_keys, values)
@@ -156,10 +158,12 @@ def longest_strikes(
     """
     stats = window_stats(frames, kinds)
     keys = [*frames.window_keys, "kind"]
-    rows = frames.exploded(long_rows(frames, kinds)).select(*keys, "pos", "v").join(stats.select(*keys, "mean"), keys)
+    rows = frames.exploded(long_rows(frames, kinds)).select(*keys, "pos", "v").join(
+        stats.select(*keys, "mean", "lo", "hi"), keys
+    )
     sides = F.array(
-        F.struct(F.lit("above").alias("side"), (c("v") > c("mean")).alias("hit")),
-        F.struct(F.lit("below").alias("side"), (c("v") < c("mean")).alias("hit")),
+        F.struct(F.lit("above").alias("side"), F.expr(f"v - mean > {NOISE}").alias("hit")),
+        F.struct(F.lit("below").alias("side"), F.expr(f"mean - v > {NOISE}").alias("hit")),
     )
     rows = rows.withColumn("_block", block_of(c("pos"), block_rows)).select(*keys, "_block", "pos", F.inline(sides))
     block_keys = [*keys, "side", "_block"]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.learning.metrics import with_weights
-from tremorline.operators.indexing import index_series
+from tremorline.operators.indexing import index_series, quoted
 
 # The searched ranges of the forest's parameters.
 DEPTHS = tuple(range(5, 9))
@@ -26,7 +26,7 @@ FOLDS = 5
 def as_vectors(matrix: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``features``: the columns as one vector. A missing value is an error."""
     missing = F.raise_error(F.lit("missing feature value")).cast("double")
-    cells = [F.coalesce(F.col(f"`{c}`").cast("double"), missing) for c in columns]
+    cells = [F.coalesce(quoted(c).cast("double"), missing) for c in columns]
     return matrix.withColumn("features", array_to_vector(F.array(*cells)))
 
 
@@ -65,7 +65,7 @@ def predict(model: Model, df: DataFrame) -> DataFrame:
 def with_folds(df: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
     """``fold``: rows of each class dealt out in turn by key, so folds have equal class shares."""
     numbered = index_series(df, ("label",), key, ())
-    return numbered.rows.select(*df.columns, (F.col("pos") % folds).cast("int").alias("fold"))
+    return numbered.rows.select(*map(quoted, df.columns), (F.col("pos") % folds).cast("int").alias("fold"))
 
 
 def grid(
@@ -116,9 +116,9 @@ def augment(df: DataFrame, columns: list[str], domain: str) -> DataFrame:
 
     def part(name: str) -> list[Column]:
         kept = name in (domain, "shared")
-        return [(F.col(f"`{c}`") if kept else F.lit(0.0)).cast("double").alias(f"{c}__{name}") for c in columns]
+        return [(quoted(c) if kept else F.lit(0.0)).cast("double").alias(f"{c}__{name}") for c in columns]
 
-    others = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    others = [quoted(c) for c in df.columns if c not in columns]
     return df.select(*others, *part("source"), *part("target"), *part("shared"))
 
 

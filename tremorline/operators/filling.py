@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorline.operators.indexing import IndexedSeries, block_of, index_series
+from tremorline.operators.indexing import IndexedSeries, block_of, index_series, series_from_table
+from tremorline.session import stage
 
 
 def forward_fill(series: IndexedSeries, block_rows: int | None = None) -> DataFrame:
@@ -32,6 +33,14 @@ def forward_fill(series: IndexedSeries, block_rows: int | None = None) -> DataFr
     return rows.join(carried, [*keys, "_block"]).withColumns(filled).select(*series.rows.columns)
 
 
+def fill_series(series: IndexedSeries) -> IndexedSeries:
+    """The same series without gaps; values before the first known one stay missing."""
+    if not series.nulls:
+        return series
+    rows = stage(forward_fill(series), "filled")
+    return series_from_table(rows, series.keys, series.order, series.values)
+
+
 def fill_gaps(
     df: DataFrame,
     keys: tuple[str, ...] = ("id",),

@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremorline.session import stage
 
@@ -20,6 +21,11 @@ BLOCK_ROWS = 32_768
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
+def quoted(name: str) -> Column:
+    """A column whose name may contain dots."""
+    return F.col(f"`{name}`")
+
+
 @dataclass(frozen=True)
 class IndexedSeries:
     """Rows with ``pos`` (0-based), ``n_rows`` and first time of the series, ``max_rows``
@@ -48,8 +54,9 @@ def index_series(
     ``scope`` names the leading keys within which the longest series is looked up (the
     rolling windows of one data split are anchored on its longest series).
     """
-    ties = [c for c in df.columns if c not in keys and c != order]
-    ordering = [F.col(c) for c in (*keys, order, *ties)]
+    unordered = (T.MapType, T.UserDefinedType, T.VariantType)
+    ties = [f.name for f in df.schema if f.name not in (*keys, order) and not isinstance(f.dataType, unordered)]
+    ordering = [quoted(c) for c in (*keys, order, *ties)]
     sorted_rows = stage(
         df.repartitionByRange(*ordering)
         .sortWithinPartitions(*ordering)
@@ -97,12 +104,23 @@ def index_series(
         .join(runs, ["_part", *keys])
         .withColumn("pos", F.col("_rid") - F.col("_first") + F.col("_offset"))
         .select(
-            *df.columns, "pos", "n_rows", "max_rows", "t_first", *[f"center_{v}" for v in values]
+            *map(quoted, df.columns), "pos", "n_rows", "max_rows", "t_first", *[f"center_{v}" for v in values]
         )
     )
     return IndexedSeries(rows, tuple(keys), order, tuple(values), summary["longest"], summary["nulls"])
 
 
+def series_from_table(
+    rows: DataFrame, keys: tuple[str, ...], order: str, values: tuple[str, ...]
+) -> IndexedSeries:
+    """An indexed series read back from a stored table of its rows."""
+    missing = sum((F.when(F.col(v).isNull(), 1).otherwise(0) for v in values), F.lit(0))
+    summary = rows.agg(
+        F.coalesce(F.max("n_rows"), F.lit(0)).alias("longest"), F.coalesce(F.sum(missing), F.lit(0)).alias("nulls")
+    ).first()
+    return IndexedSeries(rows, tuple(keys), order, tuple(values), summary["longest"], summary["nulls"])
+
+
 def block_of(pos: Column, size: int = BLOCK_ROWS) -> Column:
     return F.floor(pos / size)
 
@@ -144,4 +162,4 @@ def running_sum(df: DataFrame, keys: tuple[str, ...], order: str, values: tuple[
     sums = {
         f"before_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_base_{v}") for v in values
     }
-    return ranged.join(stage(bases, "bases"), ["_part", *keys]).withColumns(sums).select(*df.columns, *sums)
+    return ranged.join(stage(bases, "bases"), ["_part", *keys]).withColumns(sums).select(*map(quoted, df.columns), *sums)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorline.operators.indexing import index_series, running_sum
+from tremorline.operators.indexing import index_series, quoted, running_sum
 from tremorline.operators.rolling import Frames, window_rows
 from tremorline.session import stage
 
@@ -14,7 +14,7 @@ def every_nth(df: DataFrame, order: tuple[str, ...], step: int) -> DataFrame:
     """Rows 0, step, 2 step, ... of a table in the given order."""
     first, *rest = order
     ordered = index_series(df.withColumn("_order", F.struct(first, *rest)), (), "_order", ())
-    return ordered.rows.filter(F.col("pos") % step == 0).select(*df.columns)
+    return ordered.rows.filter(F.col("pos") % step == 0).select(*map(quoted, df.columns))
 
 
 def every_nth_rolled(frames: Frames, step: int) -> DataFrame:
@@ -68,4 +68,5 @@ def subsample(df: DataFrame, group: str, key: tuple[str, ...], share: float, see
         .withColumn("_rank", F.row_number().over(ranked))
         .filter(F.col("_before") + F.col("_rank") <= F.col("_quota"))
     )
-    return certain.select(*df.columns).unionByName(border.select(*df.columns))
+    columns = [quoted(c) for c in df.columns]
+    return certain.select(*columns).unionByName(border.select(*columns))

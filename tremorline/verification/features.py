@@ -21,6 +21,7 @@ from tremorline.verification.base import (
 )
 
 WINDOW = "id, e, kind"
+NOISE = "1e-12 * greatest(abs(hi), abs(lo))"
 
 
 def published(features: DataFrame) -> DataFrame:
@@ -255,8 +256,8 @@ h AS (SELECT *, (epoch_us(time) - min(epoch_us(time)) OVER (PARTITION BY id, e,
         "beyond_sigma",
         {
             **{f"ratio_beyond_r_sigma__r_{r}": share(f"abs(v - mu) > {r} * sd") for r in windowed.SIGMAS},
-            "count_above_mean": number("v > mu"),
-            "count_below_mean": number("v < mu"),
+            "count_above_mean": number(f"v - mu > {NOISE}"),
+            "count_below_mean": number(f"mu - v > {NOISE}"),
         },
         source="r2",
     )
@@ -311,15 +312,15 @@ ms AS (
     SELECT *, sum(abs(v)) OVER (PARTITION BY {WINDOW} ORDER BY pos) / mass AS m FROM r2)"""
     add(
         "mass_quantiles",
-        {f"index_mass_quantile__q_{q}": f"(min(pos) FILTER (m >= {q}) + 1) / any_value(n)" for q in windowed.QUANTILES},
+        {f"index_mass_quantile__q_{q}": f"(min(pos) FILTER (m >= {q} * (1 - 1e-12)) + 1) / any_value(n)" for q in windowed.QUANTILES},
         source="ms",
         extra=mass,
     )
     runs = f""",
 runs AS (
-    SELECT id, e, kind, ga, gb, count(*) FILTER (v > mu) AS above, count(*) FILTER (v < mu) AS below FROM (
-        SELECT *, sum(CASE WHEN v > mu THEN 0 ELSE 1 END) OVER (PARTITION BY {WINDOW} ORDER BY pos) AS ga,
-               sum(CASE WHEN v < mu THEN 0 ELSE 1 END) OVER (PARTITION BY {WINDOW} ORDER BY pos) AS gb FROM r2)
+    SELECT id, e, kind, ga, gb, count(*) FILTER (v - mu > {NOISE}) AS above, count(*) FILTER (mu - v > {NOISE}) AS below FROM (
+        SELECT *, sum(CASE WHEN v - mu > {NOISE} THEN 0 ELSE 1 END) OVER (PARTITION BY {WINDOW} ORDER BY pos) AS ga,
+               sum(CASE WHEN mu - v > {NOISE} THEN 0 ELSE 1 END) OVER (PARTITION BY {WINDOW} ORDER BY pos) AS gb FROM r2)
     GROUP BY id, e, kind, ga, gb),
 strikes AS (
     SELECT id, e, kind, sum(above) AS above, 0 AS below FROM runs GROUP BY id, e, kind, ga
