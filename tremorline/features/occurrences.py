@@ -139,9 +139,8 @@ def permutation_entropy(frames: Frames, names: list[str], kinds: list[str] | Non
     )
     counted = (
         rows.select(*frames.window_keys, "kind", F.inline(coded))
-        .filter(c("code").isNotNull())
         .groupBy(*frames.window_keys, "kind", "dim", "code")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(F.count("code").alias("cnt"))  # rows without a full pattern count zero
     )
     running = F.sum("cnt").over(_upto(frames, "dim", "code"))
     change = (
@@ -154,7 +153,7 @@ def permutation_entropy(frames: Frames, names: list[str], kinds: list[str] | Non
     table = change.select(
         *frames.window_keys, "kind", "dim", F.sum("delta").over(upto).alias("s"), F.sum("cnt").over(upto).alias("n")
     )
-    value = F.ln(c("n").cast("double")) - c("s") / c("n")
+    value = F.when(c("n") > 0, F.ln(c("n").cast("double")) - c("s") / c("n"))
     feature = F.concat(F.lit("permutation_entropy__dimension_"), c("dim").cast("string"), F.lit("__tau_1"))
     return table.select(
         *frames.window_keys, "kind", feature.alias("feature"), F.abs(value).alias("value")

@@ -88,23 +88,26 @@ def window_density(frames: Frames, kinds: list[str] | None = None) -> DataFrame:
     return long_windows.unionByName(short_windows)
 
 
-def _density_entropy(bins: int) -> Column:
-    """Entropy of the equal-width histogram of the density relative to its peak."""
-    peak = F.array_max("power")
-    low = F.array_min("power") / peak
-    width = F.nullif(1 - low, F.lit(0.0))
+def density_entropies(power: str) -> Column:
+    """Entropy of the equal-width histogram of the density relative to its peak, by number
+    of bins."""
 
-    def place(p: Column) -> Column:
-        return F.least(F.floor((p / peak - low) / width * bins), F.lit(bins - 1))
-
-    placed = F.transform("power", place)
-
-    def share(b: Column) -> Column:
-        return F.size(F.filter(placed, lambda x: x == b)) / F.size("power")
+    @F.pandas_udf("array<double>")
+    def finish(power: pd.Series) -> pd.Series:
+        out: list = []
+        for p in power:
+            if p is None or not p.max() > 0:
+                out.append(None)
+                continue
+            entropies = []
+            for bins in ENTROPY_BINS:
+                share = np.histogram(p / p.max(), bins=bins)[0] / len(p)
+                share = share[share > 0]
+                entropies.append(float(-(share * np.log(share)).sum()))
+            out.append(entropies)
+        return pd.Series(out)
 
-    shares = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), share)
-    entropy = F.aggregate(shares, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.ln(p)).otherwise(0.0))
-    return F.when(peak > 0, F.when(low == 1, 0.0).otherwise(entropy))
+    return finish(power)
 
 
 def spectral_features(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
@@ -114,8 +117,10 @@ def spectral_features(frames: Frames, names: list[str], kinds: list[str] | None
         f"spkt_welch_density__coeff_{k}": F.get(c("power"), F.lit(k)) for k in DENSITY_COEFFS
     }
     total = F.size("power")
-    for bins in ENTROPY_BINS:
-        values[f"fourier_entropy__bins_{bins}"] = _density_entropy(bins)
+    if any(name.startswith("fourier_entropy") for name in names):
+        table = table.withColumn("_entropy", density_entropies("power"))
+    for i, bins in enumerate(ENTROPY_BINS):
+        values[f"fourier_entropy__bins_{bins}"] = F.get(c("_entropy"), F.lit(i))
     order = F.sequence(F.lit(0), total - 1)
 
     def raw(power: int) -> Column:
@@ -193,7 +198,9 @@ def drift_features(
     pairs = pairs.select(*keys, c("lag_1").alias("x"), (c("v") - c("lag_1")).alias("step"))
     grid = [i / DRIFT_BINS for i in range(DRIFT_BINS + 1)]
     edges = stage(group_quantiles(pairs, keys, "x", grid, frames.series.longest, buffer_rows), "edges")
-    bin_of = sum((F.when(c("x") > c("q")[i], 1).otherwise(0) for i in range(1, DRIFT_BINS)), F.lit(0))
+    # a bin includes its upper edge, which may sit on a value up to rounding
+    beyond = [f"int(x - q[{i}] > 1e-12D * (q[{DRIFT_BINS}] - q[0]))" for i in range(1, DRIFT_BINS)]
+    bin_of = F.expr(" + ".join(beyond))
     distinct = F.size(F.array_distinct("q")) == DRIFT_BINS + 1
     binned = (
         pairs.join(edges, keys)
@@ -219,8 +226,9 @@ def drift_features(
     table = binned.select(
         *keys, fit(F.transform("b", lambda s: s["x"]), F.transform("b", lambda s: s["step"])).alias("_p")
     )
-    # windows whose quantiles coincide have no bins and keep NULL
-    table = edges.select(*keys).join(table, keys, "left")
+    # windows of one row or with coinciding quantiles have no bins and keep NULL
+    windows = long_rows(frames, kinds).filter(c("pos") == c("end") - 1).select(*keys)
+    table = windows.join(table, keys, "left")
     values = {name: F.get(c("_p"), F.lit(i)) for i, name in enumerate(drift_names())}
     return as_long(table, frames.window_keys, {name: values[name] for name in names})
 

@@ -31,6 +31,7 @@ CORRIDORS = tuple((a, b) for a in CORRIDOR for b in CORRIDOR if a < b)
 BINS = 10
 PARTS = 10
 FOURIER_BLOCK = 4096
+FOURIER_DENSE = 512
 # A value closer to the mean than this is equal to it up to rounding.
 NOISE = "1e-12D * greatest(abs(hi), abs(lo))"
 FOURIER_COEFFS = tuple(range(100))
@@ -137,12 +138,10 @@ def mass_quantiles(frames: Frames, names: list[str], kinds: list[str] | None = N
     )
     keys = [*frames.window_keys, "kind"]
     totals = stage(running.filter(c("pos") == c("end") - 1).select(*keys, c("run").alias("total")), "mass")
-    reached = (
-        frames.exploded(running).select(*keys, "pos", "run").join(totals, keys).filter(c("total") > 0)
-    )
+    reached = frames.exploded(running).select(*keys, "pos", "run").join(totals, keys)
     wanted = [q for q in QUANTILES if f"index_mass_quantile__q_{q}" in names]
     table = reached.groupBy(*keys).agg(
-        *[F.min(F.when(c("run") >= c("total") * (q * (1 - 1e-12)), c("pos"))).alias(f"p{int(q * 10)}") for q in wanted]
+        *[F.min(F.when((c("total") > 0) & (c("run") >= c("total") * (q * (1 - 1e-12))), c("pos"))).alias(f"p{int(q * 10)}") for q in wanted]
     )
     values = {f"index_mass_quantile__q_{q}": (c(f"p{int(q * 10)}") + 1) / c("end") for q in wanted}
     return as_long(table, frames.window_keys, values)
@@ -226,27 +225,29 @@ def fourier_coefficients(frames: Frames, names: list[str], kinds: list[str] | No
                 parts = []
                 for end in ends:
                     inside = values[: end - first]
-                    turn = np.exp((-2j * np.pi / end) * np.arange(first, first + len(inside)))
-                    state = np.ones(len(inside), complex)
-                    real, imag = [], []
-                    for order in range(orders[-1] + 1):
-                        if order == 0:
-                            total = complex(inside.sum() + origin * len(inside))
-                        else:
+                    angle = (-2 * np.pi / end) * np.arange(first, first + len(inside))
+                    sums = np.zeros(len(wanted), complex)
+                    exist = wanted <= end // 2
+                    if len(inside) <= FOURIER_DENSE:
+                        sums[exist] = np.exp(1j * np.outer(wanted[exist], angle)) @ inside
+                    else:  # one order after the other, by repeated rotation
+                        turn, state = np.exp(1j * angle), np.ones(len(inside), complex)
+                        for order in range(wanted[exist].max(initial=0) + 1):
+                            at = np.searchsorted(wanted, order)
+                            if wanted[at] == order:
+                                sums[at] = state @ inside
                             state = state * turn
-                            total = state @ inside
-                        if order in wanted:
-                            real.append(total.real)
-                            imag.append(total.imag)
+                    if wanted[0] == 0:
+                        sums[0] += origin * len(inside)
                     mass = np.abs(inside + origin).sum()
-                    parts.append({**record, "end": end, "mass": mass, "real": real, "imag": imag})
+                    parts.append({**record, "end": end, "mass": mass, "real": sums.real, "imag": sums.imag})
                     if len(parts) == 256:
                         yield pd.DataFrame(parts)
                         parts = []
                 if parts:
                     yield pd.DataFrame(parts)
 
-    wanted = set(orders)
+    wanted = np.array(orders)
     fields = {f.name: f.dataType for f in blocks.schema}
     schema = T.StructType([T.StructField(k, fields[k]) for k in keys])
     schema = schema.add("mass", T.DoubleType())

@@ -75,7 +75,7 @@ _OFF_TIES = "1.000000001"
 
 
 def rounded(value: Column) -> Column:
-    return F.when(F.abs(value) < 5e-7, 0.0).otherwise(F.round(value * float(_OFF_TIES), 6))
+    return F.when(F.abs(value) < 5e-7, 0.0).otherwise(F.rint(value * float(_OFF_TIES) * 1e6) / 1e6)
 
 
 def r6(expression: str) -> str:
