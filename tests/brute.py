@@ -68,6 +68,11 @@ def drift(x, degree=3, bins=30):
     return [*poly, np.roots(poly).real.max()]
 
 
+def entropy(counts):
+    p = counts[counts > 0] / counts.sum()
+    return -(p * np.log(p)).sum()
+
+
 def number_peaks(x, n):
     middle = x[n:-n]
     keep = np.ones(len(middle), bool)

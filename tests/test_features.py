@@ -120,6 +120,10 @@ def test_window_comparisons(frames, windows):
         "longest_strike_below_mean": lambda x: brute.longest_run(x < x.mean()),
         "count_above_mean": lambda x: (x > x.mean()).sum(),
         "index_mass_quantile__q_0.7": lambda x: brute.mass_quantile(x, 0.7),
+        "ratio_beyond_r_sigma__r_1.5": lambda x: (np.abs(x - x.mean()) > 1.5 * x.std()).mean(),
+        "binned_entropy__max_bins_10": lambda x: brute.entropy(np.histogram(x, 10)[0]),
+        "energy_ratio_by_chunks__num_segments_10__segment_focus_0": lambda x: (np.array_split(x, 10)[0] ** 2).sum() / (x @ x),
+        "energy_ratio_by_chunks__num_segments_10__segment_focus_9": lambda x: (np.array_split(x, 10)[9] ** 2).sum() / (x @ x),
         "median": np.median,
         "quantile__q_0.9": lambda x: np.quantile(x, 0.9),
         "mean_n_absolute_max__number_of_maxima_7": lambda x: np.sort(np.abs(x))[-7:].mean(),

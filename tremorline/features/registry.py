@@ -41,6 +41,7 @@ def families() -> dict[str, tuple[Family, list[str]]]:
         "permutation": (occurrences.permutation_entropy, occurrences.permutation_names()),
         "chunk_trend": (occurrences.chunk_trends, occurrences.chunk_trend_names()),
         "beyond": (windowed.beyond_statistics, windowed.beyond_names()),
+        "energy": (windowed.energy_by_parts, windowed.energy_names()),
         "quantiles": (windowed.quantile_features, windowed.quantile_names()),
         "changes": (windowed.change_quantiles, windowed.change_names()),
         "mass": (windowed.mass_quantiles, windowed.mass_names()),

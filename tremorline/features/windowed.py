@@ -4,8 +4,7 @@ no window is ever gathered."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorline.features.rows import as_long, lagged_rows, long_rows
-from tremorline.features.segments import ENERGY, MEAN, SD, total, window_sums
+from tremorline.features.segments import MEAN, SD, window_sums
 from tremorline.operators.indexing import BLOCK_ROWS, block_of
 from tremorline.operators.quantiles import BUFFER_ROWS, group_quantiles
 from tremorline.operators.rolling import Frames
@@ -31,6 +30,9 @@ CORRIDORS = tuple((a, b) for a in CORRIDOR for b in CORRIDOR if a < b)
 BINS = 10
 PARTS = 10
 FOURIER_BLOCK = 4096
+COUNT_BLOCK = 16_384
+SUM_BLOCK = 1024
+WINDOW_GROUP = 256  # windows that meet a block at a time
 FOURIER_DENSE = 512
 # A value closer to the mean than this is equal to it up to rounding.
 NOISE = "1e-12D * greatest(abs(hi), abs(lo))"
@@ -39,42 +41,135 @@ FOURIER_ATTRS = ("real", "imag", "abs", "angle")
 
 
 def window_stats(frames: Frames, kinds: list[str] | None = None) -> DataFrame:
-    """Size, mean, spread, range and absolute mass of every window, staged once."""
+    """Size, mean, spread and range of every window, staged once."""
     sums = window_sums(frames, [], kinds)
-    wanted = ["n", f"{MEAN} AS mean", f"{SD} AS sd", "lo", "hi", f"{ENERGY} AS energy"]
+    wanted = ["n", f"{MEAN} AS mean", f"{SD} AS sd", "lo", "hi"]
     return stage(sums.selectExpr(*frames.window_keys, "kind", *wanted), "stats")
 
 
+def _first_true(ordered: np.ndarray, holds: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """Index of the first element of ``ordered`` for which a monotone condition holds, by
+    bisection for a whole grid of conditions at once; its length where none holds."""
+    low, high = np.zeros(shape, np.int64), np.full(shape, len(ordered), np.int64)
+    while (low < high).any():
+        middle = (low + high) // 2
+        hit = holds(ordered[np.minimum(middle, len(ordered) - 1)])
+        active = low < high
+        high = np.where(active & hit, middle, high)
+        low = np.where(active & ~hit, middle + 1, low)
+    return low
+
+
+def _counts(values: np.ndarray, *stats: np.ndarray) -> np.ndarray:
+    """Per window: rows beyond r sigma for every r, above and below the mean, per bin."""
+    ordered = np.sort(values)
+    mean, sd, lo, hi = (stat[:, None] for stat in stats)
+    margins = np.hstack([sd * np.array(SIGMAS, float), 1e-12 * np.maximum(np.abs(lo), np.abs(hi))])
+    above = len(values) - _first_true(ordered, lambda v: v - mean > margins, margins.shape)
+    below = _first_true(ordered, lambda v: ~(mean - v > margins), margins.shape)
+    span = np.where(hi > lo, hi - lo, 1.0)
+    number = np.arange(1, BINS)[None, :]
+    starts = _first_true(ordered, lambda v: np.floor((v - lo) / span * BINS) >= number, (len(mean), BINS - 1))
+    edges = np.hstack([np.zeros((len(mean), 1)), starts, np.full((len(mean), 1), len(values))])
+    return np.hstack([above[:, :-1] + below[:, :-1], above[:, -1:], below[:, -1:], np.diff(edges, axis=1)]).astype(np.int64)
+
+
+COUNTED = [*[f"beyond_{i}" for i in range(len(SIGMAS))], "above", "below", *[f"bin_{b}" for b in range(BINS)]]
+
+
 def beyond_statistics(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
-    """Shares beyond r sigma, counts around the mean, equal-width entropy, energy by parts."""
+    """Shares beyond r sigma, counts around the mean, entropy of the equal-width histogram.
+
+    Rows travel once, as sorted blocks. A block meets the windows that reach into it in
+    groups and answers each of their thresholds by bisection, so the work per block and
+    window is logarithmic in the block, not one pass over its rows.
+    """
+    keys = [*frames.keys, "kind"]
+    step = frames.step or 1
     stats = window_stats(frames, kinds)
-    rows = frames.exploded(long_rows(frames, kinds)).select(*frames.window_keys, "kind", "pos", "v")
-    joined = rows.join(stats, [*frames.window_keys, "kind"])
-    # the first n mod 10 parts of a window are one row longer than the others
-    wide, longer = f"(n div {PARTS})", f"(n % {PARTS})"
-    ahead = f"({longer} * ({wide} + 1))"
-    part = f"CASE WHEN pos < {ahead} THEN pos div ({wide} + 1) ELSE {longer} + (pos - {ahead}) div {wide} END"
-    place = f"CASE WHEN hi > lo THEN least(floor((v - lo) / (hi - lo) * {BINS}), {BINS - 1}) ELSE 0 END"
-    joined = joined.selectExpr("*", f"{part} AS part", f"{place} AS bin")
-    aggregates: dict[str, str] = {}
-    values: dict[str, str] = {}
-    for i, r in enumerate(SIGMAS):
-        aggregates[f"beyond_{i}"] = total(f"abs(v - mean) > {r} * sd")
-        values[f"ratio_beyond_r_sigma__r_{r}"] = f"beyond_{i} / n"
-    aggregates["above"], aggregates["below"] = total(f"v - mean > {NOISE}"), total(f"mean - v > {NOISE}")
-    values["count_above_mean"], values["count_below_mean"] = "above", "below"
-    shares = []
-    for b in range(BINS):
-        aggregates[f"bin_{b}"] = total(f"bin = {b}")
-        shares.append(f"CASE WHEN bin_{b} > 0 THEN -bin_{b} / n * ln(bin_{b} / n) ELSE 0.0D END")
+    group_of = lambda end: F.floor(end / (step * WINDOW_GROUP))
+    columns = ("end", "mean", "sd", "lo", "hi")
+    groups = stats.groupBy(*keys, group_of(c("end")).alias("_group")).agg(
+        F.array_sort(F.collect_list(F.struct(*columns))).alias("w")
+    )
+    blocks = (
+        long_rows(frames, kinds)
+        .withColumn("_block", block_of(c("pos"), COUNT_BLOCK))
+        .groupBy(*keys, "_block")
+        .agg(
+            F.min("pos").alias("first"),
+            F.min("end").alias("_from"),
+            F.max("last_end").alias("_to"),
+            F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"),
+        )
+        .withColumn("s", F.transform("s", lambda s: s["v"]))
+        .withColumn("_group", F.explode(F.sequence(group_of(c("_from")), group_of(c("_to")))))
+    )
+    met = blocks.join(groups, [*keys, "_group"]).select(
+        *keys, "first", "s", *[F.expr(f"transform(w, x -> x.{k})").alias(k) for k in columns]
+    )
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names, found = [], []
+            for record in batch.to_dict("records"):
+                values, first = record["s"], record["first"]
+                stats = np.vstack([record[k] for k in columns]).astype(float)
+                stats = stats[:, stats[0] > first]
+                sizes = np.minimum(stats[0] - first, len(values)).astype(int)
+                for size in np.unique(sizes):
+                    part = stats[:, sizes == size]
+                    found.append(np.hstack([part[0].astype(np.int64)[:, None], _counts(values[:size], *part[1:])]))
+                    names += [tuple(record[k] for k in keys)] * part.shape[1]
+            if found:
+                counted = pd.DataFrame(np.vstack(found), columns=["end", *COUNTED])
+                yield pd.concat([pd.DataFrame(names, columns=keys), counted], axis=1)
+
+    fields = {f.name: f.dataType for f in met.schema}
+    schema = T.StructType([T.StructField(k, fields[k]) for k in keys]).add("end", T.LongType())
+    for name in COUNTED:
+        schema = schema.add(name, T.LongType())
+    values: dict[str, str] = {f"ratio_beyond_r_sigma__r_{r}": f"beyond_{i} / end" for i, r in enumerate(SIGMAS)}
+    values |= {"count_above_mean": "above", "count_below_mean": "below"}
+    shares = [f"CASE WHEN bin_{b} > 0 THEN -bin_{b} / end * ln(bin_{b} / end) ELSE 0.0D END" for b in range(BINS)]
     values[f"binned_entropy__max_bins_{BINS}"] = " + ".join(shares)
-    for i in range(PARTS):
-        aggregates[f"part_{i}"] = f"sum(CASE WHEN part = {i} THEN v * v ELSE 0.0D END)"
-        values[f"energy_ratio_by_chunks__num_segments_{PARTS}__segment_focus_{i}"] = f"try_divide(part_{i}, energy)"
-    used = {name: sql for name, sql in aggregates.items() if any(re.search(rf"\b{name}\b", values[f]) for f in names)}
-    table = joined.groupBy(*frames.window_keys, "kind", "n", "energy").agg(
-        *[F.expr(sql).alias(name) for name, sql in used.items()]
+    table = met.mapInPandas(count, schema).groupBy(*frames.window_keys, "kind").agg(*[F.sum(n).alias(n) for n in COUNTED])
+    return as_long(table, frames.window_keys, {name: values[name] for name in names})
+
+
+def _running(frames: Frames, kinds: list[str] | None, term: str) -> DataFrame:
+    """Rows with ``run``: the sum of ``term`` over the series up to and including the row,
+    from sums inside small blocks and the totals of the blocks before."""
+    rows = long_rows(frames, kinds).withColumn("_block", block_of(c("pos"), SUM_BLOCK)).withColumn("_term", F.expr(term))
+    block_keys = [*frames.keys, "kind", "_block"]
+    blocks = rows.groupBy(*block_keys).agg(F.sum("_term").alias("_total"))
+    ahead = Window.partitionBy(*frames.keys, "kind").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(*block_keys, F.coalesce(F.sum("_total").over(ahead), F.lit(0.0)).alias("ahead"))
+    inside = Window.partitionBy(*block_keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.withColumn("_run", F.sum("_term").over(inside)).join(offsets, block_keys)
+    return within.withColumn("run", c("_run") + c("ahead"))
+
+
+def energy_by_parts(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
+    """Share of the energy in each of ten consecutive parts of a window: differences of the
+    running energy at the parts' last rows. The first n mod 10 parts are one row longer."""
+    keys = [*frames.window_keys, "kind"]
+    running = _running(frames, kinds, "v * v").select(*frames.keys, "kind", "pos", "end", "run")
+    length = f"(end div {PARTS})"
+    last_row = f"i * {length} + least(i, end % {PARTS}) - 1"
+    bounds = (
+        running.filter(c("pos") == c("end") - 1)
+        .select(*keys, F.explode(F.sequence(F.lit(0), F.lit(PARTS))).alias("i"))
+        .withColumn("pos", F.expr(last_row))
     )
+    at = bounds.join(running.drop("end"), [*frames.keys, "kind", "pos"], "left")  # no row before the first part
+    table = at.groupBy(*keys).agg(
+        *[F.max(F.when(c("i") == i, F.coalesce("run", F.lit(0.0)))).alias(f"e{i}") for i in range(PARTS + 1)]
+    )
+    values = {
+        f"energy_ratio_by_chunks__num_segments_{PARTS}__segment_focus_{i}": f"try_divide(e{i + 1} - e{i}, e{PARTS})"
+        for i in range(PARTS)
+    }
     return as_long(table, frames.window_keys, {name: values[name] for name in names})
 
 
@@ -123,28 +218,32 @@ def change_quantiles(
 def mass_quantiles(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
     """Relative position at which a share q of the absolute mass is reached.
 
-    The running mass of a series is built block by block; each window then takes the first
-    position at which it reaches q times its own total.
+    The running mass of a series only grows. Sorting the wanted masses among the block
+    offsets tells in which block each is reached; only that block's rows are searched.
     """
-    rows = long_rows(frames, kinds).withColumn("_block", block_of(c("pos")))
-    block_keys = [*frames.keys, "kind", "_block"]
-    mass = F.abs(c("v"))
-    blocks = rows.groupBy(*block_keys).agg(F.sum(mass).alias("_mass"))
-    ahead = Window.partitionBy(*frames.keys, "kind").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(*block_keys, F.coalesce(F.sum("_mass").over(ahead), F.lit(0.0)).alias("_ahead"))
-    inside = Window.partitionBy(*block_keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = (
-        rows.withColumn("_run", F.sum(mass).over(inside)).join(offsets, block_keys).withColumn("run", c("_run") + c("_ahead"))
-    )
     keys = [*frames.window_keys, "kind"]
-    totals = stage(running.filter(c("pos") == c("end") - 1).select(*keys, c("run").alias("total")), "mass")
-    reached = frames.exploded(running).select(*keys, "pos", "run").join(totals, keys)
+    rows = stage(_running(frames, kinds, "abs(v)").select(*keys, "pos", "_block", "ahead", "run"), "running")
     wanted = [q for q in QUANTILES if f"index_mass_quantile__q_{q}" in names]
-    table = reached.groupBy(*keys).agg(
-        *[F.min(F.when((c("total") > 0) & (c("run") >= c("total") * (q * (1 - 1e-12))), c("pos"))).alias(f"p{int(q * 10)}") for q in wanted]
+    shares = F.explode(F.array(*[F.lit(q) for q in wanted])).alias("q")
+    targets = (
+        rows.filter(c("pos") == c("end") - 1)
+        .select(*keys, c("run").alias("total"), shares)
+        .withColumn("mass", c("total") * c("q") * (1 - 1e-12))
     )
-    values = {f"index_mass_quantile__q_{q}": (c(f"p{int(q * 10)}") + 1) / c("end") for q in wanted}
-    return as_long(table, frames.window_keys, values)
+    offsets = rows.groupBy(*frames.keys, "kind", "_block").agg(F.min("ahead").alias("mass"))
+    # a mass equal to an offset was reached before the block began, so targets sort first
+    marks = targets.withColumn("_block", F.lit(None).cast("bigint")).unionByName(offsets, allowMissingColumns=True)
+    order = Window.partitionBy(*frames.keys, "kind").orderBy("mass", F.col("_block").asc_nulls_first())
+    placed = marks.withColumn("_block", F.coalesce(F.last("_block", ignorenulls=True).over(order), F.lit(0)))
+    placed = placed.filter(c("q").isNotNull())
+    found = placed.join(
+        rows.select(*frames.keys, "kind", "_block", "pos", "run"), [*frames.keys, "kind", "_block"]
+    ).filter((c("run") >= c("mass")) & (c("total") > 0))
+    first = found.groupBy(*keys, "q").agg(F.min("pos").alias("pos"))
+    # windows without mass keep NULL
+    table = targets.select(*keys, "q").join(first, [*keys, "q"], "left")
+    feature = F.concat(F.lit("index_mass_quantile__q_"), c("q").cast("string"))
+    return table.select(*keys, feature.alias("feature"), ((c("pos") + 1) / c("end")).alias("value"))
 
 
 def longest_strikes(
@@ -282,10 +381,13 @@ def beyond_names() -> list[str]:
         "count_above_mean",
         "count_below_mean",
         f"binned_entropy__max_bins_{BINS}",
-        *[f"energy_ratio_by_chunks__num_segments_{PARTS}__segment_focus_{i}" for i in range(PARTS)],
     ]
 
 
+def energy_names() -> list[str]:
+    return [f"energy_ratio_by_chunks__num_segments_{PARTS}__segment_focus_{i}" for i in range(PARTS)]
+
+
 def quantile_names() -> list[str]:
     return [
         "median",
