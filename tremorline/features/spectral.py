@@ -6,9 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tremorline.features.blocks import packed, per_window
 from tremorline.features.rows import as_long, lagged_rows, long_rows
-from tremorline.operators.quantiles import BUFFER_ROWS, group_quantiles
+from tremorline.features.window_quantiles import window_quantiles
+from tremorline.operators.quantiles import BUFFER_ROWS
 from tremorline.operators.rolling import Frames
 from tremorline.session import stage
 
@@ -194,22 +197,28 @@ def drift_features(
 ) -> DataFrame:
     """Cubic fit of the mean step over 30 quantile bins of the value, and its largest root."""
     keys = [*frames.window_keys, "kind"]
-    pairs = frames.exploded(lagged_rows(long_rows(frames, kinds), frames.keys, [1])).filter(c("pos") >= 1)
-    pairs = pairs.select(*keys, c("lag_1").alias("x"), (c("v") - c("lag_1")).alias("step"))
+    pairs = lagged_rows(long_rows(frames, kinds), frames.keys, [1]).filter(c("pos") >= 1)
     grid = [i / DRIFT_BINS for i in range(DRIFT_BINS + 1)]
-    edges = stage(group_quantiles(pairs, keys, "x", grid, frames.series.longest, buffer_rows), "edges")
-    # a bin includes its upper edge, which may sit on a value up to rounding
-    beyond = [f"int(x - q[{i}] > 1e-12D * (q[{DRIFT_BINS}] - q[0]))" for i in range(1, DRIFT_BINS)]
-    bin_of = F.expr(" + ".join(beyond))
-    distinct = F.size(F.array_distinct("q")) == DRIFT_BINS + 1
-    binned = (
-        pairs.join(edges, keys)
-        .filter(distinct)
-        .groupBy(*keys, bin_of.alias("bin"))
-        .agg(F.avg("x").alias("x"), F.avg("step").alias("step"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("bin", "x", "step"))).alias("b"))
-    )
+    edges = window_quantiles(frames, pairs, "lag_1", grid, buffer_rows)
+    edges = stage(edges.filter(F.size(F.array_distinct("q")) == DRIFT_BINS + 1), "edges")
+
+    def sums(rows: list[np.ndarray], stats: list[np.ndarray]) -> list:
+        before, now = rows
+        out = []
+        for q in stats[0]:
+            # a bin includes its upper edge, which may sit on a value up to rounding
+            at = np.searchsorted(q[1:-1] + 1e-12 * (q[-1] - q[0]), before, side="left")
+            out.append(np.concatenate([np.bincount(at, w, DRIFT_BINS) for w in (np.ones(len(at)), before, now - before)]))
+        return [out]
+
+    blocks = packed(frames, pairs, ("lag_1", "v"))
+    found = per_window(frames, blocks, edges, ("lag_1", "v"), ("q",), sums, {"t": T.ArrayType(T.DoubleType())})
+    totals = found.groupBy(*keys).agg(*[F.expr(f"sum(t[{i}])").alias(f"t{i}") for i in range(3 * DRIFT_BINS)])
+    means = [
+        f"struct({b} AS bin, t{DRIFT_BINS + b} / t{b} AS x, t{2 * DRIFT_BINS + b} / t{b} AS step)" for b in range(DRIFT_BINS)
+    ]
+    filled = ", ".join(f"CASE WHEN t{b} > 0 THEN {means[b]} END" for b in range(DRIFT_BINS))
+    binned = totals.select(*keys, F.expr(f"filter(array({filled}), s -> s IS NOT NULL)").alias("b"))
 
     @F.pandas_udf("array<double>")
     def fit(x: pd.Series, step: pd.Series) -> pd.Series:

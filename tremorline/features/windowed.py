@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tremorline.features.blocks import BLOCK, packed, per_window
 from tremorline.features.rows import as_long, lagged_rows, long_rows
 from tremorline.features.segments import MEAN, SD, window_sums
-from tremorline.operators.indexing import BLOCK_ROWS, block_of
-from tremorline.operators.quantiles import BUFFER_ROWS, group_quantiles
+from tremorline.features.window_quantiles import window_quantiles
+from tremorline.operators.indexing import block_of
+from tremorline.operators.quantiles import BUFFER_ROWS
 from tremorline.operators.rolling import Frames
 from tremorline.session import stage
 
@@ -30,12 +32,8 @@ CORRIDORS = tuple((a, b) for a in CORRIDOR for b in CORRIDOR if a < b)
 BINS = 10
 PARTS = 10
 FOURIER_BLOCK = 4096
-COUNT_BLOCK = 16_384
 SUM_BLOCK = 1024
-WINDOW_GROUP = 256  # windows that meet a block at a time
 FOURIER_DENSE = 512
-# A value closer to the mean than this is equal to it up to rounding.
-NOISE = "1e-12D * greatest(abs(hi), abs(lo))"
 FOURIER_COEFFS = tuple(range(100))
 FOURIER_ATTRS = ("real", "imag", "abs", "angle")
 
@@ -80,60 +78,23 @@ COUNTED = [*[f"beyond_{i}" for i in range(len(SIGMAS))], "above", "below", *[f"b
 def beyond_statistics(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
     """Shares beyond r sigma, counts around the mean, entropy of the equal-width histogram.
 
-    Rows travel once, as sorted blocks. A block meets the windows that reach into it in
-    groups and answers each of their thresholds by bisection, so the work per block and
-    window is logarithmic in the block, not one pass over its rows.
+    A block answers each threshold of a window by bisection of its sorted values.
     """
-    keys = [*frames.keys, "kind"]
-    step = frames.step or 1
-    stats = window_stats(frames, kinds)
-    group_of = lambda end: F.floor(end / (step * WINDOW_GROUP))
-    columns = ("end", "mean", "sd", "lo", "hi")
-    groups = stats.groupBy(*keys, group_of(c("end")).alias("_group")).agg(
-        F.array_sort(F.collect_list(F.struct(*columns))).alias("w")
+    blocks = packed(frames, long_rows(frames, kinds), ("v",))
+    found = per_window(
+        frames,
+        blocks,
+        window_stats(frames, kinds),
+        ("v",),
+        ("mean", "sd", "lo", "hi"),
+        lambda rows, stats: list(_counts(rows[0], *stats).T),
+        {name: T.LongType() for name in COUNTED},
     )
-    blocks = (
-        long_rows(frames, kinds)
-        .withColumn("_block", block_of(c("pos"), COUNT_BLOCK))
-        .groupBy(*keys, "_block")
-        .agg(
-            F.min("pos").alias("first"),
-            F.min("end").alias("_from"),
-            F.max("last_end").alias("_to"),
-            F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"),
-        )
-        .withColumn("s", F.transform("s", lambda s: s["v"]))
-        .withColumn("_group", F.explode(F.sequence(group_of(c("_from")), group_of(c("_to")))))
-    )
-    met = blocks.join(groups, [*keys, "_group"]).select(
-        *keys, "first", "s", *[F.expr(f"transform(w, x -> x.{k})").alias(k) for k in columns]
-    )
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names, found = [], []
-            for record in batch.to_dict("records"):
-                values, first = record["s"], record["first"]
-                stats = np.vstack([record[k] for k in columns]).astype(float)
-                stats = stats[:, stats[0] > first]
-                sizes = np.minimum(stats[0] - first, len(values)).astype(int)
-                for size in np.unique(sizes):
-                    part = stats[:, sizes == size]
-                    found.append(np.hstack([part[0].astype(np.int64)[:, None], _counts(values[:size], *part[1:])]))
-                    names += [tuple(record[k] for k in keys)] * part.shape[1]
-            if found:
-                counted = pd.DataFrame(np.vstack(found), columns=["end", *COUNTED])
-                yield pd.concat([pd.DataFrame(names, columns=keys), counted], axis=1)
-
-    fields = {f.name: f.dataType for f in met.schema}
-    schema = T.StructType([T.StructField(k, fields[k]) for k in keys]).add("end", T.LongType())
-    for name in COUNTED:
-        schema = schema.add(name, T.LongType())
     values: dict[str, str] = {f"ratio_beyond_r_sigma__r_{r}": f"beyond_{i} / end" for i, r in enumerate(SIGMAS)}
     values |= {"count_above_mean": "above", "count_below_mean": "below"}
     shares = [f"CASE WHEN bin_{b} > 0 THEN -bin_{b} / end * ln(bin_{b} / end) ELSE 0.0D END" for b in range(BINS)]
     values[f"binned_entropy__max_bins_{BINS}"] = " + ".join(shares)
-    table = met.mapInPandas(count, schema).groupBy(*frames.window_keys, "kind").agg(*[F.sum(n).alias(n) for n in COUNTED])
+    table = found.groupBy(*frames.window_keys, "kind").agg(*[F.sum(n).alias(n) for n in COUNTED])
     return as_long(table, frames.window_keys, {name: values[name] for name in names})
 
 
@@ -178,9 +139,8 @@ def quantile_features(
 ) -> DataFrame:
     """Median, quantiles and the symmetry flags that compare mean and median."""
     keys = [*frames.window_keys, "kind"]
-    rows = frames.exploded(long_rows(frames, kinds)).select(*keys, "v")
     grid = [0.5, *QUANTILES] if any(n.startswith("quantile") for n in names) else [0.5]
-    table = group_quantiles(rows, keys, "v", grid, frames.series.longest, buffer_rows)
+    table = window_quantiles(frames, long_rows(frames, kinds), "v", grid, buffer_rows)
     values = {"median": "q[0]"} | {f"quantile__q_{q}": f"q[{i}]" for i, q in enumerate(grid[1:], start=1)}
     if any(n.startswith("symmetry_looking") for n in names):
         table = table.join(window_stats(frames, kinds), keys)
@@ -194,24 +154,35 @@ def change_quantiles(
 ) -> DataFrame:
     """Mean and variance of steps whose both ends lie between two quantiles of the window."""
     keys = [*frames.window_keys, "kind"]
-    rows = frames.exploded(lagged_rows(long_rows(frames, kinds), frames.keys, [1])).select(*keys, "v", "lag_1")
-    edges = stage(group_quantiles(rows, keys, "v", list(CORRIDOR), frames.series.longest, buffer_rows), "edges")
-    aggregates, values = [], {}
-    for low, high in CORRIDORS:
-        if not any(n.endswith(f"__qh_{high}__ql_{low}") for n in names):
-            continue
-        a, b = f"q[{CORRIDOR.index(low)}]", f"q[{CORRIDOR.index(high)}]"
-        inside = f"{a} < {b} AND v BETWEEN {a} AND {b} AND lag_1 BETWEEN {a} AND {b}"
-        tag = f"{int(low * 10)}_{int(high * 10)}"
-        sums = {"m": "1", "s": "v - lag_1", "a": "abs(v - lag_1)", "q": "(v - lag_1) * (v - lag_1)"}
-        aggregates += [F.expr(f"sum(CASE WHEN {inside} THEN {x} END)").alias(f"{k}_{tag}") for k, x in sums.items()]
-        for is_abs, moved in ((False, f"s_{tag}"), (True, f"a_{tag}")):
-            mean = f"coalesce({moved} / m_{tag}, 0.0D)"
+    rows = lagged_rows(long_rows(frames, kinds), frames.keys, [1])
+    edges = stage(window_quantiles(frames, rows, "v", list(CORRIDOR), buffer_rows), "edges")
+    corridors = [x for x in CORRIDORS if any(n.endswith(f"__qh_{x[1]}__ql_{x[0]}") for n in names)]
+    places = [(CORRIDOR.index(low), CORRIDOR.index(high)) for low, high in corridors]
+
+    def sums(rows: list[np.ndarray], stats: list[np.ndarray]) -> list:
+        before, now = rows
+        step = now - before
+        low, high = np.fmin(before, now), np.fmax(before, now)
+        terms = np.vstack([np.ones_like(step), step, np.abs(step), step * step])
+        out = []
+        for q in stats[0]:
+            inside = np.array([(q[a] < q[b]) & (low >= q[a]) & (high <= q[b]) & ~np.isnan(before) for a, b in places])
+            out.append((np.where(np.isnan(terms), 0.0, terms) @ inside.T.astype(float)).T.ravel())
+        return [out]
+
+    blocks = packed(frames, rows, ("lag_1", "v"))
+    found = per_window(frames, blocks, edges, ("lag_1", "v"), ("q",), sums, {"t": T.ArrayType(T.DoubleType())})
+    width = 4 * len(places)
+    table = found.groupBy(*keys).agg(*[F.expr(f"sum(t[{i}])").alias(f"t{i}") for i in range(width)])
+    values = {}
+    for i, (low, high) in enumerate(corridors):
+        m, moved, total, squares = (f"t{4 * i + k}" for k in range(4))
+        for is_abs, first in ((False, moved), (True, total)):
+            mean = f"coalesce(try_divide({first}, {m}), 0.0D)"
+            spread = f"greatest(coalesce(try_divide({squares}, {m}), 0.0D) - pow({mean}, 2), 0.0D)"
             stem = f"__isabs_{is_abs}__qh_{high}__ql_{low}"
             values['change_quantiles__f_agg_"mean"' + stem] = mean
-            spread = f"greatest(coalesce(q_{tag} / m_{tag}, 0.0D) - pow({mean}, 2), 0.0D)"
             values['change_quantiles__f_agg_"var"' + stem] = spread
-    table = rows.join(edges, keys).groupBy(*keys).agg(*aggregates)
     return as_long(table, frames.window_keys, {name: values[name] for name in names})
 
 
@@ -246,48 +217,57 @@ def mass_quantiles(frames: Frames, names: list[str], kinds: list[str] | None = N
     return table.select(*keys, feature.alias("feature"), ((c("pos") + 1) / c("end")).alias("value"))
 
 
+def _strikes(values: np.ndarray, mean: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list:
+    """Per window: best run, run from the start, run to the end, above and below the mean."""
+    noise = 1e-12 * np.maximum(np.abs(lo), np.abs(hi))
+    distance = values[None, :] - mean[:, None]
+    place = np.arange(len(values))
+    out = []
+    for hit in (distance > noise[:, None], -distance > noise[:, None]):
+        last_miss = np.maximum.accumulate(np.where(hit, -1, place), axis=1)
+        run = np.where(hit, place - last_miss, 0)
+        prefix = np.where(hit.all(axis=1), len(values), hit.argmin(axis=1))
+        out += [run.max(axis=1), prefix, run[:, -1]]
+    return [np.full(len(mean), len(values)), *out]
+
+
 def longest_strikes(
-    frames: Frames, names: list[str], kinds: list[str] | None = None, block_rows: int = BLOCK_ROWS
+    frames: Frames, names: list[str], kinds: list[str] | None = None, block_rows: int = BLOCK
 ) -> DataFrame:
     """Longest run above or below the window mean.
 
-    Runs are found inside blocks; a block reports its best run and the runs touching its
-    edges, and edge runs of neighbouring blocks are added up.
+    A block reports its best run and the runs touching its edges; edge runs of
+    neighbouring blocks are added up.
     """
-    stats = window_stats(frames, kinds)
     keys = [*frames.window_keys, "kind"]
-    rows = frames.exploded(long_rows(frames, kinds)).select(*keys, "pos", "v").join(
-        stats.select(*keys, "mean", "lo", "hi"), keys
+    measures = ("best", "prefix", "suffix")
+    outputs = {name: T.LongType() for name in ("rows", *[f"{m}_{side}" for side in ("above", "below") for m in measures])}
+    found = per_window(
+        frames,
+        packed(frames, long_rows(frames, kinds), ("v",), block_rows),
+        window_stats(frames, kinds),
+        ("v",),
+        ("mean", "lo", "hi"),
+        lambda rows, stats: _strikes(rows[0], *stats),
+        outputs,
     )
     sides = F.array(
-        F.struct(F.lit("above").alias("side"), F.expr(f"v - mean > {NOISE}").alias("hit")),
-        F.struct(F.lit("below").alias("side"), F.expr(f"mean - v > {NOISE}").alias("hit")),
-    )
-    rows = rows.withColumn("_block", block_of(c("pos"), block_rows)).select(*keys, "_block", "pos", F.inline(sides))
-    block_keys = [*keys, "side", "_block"]
-    ordered = Window.partitionBy(*block_keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    misses = F.sum(F.when(c("hit"), 0).otherwise(1)).over(ordered)
-    runs = rows.withColumn("_run", misses).groupBy(*block_keys, "_run").agg(
-        F.sum(F.when(c("hit"), 1).otherwise(0)).alias("run"), F.count(F.lit(1)).alias("rows")
-    )
-    blocks = runs.groupBy(*block_keys).agg(
-        F.sum("rows").alias("rows"),
-        F.sum("run").alias("hits"),
-        F.max("run").alias("best"),
-        F.coalesce(F.max(F.when(c("_run") == 0, c("run"))), F.lit(0)).alias("prefix"),
-        F.max_by("run", "_run").alias("suffix"),
+        *[
+            F.struct(F.lit(side).alias("side"), *[c(f"{m}_{side}").alias(m) for m in measures])
+            for side in ("above", "below")
+        ]
     )
+    blocks = found.select(*keys, "_block", "rows", F.inline(sides))
     earlier = Window.partitionBy(*keys, "side").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    full = c("hits") == c("rows")
+    full = c("best") == c("rows")
     group = F.coalesce(F.sum(F.when(full, 0).otherwise(1)).over(earlier), F.lit(0))
-    grouped = blocks.withColumn("g", group)
     pieces = F.when(full, F.array(F.struct(c("g").alias("g"), c("rows").alias("part")))).otherwise(
         F.array(
             F.struct(c("g").alias("g"), c("prefix").alias("part")),
             F.struct((c("g") + 1).alias("g"), c("suffix").alias("part")),
         )
     )
-    joined = grouped.select(*keys, "side", "best", F.inline(pieces)).groupBy(*keys, "side", "g").agg(
+    joined = blocks.withColumn("g", group).select(*keys, "side", "best", F.inline(pieces)).groupBy(*keys, "side", "g").agg(
         F.sum("part").alias("joined"), F.max("best").alias("best")
     )
     strike = joined.groupBy(*keys, "side").agg(F.max(F.greatest("joined", "best")).alias("value"))
