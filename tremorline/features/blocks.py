@@ -70,7 +70,10 @@ def per_window(
         .select(*keys, "_block", "_first", *row_columns, *[F.expr(f"transform(_w, w -> w.{k})").alias(f"_w_{k}") for k in stats])
     )
 
+    fixed = (*keys, "_block")
+
     def contribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {name: [] for name in (*fixed, "end", *outputs)}
         for batch in batches:
             for record in batch.to_dict("records"):
                 rows = [np.asarray(record[k], float) for k in row_columns]
@@ -79,23 +82,19 @@ def per_window(
                 for size in np.unique(sizes[sizes > 0]):
                     part = [column[sizes == size] for column in columns]
                     found = compute([values[:size] for values in rows], part[1:])
-                    fixed = {k: [record[k]] * len(part[0]) for k in (*keys, "_block")}
-                    yield pd.DataFrame({**fixed, "end": part[0], **dict(zip(outputs, map(list, found)))})
-
-    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        weight = 0
-        for piece in contribute(batches):
-            held.append(piece)
-            weight += len(piece)
-            if weight >= 5_000:
-                yield pd.concat(held)
-                held, weight = [], 0
-        if held:
-            yield pd.concat(held)
+                    for name in fixed:
+                        held[name].extend([record[name]] * len(part[0]))
+                    held["end"].extend(part[0])
+                    for name, values in zip(outputs, found):
+                        held[name].extend(values)
+                    if len(held["end"]) >= 5_000:
+                        yield pd.DataFrame(held)
+                        held = {name: [] for name in held}
+        if held["end"]:
+            yield pd.DataFrame(held)
 
     fields = {f.name: f.dataType for f in met.schema}
-    schema = T.StructType([T.StructField(k, fields[k]) for k in (*keys, "_block")]).add("end", T.LongType())
+    schema = T.StructType([T.StructField(k, fields[k]) for k in fixed]).add("end", T.LongType())
     for name, kind in outputs.items():
         schema = schema.add(name, kind)
-    return met.mapInPandas(grouped, schema)
+    return met.mapInPandas(contribute, schema)

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(function: Callable[[float], float], values: np.ndarray) -> np.ndarray:
+    flat = np.asarray(values, float)
+    return np.array([function(v) for v in flat.ravel()], float).reshape(flat.shape)
+
+
+def _log_gamma(values: np.ndarray) -> np.ndarray:
+    return _each(math.lgamma, values)
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -55,7 +62,7 @@ def student_two_sided(t: Column, df: Column) -> Column:
 def normal_two_sided(z: Column) -> Column:
     @F.pandas_udf("double")
     def finish(z: pd.Series) -> pd.Series:
-        return pd.Series(_erfc(np.abs(z.to_numpy(float)) / math.sqrt(2)))
+        return pd.Series(_each(math.erfc, np.abs(z.to_numpy(float)) / math.sqrt(2)))
 
     return finish(z)
 
