@@ -25,11 +25,21 @@ WINDOW_GROUP = 256  # windows that meet a block at a time
 c = F.col
 
 
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's number of shuffle partitions.
+
+    The grouping that follows reuses the partitioning. A fixed number keeps adaptive
+    execution from merging partitions that are small in bytes but carry numpy work.
+    """
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, *keys)
+
+
 def packed(frames: Frames, rows: DataFrame, columns: tuple[str, ...], size: int = BLOCK) -> DataFrame:
     """Blocks of long rows: keys, ``kind``, ``_first`` position, ends reached, one array per column."""
     keys = [*frames.keys, "kind"]
     blocks = (
-        rows.withColumn("_block", block_of(c("pos"), size))
+        spread(rows.withColumn("_block", block_of(c("pos"), size)), [*keys, "_block"])
         .groupBy(*keys, "_block")
         .agg(
             F.min("pos").alias("_first"),

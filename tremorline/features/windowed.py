@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorline.features.blocks import BLOCK, packed, per_window
+from tremorline.features.blocks import BLOCK, packed, per_window, spread
 from tremorline.features.rows import as_long, lagged_rows, long_rows
 from tremorline.features.segments import MEAN, SD, window_sums
 from tremorline.features.window_quantiles import window_quantiles
@@ -288,7 +288,7 @@ def fourier_coefficients(frames: Frames, names: list[str], kinds: list[str] | No
     keys = [*frames.window_keys, "kind"]
     step = frames.step
     rows = long_rows(frames, kinds).withColumn("_block", block_of(c("pos"), FOURIER_BLOCK))
-    blocks = rows.groupBy(*frames.keys, "kind", "c", "_block", "last_end").agg(
+    blocks = spread(rows, [*frames.keys, "kind", "_block"]).groupBy(*frames.keys, "kind", "c", "_block", "last_end").agg(
         F.min("pos").alias("first"),
         F.min("end").alias("end"),
         F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("s"),
