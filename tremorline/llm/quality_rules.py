@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 # How each measure follows from the counts of a text.
 MEASURES = {
-    **{name: lambda c, name=name: c[name] for name in (*COUNTS, "n_lines", "n_stop_words")},
+    **{name: itemgetter(name) for name in (*COUNTS, "n_lines", "n_stop_words")},
     "mean_word_length": lambda c: _ratio(c["word_chars"], c["n_words"]),
     "symbols_per_word": lambda c: _ratio(c["n_symbols"], c["n_words"]),
     "stop_word_ratio": lambda c: _ratio(c["n_stop_words"], c["n_words"]),
@@ -83,22 +84,24 @@ def verdict(rules: tuple[Rule, ...], counts: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a & b, checks)
 
 
+def _joined_hashes(hashes: Column, step: int) -> Column:
+    """Hashes of twice-as-wide windows: each paired with the one ``step`` further on."""
+    return F.when(
+        F.size(hashes) > step,
+        F.zip_with(
+            F.slice(hashes, 1, F.size(hashes) - step),
+            F.slice(hashes, step + 1, F.size(hashes) - step),
+            lambda a, b: F.xxhash64(a, b),
+        ),
+    ).otherwise(F.slice(hashes, 1, 0))
+
+
 def _window_hashes(word_list: Column, window: int) -> Column:
     """One hash per window of words, doubled up from hashes of single words."""
     width, hashes = 1, F.transform(word_list, lambda w: F.xxhash64(w))
     while width < window:
         step = min(width, window - width)
-        hashes = let(
-            hashes,
-            lambda h, step=step: F.when(
-                F.size(h) > step,
-                F.zip_with(
-                    F.slice(h, 1, F.size(h) - step),
-                    F.slice(h, step + 1, F.size(h) - step),
-                    lambda a, b: F.xxhash64(a, b),
-                ),
-            ).otherwise(F.slice(h, 1, 0)),
-        )
+        hashes = let(hashes, lambda h: _joined_hashes(h, step))
         width += step
     return hashes
 

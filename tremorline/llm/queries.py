@@ -76,7 +76,7 @@ OP8_SQL = rf"""
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS t,
            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
-           list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
     FROM documents),
 grams AS (
     SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS g
@@ -87,10 +87,10 @@ covered AS (
     FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM starts) GROUP BY doc_id),
 c AS (
     SELECT d.doc_id, len(ws) AS n_words,
-           coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS word_chars,
+           coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
            length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
            len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-           len(list_filter(ws, x -> x IN ({_STOP_LIST}))) AS n_stop_words,
+           len(list_filter(ws, lambda x: x IN ({_STOP_LIST}))) AS n_stop_words,
            coalesce(n_repeat_words, 0) AS n_repeat_words
     FROM d LEFT JOIN covered USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
