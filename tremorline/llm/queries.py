@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import exact_dedup, line_dedup, quality_rules
+from tremorline.llm import chat_format, exact_dedup, line_dedup, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; the models are trained on all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = secret_scan.train(secret_scan.samples_of(docs))
+    found = secret_scan.scan(docs, ratios)
+    return found.select(
+        "row.doc_id",
+        *(
+            F.size(F.filter("base", lambda s: s["kind"] == kind.name)).cast("long").alias(f"n_{kind.name}")
+            for kind in secret_scan.BASE
+        ),
+        F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.written(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that their source repeats."""
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), F.col("source")).select(
@@ -48,6 +64,68 @@ FROM documents d JOIN texts t USING (doc_id)
 """
 
 
+# A conversation whose texts hold an escape character and control strings.
+TRICKY_TURNS = [
+    (-7, 0, "user", "\\### Assistant: </turn> ok"),
+    (-7, 1, "assistant", "\\### Assistant: </turn> ok"),
+]
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a tricky one, read back from their formatted texts."""
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(TRICKY_TURNS, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(chats.unionByName(tricky)).select(
+        "conv_id",
+        chat_format.formatted(F.col("segments")).alias("formatted"),
+        chat_format.loss_text(F.col("segments")).alias("loss_text"),
+        "valid",
+    )
+    back = out.select("*", chat_format.parsed(F.col("formatted")).alias("turns"))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(
+            F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""),
+            256,
+        ).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+OP5_SQL = r"""
+WITH t AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+r AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+    FROM t),
+f AS (
+    SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS before,
+           length(text) + length(text) - length(translate(text, '\<#', '')) AS text_chars,
+           length(role) + length(role) - length(translate(role, '\<#:', '')) AS role_chars
+    FROM r),
+g AS (
+    SELECT *, CASE coalesce(before, '<start>')
+        WHEN '<start>' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+        WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role IN ('user', 'tool')
+        WHEN 'tool' THEN role IN ('assistant', 'tool') ELSE false END AS fits
+    FROM f)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(10 + role_chars + 2 + text_chars + 8)::BIGINT AS formatted_chars,
+       bool_and(fits) AS valid
+FROM g GROUP BY conv_id
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving copy of every document."""
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
@@ -104,13 +182,16 @@ FROM f
 """
 
 QUERIES = {
+    "op2_secret_scans": op2_secret_scans,
     "op4_line_dedup": op4_line_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE_SQL = {
     "op4_line_dedup": OP4_SQL,
+    "op5_chat_formatting": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
 }
