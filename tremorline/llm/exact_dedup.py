@@ -9,8 +9,7 @@ Copies are found in three steps, none of which brings a whole group together:
 3. *global*: at most ``salts`` winners per content meet by (digest, content).
 
 The content itself is a grouping key at every step, so two texts with one digest stay two
-groups. Texts whose digest occurs once equal no other text; they skip the steps and never
-leave their task with their content. Salts are computed from the row, so a task that runs
+groups. Texts whose digest occurs once equal no other text; they skip the steps. Salts are computed from the row, so a task that runs
 again deals its rows out the same way.
 
 Defined cases: a missing text is an empty one; without an id a row loses to any row with
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.llm.text import ascii_lower
+from tremorline.session import stage
 
 SALTS = 32
 
@@ -35,21 +35,26 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lower case).
     """
     content = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), content.alias("content")).select(
-        "id", "content", F.sha2("content", 256).alias("digest")
+    rows = docs.select(F.col(id_col).alias("id"), content.alias("content"))
+    rows = rows.select("id", "content", F.sha2("content", 256).alias("digest"))
+    digests = stage(rows.select("id", "digest"), "digests")
+    # Tables are written down between a join and an aggregation on the same digest: Spark
+    # would otherwise do both in one stage, dealt by the digest alone, and neither split
+    # the join nor use the salt where a group of copies is large.
+    repeated = stage(
+        digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeated"
     )
-    repeated = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    # Copies only; the content is read again instead of being carried through the count.
-    copies = rows.join(repeated, "digest")
+    copies = stage(rows.join(repeated, "digest"), "copies")
     salt = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(salts))
     salted = copies.groupBy("digest", salt.alias("salt"), "content").agg(
         F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")
     )
-    groups = salted.groupBy("digest", "content").agg(
+    winners = salted.groupBy("digest", "content").agg(
         F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")
     )
+    groups = stage(winners, "groups")
     in_groups = copies.join(groups, ["digest", "content"]).select("id", "digest", "keep_id", "group_size")
-    alone = rows.select("id", "digest").join(repeated, "digest", "left_anti").select(
+    alone = digests.join(repeated, "digest", "left_anti").select(
         "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )
     return in_groups.unionByName(alone).select(
