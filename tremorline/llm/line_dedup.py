@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.llm.text import WORD
+from tremorline.session import stage
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -71,7 +72,8 @@ def drop_boilerplate(
 ) -> DataFrame:
     """``row`` (the input's columns as a struct), ``text`` without the boilerplate lines,
     ``n_lines`` and ``n_dropped``."""
-    found = boilerplate(pages, host, text_col, max_ratio, min_pages).alias("b")
+    # Written first, so that the plan knows its size before any text is dealt out.
+    found = stage(boilerplate(pages, host, text_col, max_ratio, min_pages), "boilerplate").alias("b")
     rows = pages.select(F.struct("*").alias("row"), host.alias("host")).alias("p")
     joined = rows.join(found, F.col("p.host").eqNullSafe(F.col("b.host")), "left").select("row", "digests")
     text = F.col("row")[text_col]

@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import chat_format, exact_dedup, line_dedup, quality_rules, secret_scan
+from tremorline.llm import chat_format, exact_dedup, line_dedup, quality_rules, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; the models are trained on all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -182,6 +192,7 @@ FROM f
 """
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_secret_scans": op2_secret_scans,
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_formatting": op5_chat_formatting,
