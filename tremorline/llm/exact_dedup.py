@@ -40,11 +40,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = stage(rows.select("id", "digest"), "digests")
     # Tables are written down between a join and an aggregation on the same digest: Spark
     # would otherwise do both in one stage, dealt by the digest alone, and neither split
-    # the join nor use the salt where a group of copies is large.
+    # the join nor use the salt where a group of copies is large. Joins are merge joins at
+    # every size: how many digests repeat follows the input, so none is broadcast.
     repeated = stage(
         digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeated"
     )
-    copies = stage(rows.join(repeated, "digest"), "copies")
+    copies = stage(rows.join(repeated.hint("merge"), "digest"), "copies")
     salt = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(salts))
     salted = copies.groupBy("digest", salt.alias("salt"), "content").agg(
         F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")
@@ -53,8 +54,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")
     )
     groups = stage(winners, "groups")
-    in_groups = copies.join(groups, ["digest", "content"]).select("id", "digest", "keep_id", "group_size")
-    alone = digests.join(repeated, "digest", "left_anti").select(
+    in_groups = copies.join(groups.hint("merge"), ["digest", "content"]).select("id", "digest", "keep_id", "group_size")
+    alone = digests.join(repeated.hint("merge"), "digest", "left_anti").select(
         "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )
     return in_groups.unionByName(alone).select(
