@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import chat_format, exact_dedup, line_dedup, quality_rules, secret_scan, simhash
+from tremorline.llm import chat_format, exact_dedup, line_dedup, packing, quality_rules, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,6 +152,12 @@ FROM d WINDOW w AS (PARTITION BY content)
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 4096 tokens."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, with_ids=False).drop("ids")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
@@ -197,6 +204,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
 }
 
