@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import chat_format, exact_dedup, line_dedup, packing, quality_rules, secret_scan, simhash
+from tremorline.llm import (
+    chat_format,
+    exact_dedup,
+    line_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    simhash,
+    token_files,
+)
+from tremorline.session import stage_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,6 +175,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    folder = f"{stage_root(spark)}/token_files"
+    manifest = token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer)
+    return token_files.read_documents(spark, manifest).withColumnRenamed("id", "doc_id")
+
+
 _STOP_LIST = ", ".join(f"'{w}'" for w in quality_rules._STOP_FORMS)
 
 OP8_SQL = rf"""
@@ -206,6 +224,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL = {
