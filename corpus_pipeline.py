@@ -6,10 +6,11 @@ and read again as the next stage's ``docs``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorline.llm import line_dedup, quality_rules
+from tremorline.llm import line_dedup, packing, quality_rules, secret_scan, simhash
 from tremorline.session import stage
 
 
@@ -23,6 +24,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_text(line_dedup.drop_boilerplate(docs, F.col("source")), docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked; the models are trained on what is left."""
+    ratios = secret_scan.train(secret_scan.samples_of(docs))
+    return with_text(secret_scan.redact(docs, ratios), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids and their places in windows of 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def with_text(changed: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of a document with its new text and its new length."""
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
@@ -32,6 +49,9 @@ def with_text(changed: DataFrame, columns: list[str]) -> DataFrame:
 STAGES = [
     ("quality rules", quality),
     ("line dedup", lines),
+    ("simhash near-dedup", near_duplicates),
+    ("secret scans", secrets),
+    ("packing", pack),
 ]
 
 # Fingerprints, scored secrets and packing are not expressible in SQL.

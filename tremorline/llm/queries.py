@@ -16,6 +16,7 @@ from tremorline.llm import (
     secret_scan,
     simhash,
     token_files,
+    toxicity,
 )
 from tremorline.session import stage_root
 
@@ -50,6 +51,12 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that their source repeats."""
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), F.col("source")).select(
@@ -227,6 +234,7 @@ FROM f
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_secret_scans": op2_secret_scans,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_exact_dedup": op6_exact_dedup,
