@@ -176,7 +176,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*kept, "sequence_id", "offset"])
 
     kept = [c for c in cut.columns if c not in ("part", "nth")]
-    numbered = cut.join(firsts, ["length", "part"]).select(*kept, (F.col("first") + F.col("nth")).alias("number"))
+    # A merge join at every size: this table grows with the number of tasks.
+    numbered = cut.join(firsts.hint("merge"), ["length", "part"]).select(*kept, (F.col("first") + F.col("nth")).alias("number"))
     schema = ", ".join(f"{c} {numbered.schema[c].dataType.simpleString()}" for c in kept)
     return numbered.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 

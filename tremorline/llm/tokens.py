@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import islice
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 1_000_000  # some 250 MB a worker
 _SLICE = 5000  # chunks given to a library at once
 _BATCH_CHARS = 1 << 20
 
@@ -29,13 +32,31 @@ SPACED = re.compile(rf" ?[{_LETTERS}]++{_AFTER}| ?\S+|\s+(?!\S)|\s+")
 UNSPACED = re.compile(rf"[{_LETTERS}]++{_AFTER}|\S+")
 # Characters that Python takes for white space and the libraries don't.
 _ODD = re.compile("[\x1c-\x1f]")
+# Beyond these letters lower case may depend on the neighbours or on the order of steps.
+_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+
+
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+
+# The alphabet of byte-level vocabularies: printable bytes stand for themselves, the
+# others for the characters from 256 on, in order.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def byte_characters(text: str) -> str:
+    """UTF-8 bytes of ``text``, each as its character in byte-level vocabularies."""
+    if text.isascii() and " " not in text:
+        return text
+    return text.encode().decode("latin-1").translate(_BYTES)
 
 
 class ChunkEncoder:
     """Texts to ids through a bounded memory of chunks.
 
     ``encode_many`` gives the ids of each of a list of texts. Texts with characters on
-    which the libraries and Python disagree are given to it whole.
+    which the libraries and Python disagree are given to it whole. ``lower`` says that case
+    makes no difference to the ids, so that chunks may be remembered in lower case.
     """
 
     def __init__(
@@ -43,9 +64,13 @@ class ChunkEncoder:
         chunks: re.Pattern[str],
         encode_many: Callable[[list[str]], list[bytes]],
         limit: int = CACHE_LIMIT,
+        lower: bool = False,
     ) -> None:
-        self.chunks, self.encode_many, self.limit = chunks, encode_many, limit
-        self.known: dict[str, bytes] = {}
+        self.chunks, self.encode_many, self.limit, self.lower = chunks, encode_many, limit, lower
+        # number of each chunk seen, in order of appearance, and the ids by that number
+        self.numbers: defaultdict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.ids: list[bytes] = []
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, in order."""
@@ -58,20 +83,19 @@ class ChunkEncoder:
         yield from self._encode(texts[start:])
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        known, cut = self.known, self.chunks.findall
-        pieces = [[] if _ODD.search(t) else cut(t) for t in texts]
-        new = list({c for p in pieces for c in p if c not in known})
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list({c for p in pieces for c in p})
+        cut, numbers, ids = self.chunks.findall, self.numbers, self.ids
+        if len(ids) > self.limit:
+            numbers.clear()
+            ids.clear()
+        odd = [bool(_ODD.search(t)) for t in texts]
+        plain = [t.lower() if self.lower and not _BEYOND_LATIN.search(t) else t for t in texts]
+        number = numbers.__getitem__
+        pieces = [[] if o else list(map(number, cut(t))) for o, t in zip(odd, plain)]
+        new = list(islice(reversed(numbers), len(numbers) - len(ids)))[::-1]
         for k in range(0, len(new), _SLICE):
-            part = new[k : k + _SLICE]
-            known.update(zip(part, self.encode_many(part)))
-        for text, piece in zip(texts, pieces):
-            if not piece and text:
-                yield self.encode_many([text])[0] if _ODD.search(text) else b""
-            else:
-                yield b"".join(map(known.__getitem__, piece))
+            ids += self.encode_many(new[k : k + _SLICE])
+        for text, o, piece in zip(texts, odd, pieces):
+            yield self.encode_many([text])[0] if o else b"".join(map(ids.__getitem__, piece))
 
 
 def worker_memory() -> dict[str, object]:
@@ -91,16 +115,28 @@ def library_encoder(path: str) -> ChunkEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        joins_spaces = "Ġ" in tokenizer.get_vocab()
+        drops_spaces = not tokenizer.encode(" ", add_special_tokens=False).ids
+
+        lowers = "Lowercase" in str(tokenizer.normalizer)
+        tokenize = tokenizer.model.tokenize
 
         def encode_many(texts: list[str]) -> list[bytes]:
+            # What the steps before the model leave of a word of Latin letters is known:
+            # its bytes as characters. Anything else goes through all of them.
+            easy = [bool(_WORD.fullmatch(t)) and (t.islower() or not lowers) for t in texts]
+            rest = iter(whole([t for t, e in zip(texts, easy) if not e]))
+            return [
+                array("I", [i.id for i in tokenize(byte_characters(t))]).tobytes() if e else next(rest)
+                for t, e in zip(texts, easy)
+            ]
+
+        def whole(texts: list[str]) -> list[bytes]:
             found = tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            of = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
-            cuts = np.searchsorted(of, np.arange(len(texts) + 1))
-            return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+            ids = np.array(found.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(texts) + 1))).tolist()
+            return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
-        encoders[key] = ChunkEncoder(SPACED if joins_spaces else UNSPACED, encode_many)
+        encoders[key] = ChunkEncoder(UNSPACED if drops_spaces else SPACED, encode_many, lower=lowers)
     return encoders[key]
 
 
