@@ -39,8 +39,8 @@ def test_files_hold_equal_sequences_and_masks(spark, tmp_path):
     for row in rows:
         file = token_files.TokenFile(row.tokens)
         masks = [file.sequence(i)[1] for i in range(len(file))]
-        assert all(len(m) == 16 for m in masks) and all(m.all() for m in masks[:-1])
-        assert sum(int(m.sum()) for m in masks) == row.n_tokens
+        assert all(len(m) == 16 for m in masks) and all(m.true_count == 16 for m in masks[:-1])
+        assert sum(m.true_count for m in masks) == row.n_tokens
         ids, _ = file.sequence(len(file) - 1)
         assert not ids.flags.owndata and not ids.flags.writeable
 

@@ -4,9 +4,9 @@ A folder holds pairs of Arrow IPC files (the random-access layout, with a footer
 pair written by one task:
 
 - ``*.tokens.arrow``: ``ids``, a fixed-size list of ``sequence_length`` ids, and ``mask``,
-  a fixed-size list that is 1 where ``ids`` holds a token and 0 where it is padding. Every
-  record batch but the last has ``BATCH`` sequences, so sequence i is row i % BATCH of
-  batch i // BATCH, read without copying from a memory-mapped file. The stream of a file
+  a fixed-size list of bits that are set where ``ids`` holds a token and clear where it is
+  padding. Every record batch but the last has ``BATCH`` sequences, so sequence i is row
+  i % BATCH of batch i // BATCH, read without copying from a memory-mapped file. The stream of a file
   runs on from sequence to sequence; only its last one is padded.
 - ``*.documents.arrow``: id, offset in the file's stream, and number of tokens of each
   document in it.
@@ -53,7 +53,7 @@ class PairWriter:
         self.tokens_path, self.documents_path = (f"{folder}/{name}.{k}.arrow" for k in ("tokens", "documents"))
         value = pa.from_numpy_dtype(self.dtype)
         self.schema = pa.schema(
-            [("ids", pa.list_(value, sequence_length)), ("mask", pa.list_(pa.uint8(), sequence_length))]
+            [("ids", pa.list_(value, sequence_length)), ("mask", pa.list_(pa.bool_(), sequence_length))]
         )
         self.sink = open_output(self.tokens_path)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
@@ -76,8 +76,7 @@ class PairWriter:
             self.pending, self.waiting = [stream[whole:]], len(stream) - whole
 
     def _write(self, stream: np.ndarray, size: int) -> None:
-        mask = np.zeros(size, np.uint8)
-        mask[: len(stream)] = 1
+        mask = np.arange(size) < len(stream)
         ids = np.zeros(size, self.dtype)
         ids[: len(stream)] = stream
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (ids, mask)]
@@ -130,26 +129,25 @@ class TokenFile:
         batches = self.reader.num_record_batches
         return (batches - 1) * BATCH + self.last_rows if batches else 0
 
-    def _values(self, batch: int, column: str) -> np.ndarray:
+    def _values(self, batch: int, column: str) -> pa.Array:
         if batch != self._at:
             self._at, self._batch = batch, self.reader.get_batch(batch)
-        return self._batch.column(column).values.to_numpy(zero_copy_only=True)
+        return self._batch.column(column).values
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``i``: views of the file."""
         batch, row = divmod(i, BATCH)
-        span = slice(row * self.length, (row + 1) * self.length)
-        return self._values(batch, "ids")[span], self._values(batch, "mask")[span]
+        ids, mask = (self._values(batch, c).slice(row * self.length, self.length) for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def stream(self, start: int, n: int) -> Iterator[np.ndarray]:
         """``n`` tokens from position ``start`` of the file's stream, as views by batch."""
-        size = self.length * BATCH
         while n > 0:
-            batch, at = divmod(start, size)
-            mask = self._values(batch, "mask")[at : at + n]
-            if not mask.all():
+            batch, at = divmod(start, self.length * BATCH)
+            mask = self._values(batch, "mask").slice(at, n)
+            if mask.true_count != len(mask):
                 raise ValueError("a document runs into padding")
-            yield self._values(batch, "ids")[at : at + n]
+            yield self._values(batch, "ids").slice(at, n).to_numpy(zero_copy_only=True)
             start, n = start + len(mask), n - len(mask)
 
 
