@@ -147,3 +147,55 @@ def test_missing_feature_is_an_error(spark, blobs):
     broken = blobs.withColumn("f1", F.when(F.col("k") > 5, F.col("f1")))
     with pytest.raises(Exception, match="missing feature value"):
         as_vectors(broken, ["f1"]).select("features").collect()
+
+
+def brute_upper_tail(n1, n2, u):
+    """P(U >= u) twice from the full distribution of the rank sum, in whole numbers."""
+    ways = {0: {0: 1}}
+    for rank in range(1, n1 + n2 + 1):
+        for size in sorted(ways, reverse=True):
+            if size < n1:
+                into = ways.setdefault(size + 1, {})
+                for total, count in ways[size].items():
+                    into[total + rank] = into.get(total + rank, 0) + count
+    counts = {total - n1 * (n1 + 1) // 2: count for total, count in ways[n1].items()}
+    high = max(u, n1 * n2 - u)
+    return min(1.0, 2 * sum(c for v, c in counts.items() if v >= high) / sum(counts.values()))
+
+
+@pytest.mark.parametrize(("n1", "n2"), [(1, 5), (2, 9), (5, 3), (8, 12), (7, 30), (40, 3)])
+def test_exact_rank_p_equals_the_full_distribution(n1, n2):
+    from tremorline.operators.relevance import _exact_rank_p
+
+    for u in range(0, n1 * n2 + 1, max(1, n1 * n2 // 9)):
+        assert _exact_rank_p(n1, n2, u, {}) == pytest.approx(brute_upper_tail(n1, n2, u), rel=1e-12)
+
+
+@pytest.mark.parametrize("n2", [2_000, 20_000, 3_000_000])
+def test_exact_rank_p_of_large_samples(n2):
+    import math
+
+    from tremorline.operators.relevance import _exact_rank_p
+
+    assert _exact_rank_p(8, n2, 8 * n2, {}) == pytest.approx(2 / math.comb(n2 + 8, 8), rel=1e-12)
+    assert _exact_rank_p(8, n2, 8 * n2 - 3, {}) == pytest.approx(2 * 7 / math.comb(n2 + 8, 8), rel=1e-12)
+    for u in (4 * n2, 5 * n2, 7 * n2):
+        assert 0 <= _exact_rank_p(8, n2, u, {}) <= 1
+    # close to the normal tail in the middle
+    sigma = math.sqrt(8 * n2 * (n2 + 9) / 12)
+    assert _exact_rank_p(8, n2, 4 * n2 + sigma, {}) == pytest.approx(math.erfc(1 / math.sqrt(2)), rel=0.05)
+
+
+def test_fisher_p_against_whole_numbers():
+    import math
+    from fractions import Fraction
+
+    from tremorline.operators.relevance import _fisher_p
+
+    for n, row, col in [(10, 4, 5), (30, 11, 17), (200, 60, 90), (1000, 3, 400)]:
+        weights = {k: math.comb(row, k) * math.comb(n - row, col - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        for a, w in weights.items():
+            want = float(Fraction(sum(v for v in weights.values() if v <= w), sum(weights.values())))
+            assert _fisher_p(a, row, col, n) == pytest.approx(want, rel=1e-9)
+    assert 0 <= _fisher_p(900_000, 1_000_000, 1_500_000, 3_000_000) < 1e-300
+    assert _fisher_p(500_000, 1_000_000, 1_500_000, 3_000_000) == 1.0

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from tremorline.operators.indexing import running_sum
 from tremorline.session import stage
 
 EXACT_RANK_SAMPLE = 8  # smaller sample up to which untied ranks get exact p-values
-EXACT_RANK_PRODUCT = 10_000_000
+PERIOD = math.lcm(*range(1, EXACT_RANK_SAMPLE + 1))
 
 
 def class_counts(features: DataFrame, labels: DataFrame, on: list[str], classes: tuple[int, ...]) -> DataFrame:
@@ -65,31 +64,101 @@ def rank_statistics(counts: DataFrame, classes: tuple[int, ...]) -> DataFrame:
     )
 
 
-def _exact_rank_p(n1: int, n2: int, u: float) -> float:
-    """P(U >= u) twice, from the number of arrangements per value of U."""
+def _partition_table(parts: int) -> list[int]:
+    """Numerator of 1 / ((1 - q) (1 - q^2) ... (1 - q^parts) (1 - q)) over (1 - q^PERIOD) to
+    the power parts + 1; its length depends on ``parts`` only."""
+    coefficients = [1]
+    for step in (*range(1, parts + 1), 1):
+        wide = coefficients + [0] * (PERIOD - step)
+        for k in range(step, len(wide)):
+            wide[k] += wide[k - step]
+        for k in range(len(wide) - 1, PERIOD - 1, -1):
+            wide[k] -= wide[k - PERIOD]
+        coefficients = wide
+    return coefficients
+
+
+def _partitions_up_to(total: int, parts: int, table: list[int]) -> int:
+    """Number of partitions of 0, 1, ..., ``total`` into parts of size at most ``parts``."""
+    if total < 0:
+        return 0
+    return sum(
+        table[k] * math.comb((total - k) // PERIOD + parts, parts)
+        for k in range(total % PERIOD, min(total, len(table) - 1) + 1, PERIOD)
+    )
+
+
+def _exact_rank_p(n1: int, n2: int, u: float, tables: dict[int, list[int]] | None = None) -> float:
+    """P(U >= u) twice, in whole numbers.
+
+    Arrangements with U <= t are partitions of at most t into ``small`` parts of at most
+    ``large``; leaving out the bound on the parts and taking back what breaks it gives
+    2^small terms, each a few products, however large the samples are.
+    """
+    tables = {} if tables is None else tables
     small, large = min(n1, n2), max(n1, n2)
     top = small * large
-    ways = np.zeros(top + 1)
-    ways[0] = 1.0
+    t = top - math.ceil(max(u, top - u))
+    if small not in tables:
+        tables[small] = _partition_table(small)
+    # sums of subsets of large + 1, ..., large + small, with their signs
+    signs = {0: 1}
     for i in range(1, small + 1):
-        factor = large + i
-        if factor <= top:
-            ways[factor:] -= ways[: top + 1 - factor].copy()
-        for offset in range(i):
-            ways[offset::i] = np.cumsum(ways[offset::i])
-    high = max(u, top - u)
-    return min(1.0, 2 * ways[math.ceil(high) :].sum() / ways.sum())
+        for s, sign in list(signs.items()):
+            if s + large + i <= t:
+                signs[s + large + i] = signs.get(s + large + i, 0) - sign
+    ways = sum(sign * _partitions_up_to(t - s, small, tables[small]) for s, sign in signs.items())
+    return min(1.0, 2 * ways / math.comb(n1 + n2, small))
 
 
 def _fisher_p(a: float, row: float, col: float, n: float) -> float:
-    """Two-sided exact p of a 2x2 table with first cell ``a`` and fixed margins."""
-    low, high = max(0, int(row + col - n)), int(min(row, col))
-    k = np.arange(low, high)
-    steps = np.log((row - k) * (col - k)) - np.log((k + 1.0) * (n - row - col + k + 1))
-    logs = np.concatenate([[0.0], np.cumsum(steps)])
-    weights = np.exp(logs - logs.max())
-    observed = weights[int(a) - low]
-    return float(min(1.0, weights[weights <= observed * (1 + 1e-7)].sum() / weights.sum()))
+    """Two-sided exact p of a 2x2 table with first cell ``a`` and fixed margins.
+
+    Terms are summed outwards, from the largest one and from where they fall to the
+    observed one on either side, until they no longer count.
+    """
+    a, row, col, n = (int(v) for v in (a, row, col, n))
+    low, high = max(0, row + col - n), min(row, col)
+    mode = min(max((row + 1) * (col + 1) // (n + 2), low), high)
+
+    def log_weight(k: int) -> float:
+        return -sum(math.lgamma(v + 1) for v in (k, row - k, col - k, n - row - col + k))
+
+    peak = log_weight(mode)
+
+    def outwards(k: int, step: int) -> float:
+        """Sum of the terms from ``k`` on, in units of the largest term."""
+        if not low <= k <= high:
+            return 0.0
+        term = total = math.exp(log_weight(k) - peak)
+        while low <= k + step <= high and term > total * 1e-18:
+            if step > 0:
+                term *= (row - k) * (col - k) / ((k + 1) * (n - row - col + k + 1))
+            else:
+                term *= k * (n - row - col + k) / ((row - k + 1) * (col - k + 1))
+            k += step
+            total += term
+        return total
+
+    limit = log_weight(a) + 1e-7
+    if peak <= limit:
+        return 1.0
+
+    def first_below(end: int) -> int:
+        """Nearest position to the mode, towards ``end``, whose term is at most the observed one."""
+        inside, outside = 0, abs(end - mode) + 1
+        sign = 1 if end > mode else -1
+        while outside - inside > 1:
+            middle = (inside + outside) // 2
+            if log_weight(mode + sign * middle) <= limit:
+                outside = middle
+            else:
+                inside = middle
+        return mode + sign * outside
+
+    above = outwards(first_below(high), 1) if high > mode else 0.0
+    below = outwards(first_below(low), -1) if low < mode else 0.0
+    return min(1.0, (above + below) / (outwards(mode, 1) + outwards(mode, -1) - 1.0))
 
 
 def p_values(statistics: DataFrame) -> DataFrame:
@@ -99,11 +168,12 @@ def p_values(statistics: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def exact(kind: pd.Series, n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series, low: pd.Series, low1: pd.Series) -> pd.Series:
         out: list[float | None] = []
+        tables: dict[int, list[int]] = {}
         for k, a, b, stat, tied, first, cell in zip(kind, n1, n2, u, ties, low, low1):
             if k == "binary" and a > 0 and b > 0:
                 out.append(_fisher_p(cell, first, a, a + b))
-            elif k == "real" and 0 < min(a, b) <= EXACT_RANK_SAMPLE and tied == 0 and a * b <= EXACT_RANK_PRODUCT:
-                out.append(_exact_rank_p(int(a), int(b), stat))
+            elif k == "real" and 0 < min(a, b) <= EXACT_RANK_SAMPLE and tied == 0:
+                out.append(_exact_rank_p(int(a), int(b), stat, tables))
             else:
                 out.append(None)
         return pd.Series(out, dtype="float64")
