@@ -139,9 +139,9 @@ def test_strikes_do_not_depend_on_blocks(frames, rows):
     assert got == {tuple(r) for r in windowed.longest_strikes(frames, names).collect()}
 
 
-def test_quantiles_do_not_depend_on_the_buffer(frames, windows):
+def test_quantiles_of_windows(frames, windows):
     names = ["median", "quantile__q_0.1", "quantile__q_0.9"]
-    rows = windowed.quantile_features(frames, names, buffer_rows=1).collect()
+    rows = windowed.quantile_features(frames, names).collect()
     got = {(r["id"], r["end"], r["kind"], r["feature"]): r["value"] for r in rows}
     for (key, end, kind), x in windows.items():
         for name, q in zip(names, (0.5, 0.1, 0.9)):
@@ -238,7 +238,7 @@ def test_matrix_and_impute(spark):
     rows = [(1, "x", "a", 1.0), (2, "x", "a", inf), (3, "x", "a", -inf), (4, "x", "a", None), (5, "x", "a", 4.0),
             (1, "y", "b", None), (2, "y", "b", float("nan"))]
     long = spark.createDataFrame(rows, "w int, kind string, feature string, value double")
-    filled = {(r["w"], r["kind"]): r["value"] for r in impute(long, ["w"], largest=5).collect()}
+    filled = {(r["w"], r["kind"]): r["value"] for r in impute(long, ["w"]).collect()}
     assert filled == {(1, "x"): 1.0, (2, "x"): 4.0, (3, "x"): 1.0, (4, "x"): 2.5, (5, "x"): 4.0, (1, "y"): 0.0, (2, "y"): 0.0}
-    wide = to_matrix(impute(long, ["w"], largest=5), ["w"], ["x__a", "y__b"])
+    wide = to_matrix(impute(long, ["w"]), ["w"], ["x__a", "y__b"])
     assert sorted(wide.columns) == ["w", "x__a", "y__b"] and wide.count() == 5

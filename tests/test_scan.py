@@ -24,9 +24,8 @@ def folders(tmp_path):
     return tmp_path
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 1])
-def test_scan(spark, folders, limit):
-    raw = scan_acceleration(spark, str(folders), ["train/B 1", "test/B2"], whole_file_bytes=limit)
+def test_scan(spark, folders):
+    raw = scan_acceleration(spark, str(folders), ["train/B 1", "test/B2"])
     got = sorted((r["id"], r["time"], r["x"], r["y"]) for r in with_time(raw).collect())
     day = datetime.datetime(2023, 1, 1)
     assert [g[:3] for g in got] == [
@@ -43,7 +42,7 @@ def test_split_files_number_lines_across_splits(spark, folders):
     write(folders, "big/B9/acc_1.csv", lines)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        rows = scan_acceleration(spark, str(folders), ["big/B9"], whole_file_bytes=1000).collect()
+        rows = scan_acceleration(spark, str(folders), ["big/B9"]).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(int(r["x"]) for r in rows) == list(range(0, 5000, 2))
@@ -60,6 +59,20 @@ def test_bad_number_fails(spark, folders):
         scan_acceleration(spark, str(folders), ["bad/B"]).collect()
 
 
+def test_line_ends(spark, folders):
+    write(folders, "cr/B/acc_1.csv", [f"1;0;0;0;{i};0" for i in range(5)], "\r")
+    write(folders, "crlf/B/acc_1.csv", [f"1;0;0;0;{i};0" for i in range(5)], "\r\n")
+    for name in ("cr/B", "crlf/B"):
+        assert sorted(r["x"] for r in scan_acceleration(spark, str(folders), [name]).collect()) == [0.0, 2.0, 4.0]
+
+
+@pytest.mark.parametrize("line", ["1;1;1;1;2", "1;1;1;1;2;3;4"])
+def test_wrong_number_of_fields_fails(spark, folders, line):
+    write(folders, "wrong/B/acc_1.csv", [line])
+    with pytest.raises(PySparkException):
+        scan_acceleration(spark, str(folders), ["wrong/B"]).collect()
+
+
 def test_nothing_to_read_fails(spark, folders):
     with pytest.raises(ValueError):
         scan_acceleration(spark, str(folders), [])

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import brute
@@ -89,9 +90,8 @@ def test_global_fill_takes_from_another_series(spark):
     assert got == {1: 1.0, 2: None, 3: 1.0, 4: 4.0, 5: 1.0}
 
 
-@pytest.mark.parametrize("buffer_rows", [1, 10**6])
-def test_robust_scale(spark, arrays, make_series, buffer_rows):
-    scaled = robust_scale(index_series(make_series(arrays)), buffer_rows)
+def test_robust_scale(spark, arrays, make_series):
+    scaled = robust_scale(index_series(make_series(arrays)))
     rows = scaled.rows.toPandas()
     for key, (x, _) in arrays.items():
         q = np.quantile(x, [0.25, 0.5, 0.75])
@@ -102,6 +102,22 @@ def test_robust_scale(spark, arrays, make_series, buffer_rows):
     assert np.allclose(again.x_x, again.x_y, atol=1e-12)
 
 
+def test_series_without_values_keeps_its_rows(spark):
+    at = lambda s: datetime.datetime(2023, 1, 1, 0, 0, s)
+    rows = [(1, at(s), float(s), 1.0) for s in range(7)] + [(2, at(s), None, 2.0) for s in range(4)]
+    scaled = robust_scale(index_series(spark.createDataFrame(rows, "id int, time timestamp_ntz, x double, y double")))
+    got = scaled.rows.collect()
+    assert len(got) == 11 and {r["x"] for r in got if r["id"] == 2} == {None}
+    assert {r["y"] for r in got} == {0.0}
+
+
+@pytest.mark.parametrize("row", [(None, datetime.datetime(2023, 1, 1)), (1, None)])
+def test_missing_key_or_time_fails(spark, row):
+    rows = [(1, datetime.datetime(2023, 1, 2), 1.0, 1.0), (*row, 2.0, 2.0)]
+    with pytest.raises(PySparkException):
+        index_series(spark.createDataFrame(rows, "id int, time timestamp_ntz, x double, y double")).rows.collect()
+
+
 def test_scaling_constants(spark, make_series):
     series = index_series(make_series({1: ([3.0] * 5, [1.0, 2.0, 3.0, 4.0, 5.0])}))
     assert {r["x"] for r in robust_scale(series).rows.collect()} == {0.0}
@@ -113,7 +129,7 @@ def test_scaling_constants(spark, make_series):
 @given(st.lists(st.integers(-3, 3), min_size=1, max_size=60), st.sampled_from([0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]))
 def test_bracketed_quantiles(spark, values, q):
     table = spark.createDataFrame([(1, float(v)) for v in values] + [(1, None), (2, 5.0)], "k int, v double")
-    got = {r["k"]: r["q"] for r in group_quantiles(table, ["k"], "v", [q, 0.5], len(values), buffer_rows=0).collect()}
+    got = {r["k"]: r["q"] for r in group_quantiles(table, ["k"], "v", [q, 0.5]).collect()}
     assert got[1] == pytest.approx([np.quantile(values, q), np.median(values)], abs=1e-12)
     assert got[2] == [5.0, 5.0]
 
@@ -122,7 +138,7 @@ def test_bracketed_quantiles_of_a_large_group(spark):
     table = spark.range(120_000).select(F.lit(1).alias("k"), F.expr("double(if(id % 3 = 0, 7, (id * 7919) % 120011))").alias("v"))
     values = table.toPandas().v
     probabilities = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = group_quantiles(table, ["k"], "v", probabilities, 120_000, buffer_rows=1000).first()["q"]
+    got = group_quantiles(table, ["k"], "v", probabilities).first()["q"]
     assert got == pytest.approx(list(np.quantile(values, probabilities)), abs=1e-9)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tremorline.features import occurrences, segments, spectral, windowed
 from tremorline.features.rows import union_all
 from tremorline.operators.indexing import quoted
-from tremorline.operators.quantiles import BUFFER_ROWS, group_quantiles
+from tremorline.operators.quantiles import group_quantiles
 from tremorline.operators.rolling import Frames
 from tremorline.session import stage
 
@@ -123,15 +123,15 @@ def matrix_columns(spec: dict[str, list[str]]) -> list[str]:
     return [column_name(kind, feature) for kind, names in spec.items() for feature in names]
 
 
-def impute(features: DataFrame, window_keys: list[str], largest: int, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+def impute(features: DataFrame, window_keys: list[str]) -> DataFrame:
     """Per axis and feature: +inf to the largest finite value, -inf to the smallest, missing
-    to the median; zero where no finite value exists. ``largest`` bounds the window count."""
+    to the median; zero where no finite value exists."""
     value = F.col("value")
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
     staged = stage(features.withColumn("_finite", F.when(finite, value)), "features")
     by = ["kind", "feature"]
     bounds = staged.groupBy(*by).agg(F.min("_finite").alias("_lo"), F.max("_finite").alias("_hi"))
-    middle = group_quantiles(staged, by, "_finite", [0.5], largest, buffer_rows)
+    middle = group_quantiles(staged, by, "_finite", [0.5])
     middle = middle.select(*by, F.col("q")[0].alias("_mid"))
     stats = stage(bounds.join(middle, by, "left"), "impute")
     filled = (

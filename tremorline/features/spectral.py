@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from tremorline.features.blocks import packed, per_window
 from tremorline.features.rows import as_long, lagged_rows, long_rows
 from tremorline.features.window_quantiles import window_quantiles
-from tremorline.operators.quantiles import BUFFER_ROWS
 from tremorline.operators.rolling import Frames
 from tremorline.session import stage
 
@@ -193,13 +192,13 @@ def wavelet_features(frames: Frames, names: list[str], kinds: list[str] | None =
 
 
 def drift_features(
-    frames: Frames, names: list[str], kinds: list[str] | None = None, buffer_rows: int = BUFFER_ROWS
+    frames: Frames, names: list[str], kinds: list[str] | None = None
 ) -> DataFrame:
     """Cubic fit of the mean step over 30 quantile bins of the value, and its largest root."""
     keys = [*frames.window_keys, "kind"]
     pairs = lagged_rows(long_rows(frames, kinds), frames.keys, [1]).filter(c("pos") >= 1)
     grid = [i / DRIFT_BINS for i in range(DRIFT_BINS + 1)]
-    edges = window_quantiles(frames, pairs, "lag_1", grid, buffer_rows)
+    edges = window_quantiles(frames, pairs, "lag_1", grid)
     edges = stage(edges.filter(F.size(F.array_distinct("q")) == DRIFT_BINS + 1), "edges")
 
     def sums(rows: list[np.ndarray], stats: list[np.ndarray]) -> list:

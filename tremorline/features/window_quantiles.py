@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorline.features.blocks import packed, per_window
-from tremorline.operators.quantiles import BUFFER_ROWS, group_quantiles
 from tremorline.operators.rolling import Frames
 from tremorline.session import stage
 
@@ -17,24 +16,14 @@ CELLS = 1024
 c = F.col
 
 
-def window_quantiles(
-    frames: Frames, rows: DataFrame, value: str, probabilities: list[float], buffer_rows: int = BUFFER_ROWS
-) -> DataFrame:
+def window_quantiles(frames: Frames, rows: DataFrame, value: str, probabilities: list[float]) -> DataFrame:
     """Window keys, ``kind`` and ``q``, the interpolated quantiles of ``value`` in each window.
 
-    Where the longest series fits one aggregation buffer, the built-in percentile runs over
-    the rows of each window. Longer series take three steps: splitters of the whole series
-    from one sketch; counts per cell between splitters, accumulated over the windows, which
-    tell the cell of every wanted rank; and the values of just those cells, ranked.
+    Three steps: splitters of the whole series from one sketch; counts per cell between
+    splitters, accumulated over the windows, which tell the cell of every wanted rank; and
+    the values of just those cells, ranked.
     """
-    keys = [*frames.window_keys, "kind"]
     rows = rows.select(*frames.keys, "kind", "pos", "end", "last_end", c(value).alias("v"))
-    if frames.series.longest <= buffer_rows:
-        return group_quantiles(frames.exploded(rows), keys, "v", probabilities, frames.series.longest, buffer_rows)
-    return _by_cells(frames, rows, probabilities)
-
-
-def _by_cells(frames: Frames, rows: DataFrame, probabilities: list[float]) -> DataFrame:
     series_keys = [*frames.keys, "kind"]
     keys = [*frames.window_keys, "kind"]
     cuts = F.percentile_approx("v", [i / CELLS for i in range(1, CELLS)], 4 * CELLS)

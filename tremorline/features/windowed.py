@@ -17,7 +17,6 @@ from tremorline.features.rows import as_long, lagged_rows, long_rows
 from tremorline.features.segments import MEAN, SD, window_sums
 from tremorline.features.window_quantiles import window_quantiles
 from tremorline.operators.indexing import block_of
-from tremorline.operators.quantiles import BUFFER_ROWS
 from tremorline.operators.rolling import Frames
 from tremorline.session import stage
 
@@ -135,12 +134,12 @@ def energy_by_parts(frames: Frames, names: list[str], kinds: list[str] | None =
 
 
 def quantile_features(
-    frames: Frames, names: list[str], kinds: list[str] | None = None, buffer_rows: int = BUFFER_ROWS
+    frames: Frames, names: list[str], kinds: list[str] | None = None
 ) -> DataFrame:
     """Median, quantiles and the symmetry flags that compare mean and median."""
     keys = [*frames.window_keys, "kind"]
     grid = [0.5, *QUANTILES] if any(n.startswith("quantile") for n in names) else [0.5]
-    table = window_quantiles(frames, long_rows(frames, kinds), "v", grid, buffer_rows)
+    table = window_quantiles(frames, long_rows(frames, kinds), "v", grid)
     values = {"median": "q[0]"} | {f"quantile__q_{q}": f"q[{i}]" for i, q in enumerate(grid[1:], start=1)}
     if any(n.startswith("symmetry_looking") for n in names):
         table = table.join(window_stats(frames, kinds), keys)
@@ -150,12 +149,12 @@ def quantile_features(
 
 
 def change_quantiles(
-    frames: Frames, names: list[str], kinds: list[str] | None = None, buffer_rows: int = BUFFER_ROWS
+    frames: Frames, names: list[str], kinds: list[str] | None = None
 ) -> DataFrame:
     """Mean and variance of steps whose both ends lie between two quantiles of the window."""
     keys = [*frames.window_keys, "kind"]
     rows = lagged_rows(long_rows(frames, kinds), frames.keys, [1])
-    edges = stage(window_quantiles(frames, rows, "v", list(CORRIDOR), buffer_rows), "edges")
+    edges = stage(window_quantiles(frames, rows, "v", list(CORRIDOR)), "edges")
     corridors = [x for x in CORRIDORS if any(n.endswith(f"__qh_{x[1]}__ql_{x[0]}") for n in names)]
     places = [(CORRIDOR.index(low), CORRIDOR.index(high)) for low, high in corridors]
 

@@ -26,6 +26,12 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def required(df: DataFrame, name: str) -> Column:
+    """The column of that name; a missing value fails."""
+    missing = F.raise_error(F.lit(f"missing value in column {name}")).cast(df.schema[name].dataType)
+    return F.coalesce(quoted(name), missing)
+
+
 @dataclass(frozen=True)
 class IndexedSeries:
     """Rows with ``pos`` (0-based), ``n_rows`` and first time of the series, ``max_rows``
@@ -49,7 +55,8 @@ def index_series(
     values: tuple[str, ...] = ("x", "y"),
     scope: tuple[str, ...] = (),
 ) -> IndexedSeries:
-    """Number the rows of every series by ``order``; ties follow the other columns.
+    """Number the rows of every series by ``order``; ties follow the other columns. A row
+    without a key or without its place in the order is an error.
 
     ``scope`` names the leading keys within which the longest series is looked up (the
     rolling windows of one data split are anchored on its longest series).
@@ -58,7 +65,8 @@ def index_series(
     ties = [f.name for f in df.schema if f.name not in (*keys, order) and not isinstance(f.dataType, unordered)]
     ordering = [quoted(c) for c in (*keys, order, *ties)]
     sorted_rows = stage(
-        df.repartitionByRange(*ordering)
+        df.withColumns({name: required(df, name) for name in (*keys, order)})
+        .repartitionByRange(*ordering)
         .sortWithinPartitions(*ordering)
         .withColumn("_rid", F.monotonically_increasing_id()),
         "series",

@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorline.session import stage
 
-# Largest group whose values may meet in one aggregation buffer.
-BUFFER_ROWS = 500_000
 SKETCH_ACCURACY = 10_000
 
 
-def group_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probabilities: list[float],
-    largest: int,
-    buffer_rows: int = BUFFER_ROWS,
-) -> DataFrame:
-    """``keys`` plus ``q``: array of linearly interpolated quantiles, NULLs ignored.
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
+    """``keys`` plus ``q``: array of linearly interpolated quantiles, NULLs ignored; NULLs
+    for a group that has no value.
 
-    ``largest`` is a known bound on the group size. Up to ``buffer_rows`` the built-in
-    exact percentile is used. Larger groups take two scans: a bounded sketch brackets each
-    quantile, then only the values inside the brackets are ranked, pre-aggregated by value.
+    Two scans, whatever the size of a group: a bounded sketch brackets each quantile, then
+    only the values inside the brackets are ranked, pre-aggregated by value.
     """
-    if largest <= buffer_rows:
-        exact = F.percentile(F.col(value), F.array(*[F.lit(p) for p in probabilities]))
-        return df.groupBy(*keys).agg(exact.alias("q"))
-    return _bracketed(df, keys, value, probabilities)
-
-
-def _bracketed(df: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
     slack = 3.0 / SKETCH_ACCURACY
     edges = [e for p in probabilities for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
     small = 2 * SKETCH_ACCURACY  # below this the sketch brackets are a few ranks wide: keep all values
@@ -60,10 +46,13 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probabilities: list[f
         ]
     )
     v = F.col(value)
+    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys]
     hits = (
         df.filter(v.isNotNull())
         .select(*keys, v.alias("_v"))
-        .join(sketch, keys)
+        .alias("r")
+        .join(sketch.alias("s"), reduce(lambda a, b: a & b, same))
+        .select(*[F.col(f"r.`{k}`").alias(k) for k in keys], "_v", "_n", "_min", "_max", "_edges")
         .select(*keys, "_v", F.explode(brackets).alias("b"))
         .filter(F.col("_v") <= F.col("b.hi"))
         .select(*keys, "b.i", "b.rank", F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_v"))
@@ -80,4 +69,7 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probabilities: list[f
     value_at = F.col("_lo") + (F.col("rank") - low) * (F.col("_hi") - F.col("_lo"))
     checked = F.when(value_at.isNull(), F.raise_error(F.lit("quantile outside its bracket"))).otherwise(value_at)
     ordered = F.array_sort(F.collect_list(F.struct("i", checked.alias("q"))))
-    return picked.groupBy(*keys).agg(F.transform(ordered, lambda s: s["q"]).alias("q"))
+    found = picked.groupBy(*keys).agg(F.transform(ordered, lambda s: s["q"]).alias("q"))
+    missing = F.array_repeat(F.lit(None).cast("double"), len(probabilities))
+    without = sketch.filter("_n = 0").select(*keys, missing.alias("q"))
+    return found.unionByName(without)

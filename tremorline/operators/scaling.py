@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremorline.functions.scalars import micros
 from tremorline.operators.indexing import IndexedSeries
-from tremorline.operators.quantiles import BUFFER_ROWS, group_quantiles
+from tremorline.operators.quantiles import group_quantiles
 from tremorline.session import stage
 
 _NEAR_ZERO = 10 * 2.220446049250313e-16
@@ -19,11 +19,11 @@ def unpivot(rows: DataFrame, keep: list[str], values: tuple[str, ...], kind: str
     return rows.select(*keep, F.inline(pairs))
 
 
-def robust_scale(series: IndexedSeries, buffer_rows: int = BUFFER_ROWS) -> IndexedSeries:
+def robust_scale(series: IndexedSeries) -> IndexedSeries:
     """(value - median) / IQR within each series; an IQR of about zero counts as one."""
     keys = list(series.keys)
     long = unpivot(series.rows, keys, series.values)
-    quartiles = group_quantiles(long, [*keys, "kind"], "v", [0.25, 0.5, 0.75], series.longest, buffer_rows)
+    quartiles = group_quantiles(long, [*keys, "kind"], "v", [0.25, 0.5, 0.75])
     spread = F.col("q")[2] - F.col("q")[0]
     scale = F.when(spread < _NEAR_ZERO, F.lit(1.0)).otherwise(spread)
     params = quartiles.groupBy(*keys).agg(

@@ -39,8 +39,7 @@ def sampled_windows(frames: Frames, step: int = SAMPLE_STEP) -> Frames:
 def all_features(frames: Frames, names: list[str] | None = None) -> DataFrame:
     """Imputed features of sampled windows: window key, ``feature`` named by axis, ``value``."""
     long = extract_features(frames, names or efficient())
-    windows = frames.rows.filter("pos = 0").count()
-    filled = impute(long, WINDOW, largest=windows)
+    filled = impute(long, WINDOW)
     return filled.select(*WINDOW, F.concat_ws("__", "kind", "feature").alias("feature"), "value")
 
 

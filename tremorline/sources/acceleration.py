@@ -13,8 +13,6 @@ from tremorline.session import stage
 # Field order of a snapshot line.
 FIELDS = ("hour", "minute", "second", "millisecond", "x", "y")
 FILE_PATTERN = "acc*.csv"
-# Files up to this size are read as one value; larger ones are split by Spark.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
 
 def even_lines(line_number: Column) -> Column:
@@ -27,28 +25,28 @@ def scan_acceleration(
     root: str,
     folders: list[str],
     keep_line=even_lines,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
     pattern: str = FILE_PATTERN,
 ) -> DataFrame:
     """Six numeric fields and ``id``, the 1-based position of the folder in ``folders``.
 
-    Fields are separated by ``;`` or ``,``. Line numbers restart in every file and count
-    blank lines; ``keep_line`` decides on them. A field that is not a number fails.
+    Fields are separated by ``;`` or ``,``; lines end with LF, CR LF or CR. Line numbers
+    restart in every file and count blank lines; ``keep_line`` decides on them. A kept line
+    with other than six fields, or a field that is not a number, fails; an empty field is
+    missing.
     """
     if not folders:
         raise ValueError("no experiment folders")
     paths = [f"{root.rstrip('/')}/{folder.strip('/')}" for folder in folders]
     depth = max(folder.strip("/").count("/") + 1 for folder in folders)
     scan = _Scan(spark, list(dict.fromkeys(paths)), pattern, depth)
-    sizes = scan.reader("binaryFile").load(scan.paths)  # lists the files, reads none
-    found = sizes.agg(F.count(F.lit(1)).alias("files"), F.max("length").alias("largest")).first()
-    if not found["files"]:
+    listed = scan.reader("binaryFile").load(scan.paths)  # lists the files, reads none
+    if listed.select("path").isEmpty():
         raise ValueError("no acceleration files in the given folders")
-    lines = scan.whole_files(whole_file_bytes)
-    if found["largest"] > whole_file_bytes:
-        lines = lines.unionByName(scan.split_files(whole_file_bytes))
+    lines = scan.lines()
     fields = F.split(F.col("line"), "[;,]")
     rows = lines.filter(keep_line(F.col("line_number")) & (F.trim("line") != "")).select("folder", fields.alias("f"))
+    wrong = F.raise_error(F.concat(F.lit("line without six fields: "), F.array_join("f", ";")))
+    rows = rows.withColumn("f", F.when(F.size("f") == len(FIELDS), F.col("f")).otherwise(wrong.cast("array<string>")))
     # a folder listed twice yields its rows under both positions
     positions = spark.createDataFrame(
         [("/".join(path.split("/")[-depth:]), i) for i, path in enumerate(paths, start=1)], "folder string, id int"
@@ -74,14 +72,8 @@ class _Scan:
         parts = F.split(plain, "/")
         return F.concat_ws("/", F.slice(parts, F.size(parts) - self.depth, self.depth))
 
-    def whole_files(self, limit: int) -> DataFrame:
-        text = self.reader("text").option("wholetext", True).load(self.paths)
-        return text.filter(F.col("_metadata.file_size") <= limit).select(
-            self.folder().alias("folder"), F.posexplode(F.split("value", "\r?\n")).alias("line_number", "line")
-        )
-
-    def split_files(self, limit: int) -> DataFrame:
-        """Lines of files that Spark reads in several splits.
+    def lines(self) -> DataFrame:
+        """Numbered lines of all files, which Spark may read in several splits.
 
         Rows of a split arrive in file order, so a line's number is its rank in the split
         plus the lines of the splits before it. The lines are staged first: row ids must
@@ -89,12 +81,12 @@ class _Scan:
         """
         text = self.reader("text").load(self.paths)
         lines = stage(
-            text.filter(F.col("_metadata.file_size") > limit).select(
+            text.select(
                 self.folder().alias("folder"),
                 F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("rid"),
-                F.rtrim(F.col("value"), F.lit("\r")).alias("line"),
+                F.col("value").alias("line"),
             ),
             "lines",
         )

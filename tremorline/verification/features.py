@@ -531,7 +531,7 @@ def _impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("value")
     holes = F.when(F.pmod("end", F.lit(7)) == 0, None).when(F.pmod("end", F.lit(5)) == 0, float("inf"))
     broken = features.withColumn("value", holes.when(F.pmod("end", F.lit(4)) == 0, float("-inf")).otherwise(value))
-    return published(impute(broken, ["id", "end"], largest=broken.count()))
+    return published(impute(broken, ["id", "end"]))
 
 
 def _impute_sql() -> str:
