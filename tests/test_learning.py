@@ -133,6 +133,17 @@ def test_forest_and_adaptation(spark, blobs):
         augment(target, columns, "other")
 
 
+def test_adaptation_weighs_by_the_source(spark, blobs, monkeypatch):
+    from tremorline.learning import forest as module
+
+    source, target = blobs.filter("domain = 'source' and (label <> 3 or k % 5 = 0)"), blobs.filter("domain = 'target' and label = 3")
+    seen = []
+    monkeypatch.setattr(module, "fit", lambda rows, learner, weights: seen.append(module.with_weights(rows, weights=weights)))
+    module.fit_adapted(source, target, ["f.0", "f1"])
+    want = {r["label"]: r["weight"] for r in class_weights(source).collect()}
+    assert {(r["label"], r["weight"]) for r in seen[0].select("label", "weight").collect()} == set(want.items())
+
+
 def test_grid_search(spark, blobs):
     vectors = as_vectors(blobs.filter("domain = 'source'"), ["f.0", "f1"])
     folds = with_folds(vectors, "k").groupBy("label", "fold").count().collect()

@@ -1,11 +1,14 @@
 """The three plans end to end on snapshot files written by the test."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tremorline.operators.rolling import window_labels
 from tremorline.plans import feature_selection, modelling, preprocessing
+from tremorline.session import stage_root
 from tremorline.sources.splits import split_catalogue
 
 SPLITS = {
@@ -37,6 +40,7 @@ def data_root(tmp_path_factory):
 
 def test_three_stages(spark, data_root, tmp_path):
     out = str(tmp_path / "out")
+    staged = set(os.listdir(stage_root(spark)))
     preprocessing.run(spark, data_root, out, SPLITS, min_timeshift=59, step=20)
     labels = preprocessing.load_labels(spark, out)
     assert {r["split"] for r in labels.select("split").distinct().collect()} == set(SPLITS)
@@ -53,6 +57,8 @@ def test_three_stages(spark, data_root, tmp_path):
     result = modelling.run(
         spark, out, grid_options={"depths": (3, 4), "feature_shares": ("sqrt",), "leaf_rows": (2,), "trees": (10,)}
     )
+    # loading frames and labels outside of the plans stages nothing; plans clean up
+    assert {d for d in os.listdir(stage_root(spark)) if d.startswith("scope-")} == {d for d in staged if d.startswith("scope-")}
     assert result["best"]["maxDepth"] in (3, 4)
     assert set(result["accuracy"]) == {"t_train", "t_test"}
     assert result["accuracy"]["t_train"] > 0.6

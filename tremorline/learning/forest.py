@@ -12,7 +12,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorline.learning.metrics import with_weights
+from tremorline.learning.metrics import class_weights, with_weights
 from tremorline.operators.indexing import index_series, quoted
 
 # The searched ranges of the forest's parameters.
@@ -45,14 +45,15 @@ def forest(trees: int = 100, depth: int = 5, features: str = "sqrt", leaf_rows:
     )
 
 
-def _ready(df: DataFrame) -> DataFrame:
+def _ready(df: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Classes 1, 2, ... as the zero-based labels the learner expects, with class weights."""
-    return with_weights(df).withColumn("_label", (F.col("label") - 1).cast("double"))
+    return with_weights(df, weights=weights).withColumn("_label", (F.col("label") - 1).cast("double"))
 
 
-def fit(df: DataFrame, learner: RandomForestClassifier | None = None) -> Model:
-    """Fit on (features, label); classes start at 1."""
-    return (learner or forest()).fit(_ready(df))
+def fit(df: DataFrame, learner: RandomForestClassifier | None = None, weights: DataFrame | None = None) -> Model:
+    """Fit on (features, label); classes start at 1. ``weights`` (label, weight) default to
+    the balanced weights of ``df``."""
+    return (learner or forest()).fit(_ready(df, weights))
 
 
 def predict(model: Model, df: DataFrame) -> DataFrame:
@@ -70,12 +71,14 @@ def with_folds(df: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
 
 def grid(
     learner: RandomForestClassifier,
-    depths: Iterable[int] = DEPTHS,
-    feature_shares: Iterable[str] = FEATURE_SHARES,
-    leaf_rows: Iterable[int] = LEAF_ROWS,
-    trees: Iterable[int] = TREES,
+    depths: Iterable[int],
+    feature_shares: Iterable[str],
+    leaf_rows: Iterable[int],
+    trees: Iterable[int],
 ) -> list:
-    """All combinations; the minimum rows to split has no counterpart in the learner."""
+    """All combinations of the given ranges, each of which is fitted once a fold: the full
+    ranges above make 23,760 settings. The minimum rows to split has no counterpart in the
+    learner."""
     return (
         ParamGridBuilder()
         .addGrid(learner.maxDepth, list(depths))
@@ -129,9 +132,10 @@ def augmented_columns(columns: list[str]) -> list[str]:
 def fit_adapted(
     source: DataFrame, target: DataFrame, columns: list[str], learner: RandomForestClassifier | None = None
 ) -> Model:
-    """Fit on source and target rows in the augmented layout."""
+    """Fit on source and target rows in the augmented layout, with the class weights of the
+    source."""
     both = augment(source, columns, "source").unionByName(augment(target, columns, "target"))
-    return fit(as_vectors(both, augmented_columns(columns)), learner)
+    return fit(as_vectors(both, augmented_columns(columns)), learner, class_weights(source))
 
 
 def predict_adapted(model: Model, target: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,8 +14,10 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.select(label, weight.alias("weight"))
 
 
-def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.join(class_weights(df, label), label)
+def with_weights(df: DataFrame, label: str = "label", weights: DataFrame | None = None) -> DataFrame:
+    """Add ``weight``; a class without one in ``weights`` counts as it is."""
+    given = class_weights(df, label) if weights is None else weights
+    return df.join(given, label, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
 def confusion_counts(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

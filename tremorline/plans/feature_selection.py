@@ -18,7 +18,7 @@ from tremorline.operators.relevance import best_per_class, relevance_table
 from tremorline.operators.rolling import Frames, whole_series
 from tremorline.operators.sampling import every_nth_rolled
 from tremorline.plans.preprocessing import KEYS, MIN_TIMESHIFT, STEP, load_frames, load_labels
-from tremorline.session import stage
+from tremorline.session import stage, staging_scope
 from tremorline.sources.tables import read_stage, write_stage
 
 # One row in ten is sampled; twenty features per class are kept.
@@ -58,20 +58,21 @@ def run(
 ) -> dict[str, list[str]]:
     """Writes ``relevance`` and one matrix of selected features per split; returns the
     selected features per axis."""
-    train = load_frames(spark, out, TRAIN_SPLIT, min_timeshift, step)
-    features = stage(all_features(sampled_windows(train, sample_step), names), "all-features")
-    table = stage(relevance(spark, out, features), "relevance")
-    write_stage(table, f"{out}/relevance", ())
-    # at most PER_CLASS names per class
-    chosen = sorted(r["feature"] for r in best_per_class(table, PER_CLASS).collect())
-    spec = from_columns(chosen)
-    columns = matrix_columns(spec)
-    for split in MODEL_SPLITS:
-        frames = load_frames(spark, out, split, min_timeshift, step)
-        matrix = to_matrix(extract_features(frames, spec), [*KEYS, "end"], columns)
-        labelled = matrix.join(load_labels(spark, out, split), [*KEYS, "end"])
-        write_stage(labelled, f"{out}/matrix_{split}", ())
-    return spec
+    with staging_scope(spark):
+        train = load_frames(spark, out, TRAIN_SPLIT, min_timeshift, step)
+        features = stage(all_features(sampled_windows(train, sample_step), names), "all-features")
+        table = stage(relevance(spark, out, features), "relevance")
+        write_stage(table, f"{out}/relevance", ())
+        # at most PER_CLASS names per class
+        chosen = sorted(r["feature"] for r in best_per_class(table, PER_CLASS).collect())
+        spec = from_columns(chosen)
+        columns = matrix_columns(spec)
+        for split in MODEL_SPLITS:
+            frames = load_frames(spark, out, split, min_timeshift, step)
+            matrix = to_matrix(extract_features(frames, spec), [*KEYS, "end"], columns)
+            labelled = matrix.join(load_labels(spark, out, split), [*KEYS, "end"])
+            write_stage(labelled, f"{out}/matrix_{split}", ())
+        return spec
 
 
 def load_matrix(spark: SparkSession, out: str, split: str) -> DataFrame:

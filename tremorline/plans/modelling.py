@@ -12,6 +12,7 @@ from tremorline.learning.metrics import accuracy, classification_report, confusi
 from tremorline.operators.sampling import subsample
 from tremorline.plans.feature_selection import load_matrix
 from tremorline.plans.preprocessing import KEYS
+from tremorline.session import staging_scope
 from tremorline.sources.tables import write_stage
 
 CLASSES = [1, 2, 3]
@@ -21,7 +22,7 @@ INDEX = [*KEYS, "end", "time_end", "label"]
 def run(
     spark: SparkSession,
     out: str,
-    grid_options: dict | None = None,
+    grid_options: dict,
     target_share: float = 1.0,
     learner: RandomForestClassifier | None = None,
 ) -> dict[str, object]:
@@ -30,27 +31,28 @@ def run(
     Writes predictions, confusion matrices and reports; returns the best setting and the
     target accuracies.
     """
-    learner = learner or forest()
-    train = load_matrix(spark, out, "s_train")
-    columns = [c for c in train.columns if c not in INDEX]
-    tables = {"s_train": train}
-    for split in ("s_test", "t_train", "t_test"):
-        tables[split] = align_columns(load_matrix(spark, out, split), train)
-    key = F.struct(*[F.col(k) for k in (*KEYS, "end")])
-    vectors = as_vectors(train, columns).select(key.alias("_key"), "label", "features")
-    found = search(vectors, "_key", grid(learner, **(grid_options or {})), learner)
-    for split in ("s_train", "s_test"):
-        _report(predict(found.bestModel, as_vectors(tables[split], columns)).drop("features"), f"{out}/{split}")
-    best = best_params(found)
-    tuned = learner.copy({learner.getParam(name): value for name, value in best.items() if name != "score"})
-    sample = subsample(tables["t_train"], "id", ("split", "id", "end"), target_share)
-    adapted = fit_adapted(train, sample, columns, tuned)
-    scores = {}
-    for split in ("t_train", "t_test"):
-        predictions = predict_adapted(adapted, tables[split], columns).select(*INDEX, "prediction")
-        _report(predictions, f"{out}/{split}")
-        scores[split] = accuracy(predictions).first()["accuracy"]
-    return {"best": best, "accuracy": scores}
+    with staging_scope(spark):
+        learner = learner or forest()
+        train = load_matrix(spark, out, "s_train")
+        columns = [c for c in train.columns if c not in INDEX]
+        tables = {"s_train": train}
+        for split in ("s_test", "t_train", "t_test"):
+            tables[split] = align_columns(load_matrix(spark, out, split), train)
+        key = F.struct(*[F.col(k) for k in (*KEYS, "end")])
+        vectors = as_vectors(train, columns).select(key.alias("_key"), "label", "features")
+        found = search(vectors, "_key", grid(learner, **grid_options), learner)
+        for split in ("s_train", "s_test"):
+            _report(predict(found.bestModel, as_vectors(tables[split], columns)).drop("features"), f"{out}/{split}")
+        best = best_params(found)
+        tuned = learner.copy({learner.getParam(name): value for name, value in best.items() if name != "score"})
+        sample = subsample(tables["t_train"], "id", ("split", "id", "end"), target_share)
+        adapted = fit_adapted(train, sample, columns, tuned)
+        scores = {}
+        for split in ("t_train", "t_test"):
+            predictions = predict_adapted(adapted, tables[split], columns).select(*INDEX, "prediction")
+            _report(predictions, f"{out}/{split}")
+            scores[split] = accuracy(predictions).first()["accuracy"]
+        return {"best": best, "accuracy": scores}
 
 
 def _report(predictions: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from tremorline.operators.filling import fill_series
 from tremorline.operators.indexing import IndexedSeries, index_series, series_from_table
 from tremorline.operators.rolling import Frames, expanding, window_labels
 from tremorline.operators.scaling import robust_scale
+from tremorline.session import staging_scope
 from tremorline.sources.splits import SPLITS, scan_splits
 from tremorline.sources.tables import read_stage, write_stage
 
@@ -35,10 +36,11 @@ def run(
     step: int = STEP,
 ) -> None:
     """Writes ``<out>/sensor`` and ``<out>/labels``, partitioned by split."""
-    write_stage(prepare(scan_splits(spark, root, splits)).rows, f"{out}/sensor")
-    frames = load_frames(spark, out, min_timeshift=min_timeshift, step=step)
-    labels = window_labels(frames)
-    write_stage(labels, f"{out}/labels")
+    with staging_scope(spark):
+        write_stage(prepare(scan_splits(spark, root, splits)).rows, f"{out}/sensor")
+        frames = load_frames(spark, out, min_timeshift=min_timeshift, step=step)
+        labels = window_labels(frames)
+        write_stage(labels, f"{out}/labels")
 
 
 def load_frames(

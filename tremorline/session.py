@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,14 +50,37 @@ def stage_root(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
+_open_scopes: list[str] = []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark can write to."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, when results must have been written."""
+    _open_scopes.append(f"{stage_root(spark)}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete_folder(spark, _open_scopes.pop())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
     The table survives lost executors, cuts the lineage, keeps column pruning and
     filter pushdown for every reader, and gives the optimizer a true size, so that it
-    broadcasts a staged lookup only when the lookup is below its threshold.
+    broadcasts a staged lookup only when the lookup is below its threshold. It costs a
+    write and a read of the table, and its files until the enclosing ``staging_scope``
+    ends or, outside of one, until the folder is cleared.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = _open_scopes[-1] if _open_scopes else stage_root(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

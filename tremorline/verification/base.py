@@ -69,17 +69,19 @@ def long_windows(spark: SparkSession, sf_dir: str) -> Frames:
     return expanding(prepared(spark, sf_dir, long_sensor), LONG_MIN_TIMESHIFT, LONG_STEP)
 
 
-# Six decimals; the factor moves values off exact rounding ties, where two engines with
-# a different summation order may disagree.
-_OFF_TIES = "1.000000001"
+# Six decimals. Values that lie on a rounding tie, such as multiples of 1/128, differ between
+# engines by the noise of a sum; a hundred-thousandth of the last place decides such ties
+# upwards in both. Each result is the true value to within half a unit of that place.
+_TIES_UP = 1e-5
 
 
 def rounded(value: Column) -> Column:
-    return F.when(F.abs(value) < 5e-7, 0.0).otherwise(F.rint(value * float(_OFF_TIES) * 1e6) / 1e6)
+    return F.when(F.abs(value) < 5e-7, 0.0).otherwise(F.rint(value * 1e6 + _TIES_UP) / 1e6)
 
 
 def r6(expression: str) -> str:
-    return f"CASE WHEN abs({expression}) < 5e-7 THEN 0.0 ELSE round(({expression}) * CAST({_OFF_TIES} AS DOUBLE), 6) END"
+    tie = f"CAST({_TIES_UP} AS DOUBLE)"
+    return f"CASE WHEN abs({expression}) < 5e-7 THEN 0.0 ELSE round_even(({expression}) * 1e6 + {tie}, 0) / 1e6 END"
 
 
 SENSOR = """sensor AS (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.features import occurrences, segments, spectral, windowed
-from tremorline.features.registry import extract_features, impute, matrix_columns, minimal, to_matrix
+from tremorline.features.registry import efficient, extract_features, impute, matrix_columns, minimal, to_matrix
 from tremorline.operators.rolling import Frames
 from tremorline.verification.base import (
     LONG_MIN_TIMESHIFT,
@@ -480,6 +480,7 @@ psd AS (SELECT id, e, kind, k, avg(2 * (re * re + im * im) / 96.0) AS p FROM par
         ),
     )
     out["impute"] = Query(_impute, _impute_sql())
+    out["features_efficient"] = Query(_efficient, _efficient_sql())
     return out
 
 
@@ -526,6 +527,21 @@ def _matrix_sql() -> str:
     return prelude() + f"\nSELECT id, e AS window_rows, {columns} FROM r GROUP BY id, e"
 
 
+def _efficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole catalogue for both axes in one call: windows that have each feature."""
+    long = extract_features(windows(spark, sf_dir), efficient())
+    return long.groupBy("kind", "feature").agg(F.countDistinct("id", "end").alias("n_windows"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def _efficient_sql() -> str:
+    names = ", ".join(f"('{name}')" for name in efficient())
+    return (
+        prelude()
+        + f""", w AS (SELECT count(*) AS n FROM windows)
+SELECT kind, feature, n AS n_windows, n AS n_rows FROM (VALUES {names}) f(feature), (VALUES ('x'), ('y')) k(kind), w"""
+    )
+
+
 def _impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = extract_features(windows(spark, sf_dir), ["maximum", "minimum"])
     value = F.col("value")

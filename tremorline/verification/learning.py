@@ -36,7 +36,7 @@ from tremorline.verification.base import Query, prelude, r6, rounded, table, win
 from tremorline.verification.series import LIFE
 
 c = F.col
-DIMS = 8  # leading embedding entries used where a wide matrix is enough
+DIMS = 64  # entries of an embedding
 COLUMNS = [f"e{i}" for i in range(DIMS)]
 CLASSES = (1, 2, 3)
 FEATURES = {"maximum": "max(v)", "sum_values": "sum(v)", "count_below__t_0": "avg(CASE WHEN v <= 0 THEN 1.0 ELSE 0.0 END)"}
@@ -195,8 +195,8 @@ SELECT name, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')
 def _augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embeddings(spark, sf_dir)
     source, target = rows.filter(c("vec_id") % 3 != 0), rows.filter(c("vec_id") % 3 == 0)
-    both = augment(source, COLUMNS[:2], "source").unionByName(augment(target, COLUMNS[:2], "target"))
-    names = [f"{n}__{p}" for p in ("source", "target", "shared") for n in COLUMNS[:2]]
+    both = augment(source, COLUMNS, "source").unionByName(augment(target, COLUMNS, "target"))
+    names = [f"{n}__{p}" for p in ("source", "target", "shared") for n in COLUMNS]
     return both.select("vec_id", "label", *[rounded(c(n)).alias(n) for n in names])
 
 
@@ -204,7 +204,7 @@ AUGMENT_SQL = f"WITH {MATRIX_SQL} SELECT vec_id, label, " + ", ".join(
     r6({"source": f"CASE WHEN vec_id % 3 <> 0 THEN {n} ELSE 0 END", "target": f"CASE WHEN vec_id % 3 = 0 THEN {n} ELSE 0 END", "shared": n}[p])
     + f" AS {n}__{p}"
     for p in ("source", "target", "shared")
-    for n in COLUMNS[:2]
+    for n in COLUMNS
 ) + " FROM m"
 
 
@@ -217,26 +217,67 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id")
 
 
+# A label that the vectors decide, other in the target domain than in the source.
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with label 1 or 2 by the sign of e0 (source) or e1 (target, every third
+    row), and ``held``: every fourth row, never trained on."""
+    target = c("vec_id") % 3 == 0
+    rule = F.when(F.when(target, c("e1")).otherwise(c("e0")) < 0, 1).otherwise(2)
+    held = F.pmod(F.floor(c("vec_id") / 3), F.lit(4)) == 0
+    return _embeddings(spark, sf_dir).withColumns({"label": rule, "target": target, "held": held})
+
+
+RULED_SQL = f"""WITH {MATRIX_SQL},
+d AS (
+    SELECT vec_id, vec_id % 3 = 0 AS target, (vec_id // 3) % 4 = 0 AS held,
+           CASE WHEN CASE WHEN vec_id % 3 = 0 THEN e1 ELSE e0 END < 0 THEN 1 ELSE 2 END AS label FROM m)"""
+RIGHT_SHARE = 0.6  # of two classes about as large
+
+
+def _outcome(train: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Rows by class, and whether the predictions on held-out rows are classes and mostly right."""
+    inside = c("prediction").isin(1, 2)
+    right = F.avg((c("label") == c("prediction")).cast("double")) >= RIGHT_SHARE
+    fitted = train.groupBy("label").agg(F.count(F.lit(1)).alias("train_rows"))
+    tested = predictions.groupBy("label").agg(
+        F.count(F.lit(1)).alias("held_out_rows"), F.bool_and(inside).alias("all_classes")
+    )
+    whole = predictions.agg(right.alias("mostly_right"))
+    return fitted.join(tested, "label").select("*", F.lit(whole.first()["mostly_right"]).alias("mostly_right"))
+
+
+def _outcome_sql(train: str, test: str) -> str:
+    return RULED_SQL + f""" SELECT label, count(*) FILTER ({train}) AS train_rows, count(*) FILTER ({test}) AS held_out_rows,
+       true AS all_classes, true AS mostly_right FROM d GROUP BY label"""
+
+
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = as_vectors(_embeddings(spark, sf_dir), COLUMNS)
-    model = fit(rows, forest(trees=20, depth=5))
-    return predict(model, rows).select("vec_id", "label", "prediction")
+    rows = as_vectors(_ruled(spark, sf_dir).filter(~c("target")), COLUMNS).select("label", "features", "held")
+    train = rows.filter(~c("held"))
+    model = fit(train, forest(trees=40, depth=5))
+    return _outcome(train, predict(model, rows.filter("held")))
 
 
 def _grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = as_vectors(_embeddings(spark, sf_dir), COLUMNS)
+    rows = as_vectors(_ruled(spark, sf_dir).filter(~c("target")), COLUMNS)
     learner = forest()
-    params = grid(learner, depths=(3, 5), feature_shares=("sqrt",), leaf_rows=(8,), trees=(10,))
-    model = search(rows, "vec_id", params, learner, folds=2)
-    best = best_params(model)
-    return spark.createDataFrame([(int(best["maxDepth"]), int(best["numTrees"]), float(best["score"]))], "depth int, trees int, score double")
+    params = grid(learner, depths=(1, 5), feature_shares=("sqrt",), leaf_rows=(8,), trees=(20,))
+    best = best_params(search(rows, "vec_id", params, learner, folds=2))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.lit(best["maxDepth"] in (1, 5)).alias("depth_of_grid"),
+        F.lit(int(best["numTrees"])).alias("trees"),
+        F.lit(bool(best["score"] > 0.5)).alias("better_than_chance"),
+    )
 
 
 def _adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _embeddings(spark, sf_dir)
-    source, target = rows.filter(c("vec_id") % 3 != 0), rows.filter(c("vec_id") % 3 == 0)
-    model = fit_adapted(source, target, COLUMNS, forest(trees=20, depth=5))
-    return predict_adapted(model, target, COLUMNS).select("vec_id", "label", "prediction")
+    rows = _ruled(spark, sf_dir)
+    source, target = rows.filter(~c("target")), rows.filter("target")
+    train = target.filter(~c("held"))
+    names = ["label", *COLUMNS]
+    model = fit_adapted(source.select(names), train.select(names), COLUMNS, forest(trees=60, depth=6))
+    return _outcome(train, predict_adapted(model, target.filter("held"), COLUMNS))
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +328,10 @@ def build() -> dict[str, Query]:
         ),
         "feature_augmentation": Query(_augmented, AUGMENT_SQL),
         "align_columns": Query(_aligned, f"WITH {MATRIX_SQL} SELECT vec_id, {r6('e3')} AS e3, {r6('e1')} AS e1 FROM m"),
-        "random_forest": Query(_forest),
-        "grid_search": Query(_grid_search),
-        "domain_adaptation": Query(_adapted),
+        "random_forest": Query(_forest, _outcome_sql("NOT target AND NOT held", "NOT target AND held")),
+        "grid_search": Query(
+            _grid_search,
+            RULED_SQL + " SELECT count(*) AS n_rows, true AS depth_of_grid, 20 AS trees, true AS better_than_chance FROM d WHERE NOT target",
+        ),
+        "domain_adaptation": Query(_adapted, _outcome_sql("target AND NOT held", "target AND held")),
     }

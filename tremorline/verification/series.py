@@ -16,6 +16,7 @@ from tremorline.operators.sampling import every_nth, every_nth_rolled
 from tremorline.operators.scaling import minmax_scale, normalize_time, robust_scale
 from tremorline.session import stage_root
 from tremorline.sources.acceleration import scan_acceleration, with_time
+from tremorline.sources.splits import scan_splits
 from tremorline.sources.tables import read_stage, write_stage
 from tremorline.verification.base import (
     LONG_SENSOR,
@@ -96,9 +97,9 @@ def _index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "time", "pos", "n_rows", rounded(c("center_x")).alias("center_x"))
 
 
-def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes ``events`` as snapshot files and scans them back: 4 groups of users per week,
-    ';' in even groups and ',' in odd ones."""
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
+    """Writes ``events`` as snapshot files acc_*.csv: 4 groups of users per week, ';' in even
+    groups and ',' in odd ones. Returns the folder and its experiments in order."""
     ts = c("ts")
     sep = F.when(c("user_id") % 2 == 0, ";").otherwise(",")
     seconds = F.extract(F.lit("SECOND"), ts)
@@ -118,8 +119,30 @@ def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered.select("folder", "line").write.partitionBy("folder").text(root)
     # one name per week and group: a list of experiments, as the reader of a data set gives it
     folders = [f"folder={r['folder']}" for r in events.select("folder").distinct().orderBy("folder").collect()]
-    raw = scan_acceleration(spark, root, folders, pattern="part*")
-    return with_time(raw)
+    # Spark names its files part-*; the recorder's begin with acc
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in folders:
+        for k, status in enumerate(files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}/part-*"))):
+            files.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}/acc_{k:05d}.csv"))
+    return root, folders
+
+
+def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots written from ``events`` and scanned back."""
+    root, folders = _snapshots(spark, sf_dir)
+    return with_time(scan_acceleration(spark, root, folders))
+
+
+def _scan_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same snapshots as splits: groups 0 and 1 are the source, 2 and 3 the target."""
+    root, folders = _snapshots(spark, sf_dir)
+    of = {"s_train": ("g0", "g1"), "t_train": ("g2",), "t_test": ("g3",)}
+    splits = {
+        split: ("source" if split == "s_train" else "target", tuple(f for f in folders if f.removeprefix("folder=")[:2] in groups))
+        for split, groups in of.items()
+    }
+    return scan_splits(spark, root, splits)
 
 
 CSV_SQL = """WITH lines AS (
@@ -134,6 +157,19 @@ SELECT CAST(id AS INTEGER) AS id, TIMESTAMP '2023-01-01' + (ts - date_trunc('day
 FROM numbered WHERE line % 2 = 0"""
 
 
+SPLITS_SQL = """WITH lines AS (
+    SELECT 'g' || (user_id % 4) || 'w' || weekofyear(ts) AS folder, ts, value,
+           CASE user_id % 4 WHEN 2 THEN 't_train' WHEN 3 THEN 't_test' ELSE 's_train' END AS split,
+           CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k, event_id
+    FROM events),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY folder ORDER BY ts, event_id) - 1 AS line,
+           dense_rank() OVER (PARTITION BY split ORDER BY folder) AS id
+    FROM lines)
+SELECT split, CAST(id AS INTEGER) AS id, TIMESTAMP '2023-01-01' + (ts - date_trunc('day', ts)) AS time, value AS x, k AS y
+FROM numbered WHERE line % 2 = 0"""
+
+
 def _time_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Milliseconds beyond 999 carry into the seconds."""
     ts = c("ts")
@@ -360,6 +396,7 @@ SELECT id, time, {r6('(t - t0) / nullif(t1 - t0, 0)::DOUBLE')} AS norm_axis FROM
             f"count(*) OVER (PARTITION BY id) AS n_rows, {r6('avg(x) OVER (PARTITION BY id)')} AS center_x FROM sensor",
         ),
         "csv_scan": Query(_csv_scan, CSV_SQL),
+        "scan_splits": Query(_scan_splits, SPLITS_SQL),
         "time_assembly": Query(
             _time_assembly,
             "SELECT event_id, TIMESTAMP '2023-01-01' + to_hours(hour(ts)) + to_minutes(minute(ts)) "
