@@ -127,16 +127,73 @@ SELECT feature, CAST(class AS INTEGER) AS class, {r6('p * 1000')} AS p1000, {r6(
        bool_or(a <= 0.05) OVER (PARTITION BY feature) AS relevant FROM adjusted"""
 
 
+TESTED = {
+    "maximum": "max(v)", "mean": "avg(v)", "length": "count(*)", "abs_energy": "sum(v * v)",
+    "has_duplicate": "CASE WHEN count(DISTINCT v) < count(*) THEN 1.0 ELSE 0.0 END",
+    "count_above__t_0": "avg(CASE WHEN v >= 0 THEN 1.0 ELSE 0.0 END)",
+    "mean_change": "(arg_max(v, pos) - arg_min(v, pos)) / (count(*) - 1)",
+}
+
+
 def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["maximum", "mean", "length", "has_duplicate", "abs_energy", "count_above__t_0", "mean_change"]
-    features, labels = window_features(spark, sf_dir, names)
-    return relevance_table(features, labels, ["id", "end"])
+    features, labels = window_features(spark, sf_dir, list(TESTED))
+    found = relevance_table(features, labels, ["id", "end"])
+    return found.select(
+        "feature", "type", "class", rounded(c("p_value")).alias("p_value"), rounded(c("p_adjusted")).alias("p_adjusted"),
+        "significant", "relevant",
+    )
 
 
 def _selected(spark: SparkSession, sf_dir: str, level: float) -> DataFrame:
-    features, labels = window_features(spark, sf_dir, ["maximum", "mean", "length", "abs_energy"])
+    features, labels = window_features(spark, sf_dir, list(TESTED))
     features = stage(features, "features")
-    return select_relevant(features, relevance_table(features, labels, ["id", "end"], level=level))
+    kept = select_relevant(features, relevance_table(features, labels, ["id", "end"], level=level))
+    return kept.select("id", c("end").alias("window_rows"), "feature", "value")
+
+
+def _relevance_sql(level: float) -> str:
+    """Tables ``lab`` (feature values with labels) and ``judged`` (tests, adjusted and flagged).
+
+    Two-sided normal tail: the series of the error function, which loses nothing that six
+    decimals show up to z = 5.6, where the tail is 2e-8; Fisher's test by log-gamma.
+    """
+    return _labelled_sql(TESTED) + RANK_SQL + f""",
+low AS (
+    SELECT feature, count(*)::DOUBLE AS low, count(*) FILTER (label = 1)::DOUBLE AS low1,
+           count(*) FILTER (label = 2)::DOUBLE AS low2, count(*) FILTER (label = 3)::DOUBLE AS low3
+    FROM lab JOIN (SELECT feature, min(value) AS v FROM lab GROUP BY feature) m USING (feature)
+    WHERE value = v GROUP BY feature),
+z AS (
+    SELECT t.*, low, CASE class WHEN 1 THEN low1 WHEN 2 THEN low2 ELSE low3 END AS cell,
+           greatest((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / nullif(sigma, 0), 0) / sqrt(2) AS x
+    FROM tests t JOIN low USING (feature)),
+hyper AS (
+    SELECT feature, class, k, k = cell AS observed,
+           -(lgamma(k + 1) + lgamma(low - k + 1) + lgamma(n1 - k + 1) + lgamma(n - low - n1 + k + 1)) AS w
+    FROM (SELECT *, unnest(range(greatest(0, low + n1 - n)::BIGINT, least(low, n1)::BIGINT + 1)) AS k
+          FROM z WHERE distinct_values = 2)),
+fisher AS (
+    SELECT feature, class, sum(exp(w - top)) FILTER (w <= seen + 1e-7) / sum(exp(w - top)) AS p
+    FROM hyper JOIN (SELECT feature, class, max(w) AS top, max(w) FILTER (observed) AS seen FROM hyper GROUP BY ALL) t
+         USING (feature, class)
+    GROUP BY feature, class),
+tested AS (
+    SELECT z.feature, z.class,
+           CASE WHEN distinct_values <= 1 THEN 'constant' WHEN distinct_values = 2 THEN 'binary' ELSE 'real' END AS type,
+           CASE WHEN distinct_values <= 1 THEN NULL WHEN distinct_values = 2 THEN fisher.p WHEN x > 4 THEN 0
+                ELSE least(1.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90),
+                     lambda i: power(-1, i) * power(x, 2 * i + 1) / (gamma(i + 1) * (2 * i + 1))))) END AS p
+    FROM z LEFT JOIN fisher USING (feature, class)),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY class, p IS NULL ORDER BY p, feature) AS i,
+           count(*) OVER (PARTITION BY class, p IS NULL) AS m FROM tested),
+raised AS (SELECT *, p * m * list_sum(list_transform(range(1, m + 1), lambda k: 1.0 / k)) / i AS q FROM placed),
+adjusted AS (
+    SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(q) OVER (PARTITION BY class, p IS NULL ORDER BY i
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS a FROM raised),
+judged AS (
+    SELECT feature, type, class, p, a, coalesce(a <= {level}, false) AS significant,
+           bool_or(coalesce(a <= {level}, false)) OVER (PARTITION BY feature) AS relevant FROM adjusted)"""
 
 
 def _topk_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,8 +356,16 @@ def build() -> dict[str, Query]:
         "mann_whitney_u": Query(_rank_query, ranks),
         "by_adjust": Query(_adjusted, ADJUST_SQL),
         "topk_union": Query(_topk_union, TOPK_SQL),
-        "relevance_table": Query(_relevance),
-        "fdr_selection": Query(lambda spark, sf_dir: _selected(spark, sf_dir, 1e-5)),
+        "relevance_table": Query(
+            _relevance,
+            _relevance_sql(0.05)
+            + f" SELECT feature, type, class, {r6('p')} AS p_value, {r6('a')} AS p_adjusted, significant, relevant FROM judged",
+        ),
+        "fdr_selection": Query(
+            lambda spark, sf_dir: _selected(spark, sf_dir, 1e-5),
+            _relevance_sql(1e-5)
+            + " SELECT id, e AS window_rows, feature, value FROM lab WHERE feature IN (SELECT feature FROM judged WHERE relevant)",
+        ),
         "window_last_label": Query(_last_label, labels_sql),
         "class_weights": Query(
             _weights,
