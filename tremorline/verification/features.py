@@ -57,6 +57,16 @@ def lagged(count: int, source: str = "r2") -> str:
     return f",\ng AS (SELECT *, {lags} FROM {source} WINDOW w AS (PARTITION BY {WINDOW} ORDER BY pos))"
 
 
+# Gauss-Jordan steps on the rows ``m`` of a system, one a level of the recursion.
+ELIMINATION = f"""elim AS (
+    SELECT * FROM eq
+    UNION ALL
+    SELECT {WINDOW}, k + 1, list_transform(m, lambda row, i: CASE WHEN i = k
+        THEN list_transform(row, lambda x: x / m[k][k])
+        ELSE list_transform(row, lambda x, j: x - row[k] * m[k][j] / m[k][k]) END)
+    FROM elim WHERE k <= len(m))"""
+
+
 def share(condition: str) -> str:
     return f"avg(CASE WHEN {condition} THEN 1.0 ELSE 0.0 END)"
 
@@ -229,7 +239,27 @@ digits AS (
     hours = """,
 h AS (SELECT *, (epoch_us(time) - min(epoch_us(time)) OVER (PARTITION BY id, e, kind)) / 3.6e9 AS hours FROM r)"""
     add("linear_trend_timewise", line("hours", "linear_trend_timewise"), source="h", extra=hours)
-    add("trend_p_values", None, names=['linear_trend__attr_"pvalue"', 'linear_trend_timewise__attr_"pvalue"'])
+    # Two-sided Student tail for whole degrees of freedom as a finite sum in the correlation.
+    tails = hours + f""",
+fits AS (
+    SELECT {WINDOW}, axis, count(*)::INTEGER - 2 AS df, abs(corr(v, x)) AS r
+    FROM (SELECT {WINDOW}, v, unnest(['pos', 'hours']) AS axis, unnest([pos, hours]) AS x FROM h) GROUP BY {WINDOW}, axis),
+tails AS (
+    SELECT {WINDOW}, axis, 1 - CASE WHEN df % 2 = 0
+        THEN r * list_sum(list_transform(range(0, df // 2),
+             lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * power(1 - r * r, j)))
+        ELSE 2 / pi() * (asin(r) + r * sqrt(1 - r * r) * list_sum(list_transform(range(0, (df - 1) // 2),
+             lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * power(1 - r * r, j)))) END AS p
+    FROM fits)"""
+    add(
+        "trend_p_values",
+        {
+            'linear_trend__attr_"pvalue"': "max(p) FILTER (axis = 'pos')",
+            'linear_trend_timewise__attr_"pvalue"': "max(p) FILTER (axis = 'hours')",
+        },
+        source="tails",
+        extra=tails,
+    )
     chunk_sources, chunk_values = [], {}
     for size in occurrences.CHUNKS:
         chunk_sources.append(
@@ -438,8 +468,38 @@ resp AS (
         source="resp",
         extra=wavelet,
     )
-    add("partial_autocorrelation", None, names=[f"partial_autocorrelation__lag_{k}" for k in range(10)])
-    add("ar_coefficients", None, names=[f"ar_coefficient__coeff_{k}__k_10" for k in range(11)])
+    # Durbin-Levinson steps, one a level of the recursion; ``cov[k + 1]`` is lag k.
+    levinson = pairs + """,
+cov AS (SELECT id, e, kind, list(s / (n - lag) ORDER BY lag) FILTER (lag < 10) AS cov, any_value(n) AS n FROM pairs GROUP BY id, e, kind),
+lev AS (
+    SELECT id, e, kind, n, cov, 1 AS k, [cov[2] / cov[1]] AS phi, cov[1] * (1 - power(cov[2] / cov[1], 2)) AS noise, cov[2] / cov[1] AS a
+    FROM cov WHERE cov[1] <> 0
+    UNION ALL
+    SELECT id, e, kind, n, cov, k + 1,
+           list_append(list_transform(range(1, k + 1), lambda j: phi[j] - step * phi[k + 1 - j]), step), noise * (1 - step * step), step
+    FROM (SELECT *, (cov[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * cov[k + 2 - j]))) / noise AS step
+          FROM lev WHERE k < least(9, n // 2 - 1))),
+pacf AS (SELECT id, e, kind, k, a FROM lev UNION ALL SELECT id, e, kind, 0, 1.0 FROM cov WHERE cov[1] <> 0)"""
+    add(
+        "partial_autocorrelation",
+        {f"partial_autocorrelation__lag_{k}": f"max(a) FILTER (k = {k})" for k in range(10)},
+        sql=grouped(
+            {f"partial_autocorrelation__lag_{k}": f"max(a) FILTER (k = {k})" for k in range(10)}, source="pacf", extra=levinson
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
+    )
+    terms = ["1.0", *(f"l{k}" for k in range(1, 11))]
+    equations = ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in (*terms, "v")) + "]" for a in terms)
+    autoregression = lagged(10, "r") + f""",
+eq AS (SELECT {WINDOW}, 1 AS k, [{equations}] AS m FROM g WHERE pos >= 10 AND e >= 21 GROUP BY {WINDOW}),
+{ELIMINATION}"""
+    weights = {
+        f"ar_coefficient__coeff_{k}__k_10": f"max(CASE WHEN e >= 21 THEN weight END) FILTER (i = {k})" for k in range(11)
+    }
+    solved = autoregression + f""",
+ar AS (
+    SELECT {WINDOW}, unnest(range(0, 11)) AS i, unnest(list_transform(m, lambda row: row[12])) AS weight FROM elim WHERE k = 12
+    UNION ALL SELECT id, e, kind, 0, NULL FROM r WHERE e < 21)"""
+    add("ar_coefficients", weights, sql=grouped(weights, source="ar", extra=solved).replace("WITH ", "WITH RECURSIVE ", 1))
     add("unit_root", None, names=segments.unit_root_names())
     add("drift", None, names=spectral.drift_names())
 
