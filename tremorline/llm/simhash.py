@@ -275,4 +275,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("leader")).distinct(),
         "leaders",
     )
-    return docs.join(leaders, docs[id_col].eqNullSafe(leaders["leader"]), "left_semi")
+    # A merge join at every size: there are about as many leaders as documents.
+    return docs.join(leaders.hint("merge"), docs[id_col].eqNullSafe(leaders["leader"]), "left_semi")
