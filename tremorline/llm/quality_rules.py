@@ -72,11 +72,11 @@ MEASURES = {
 }
 
 
-def verdict(rules: tuple[Rule, ...], counts: dict[str, Column]) -> Column:
+def verdict(rules: tuple[Rule, ...], c: Column) -> Column:
     """The rule table as one boolean expression over the counts."""
     checks = [F.lit(True)]
     for rule in rules:
-        value = MEASURES[rule.measure](counts)
+        value = MEASURES[rule.measure](c)
         if rule.low is not None:
             checks.append(value >= rule.low)
         if rule.high is not None:
@@ -142,52 +142,61 @@ def _covered(starts: Column, window: int) -> Column:
     )
 
 
-def measured(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``row`` (a struct of the input's columns) with the counts of its text."""
-    text = F.coalesce(F.col("row")[text_col], F.lit(""))
-    lists = docs.select(F.struct("*").alias("row")).select(
-        "row",
-        words(text).alias("words"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("lines"),
-    )
-    hashed = lists.select(
-        "row",
-        "words",
-        F.size("words").cast("long").alias("n_words"),
-        total(F.transform("words", lambda w: F.length(w))).alias("word_chars"),
-        F.when(text.rlike(SYMBOLS), F.length(text) - F.length(F.translate(text, SYMBOLS[1:-1], "")))
-        .otherwise(0)
-        .cast("long")
-        .alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("words", lambda w: w.isin(_STOP_FORMS))).cast("long").alias("n_stop_words"),
+def counts(text: Column, window: int = WINDOW) -> Column:
+    """Struct of all counts of a text.
+
+    The lists of words and lines are bound once; a filter on the verdict, which Spark moves
+    down to the scan, does not compute them again for every rule.
+    """
+
+    def counted(lists: Column) -> Column:
+        word_list, lines = lists["words"], lists["lines"]
         # Equal windows have equal hashes: a text with distinct hashes repeats nothing, and
         # only the others, few in any corpus, compare the words.
-        let(_window_hashes(F.col("words"), window), lambda h: F.size(F.array_distinct(h)) < F.size(h)).alias("repeats"),
-    )
-    return hashed.select(
-        *("row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words"),
-        F.when(F.col("repeats"), let(F.col("words"), lambda w: _covered(_repeated_positions(w, window), window)))
-        .otherwise(0)
-        .cast("long")
-        .alias("n_repeat_words"),
+        repeats = let(_window_hashes(word_list, window), lambda h: F.size(F.array_distinct(h)) < F.size(h))
+        symbols = F.length(text) - F.length(F.translate(text, SYMBOLS[1:-1], ""))
+        numbers = {
+            "n_words": F.size(word_list),
+            "word_chars": total(F.transform(word_list, lambda w: F.length(w))),
+            "n_symbols": F.when(text.rlike(SYMBOLS), symbols).otherwise(0),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_stop_words": F.size(F.filter(word_list, lambda w: w.isin(_STOP_FORMS))),
+            "n_repeat_words": F.when(repeats, _covered(_repeated_positions(word_list, window), window)).otherwise(0),
+        }
+        return F.struct(*(value.cast("long").alias(name) for name, value in numbers.items()))
+
+    lists = F.struct(
+        words(text).alias("words"),
+        F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("lines"),
     )
+    return let(lists, counted)
+
 
+def base_failed(c: Column) -> Column:
+    return (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Struct of the counts, ``base_failed`` and ``kept``."""
+
+    def judged(c: Column) -> Column:
+        fields = (*COUNTS, "n_lines", "n_stop_words")
+        return F.struct(
+            *(c[name].alias(name) for name in fields),
+            base_failed(c).alias("base_failed"),
+            (~base_failed(c) & verdict(rules, c)).alias("kept"),
+        )
+
+    return let(counts(F.coalesce(text, F.lit(""))), judged)
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts, ``base_failed`` and ``kept`` for every row, beside ``row`` itself."""
-    counted = measured(docs, text_col)
-    known = {name: F.col(name) for name in counted.columns if name != "row"}
-    return counted.select(
-        "*", base_failed().alias("base_failed"), (~base_failed() & verdict(rules, known)).alias("kept")
-    )
+    """Counts, ``base_failed`` and ``kept`` for every row, beside ``row``, the struct of its
+    columns."""
+    return docs.select(F.struct("*").alias("row"), judgement(F.col(text_col), rules).alias("j")).select("row", "j.*")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with the columns of ``docs``."""
-    return judge(docs, text_col, rules).filter("kept").select("row.*")
+    return docs.filter(judgement(F.col(text_col), rules)["kept"])
