@@ -41,6 +41,8 @@ HEADLINE = [
     "features_wavelet",
     "features_unit_root",
     "features_drift",
+    "features_quantiles_long",
+    "features_strikes_long",
     "features_matrix",
     "mann_whitney_u",
     "relevance_table",

@@ -34,9 +34,21 @@ def every_nth_rolled(frames: Frames, step: int) -> DataFrame:
         "time_end",
         (F.col("before__rows") + F.coalesce(F.sum("end").over(inner), F.lit(0))).alias("_offset"),
     )
-    columns = [*frames.window_keys, frames.series.order, *frames.series.values, "pos"]
-    rolled = frames.exploded().select(*columns).join(stage(offsets, "offsets"), frames.window_keys)
-    return rolled.filter((F.col("_offset") + F.col("pos")) % step == 0).drop("_offset")
+    # A row is kept in a window whose offset has the residue its position asks for, so rows
+    # meet just those windows; what comes out of the join is the sample.
+    ends = stage(offsets.withColumn("_residue", F.pmod("_offset", F.lit(step))), "offsets")
+    order, values = frames.series.order, frames.series.values
+    rows = frames.rows.select(
+        *frames.keys,
+        F.pmod(-F.col("pos"), F.lit(step)).alias("_residue"),
+        F.col("end").alias("_from"),
+        F.col("last_end").alias("_to"),
+        order,
+        *values,
+        "pos",
+    )
+    met = rows.join(ends, [*frames.keys, "_residue"]).filter(F.col("end").between(F.col("_from"), F.col("_to")))
+    return met.select(*frames.window_keys, order, *values, "pos", "time_end")
 
 
 def subsample(df: DataFrame, group: str, key: tuple[str, ...], share: float, seed: int = 42) -> DataFrame:

@@ -21,6 +21,8 @@ from tremorline.verification.base import (
 )
 
 WINDOW = "id, e, kind"
+# Families that also run on a few long series.
+LONG = ("quantiles", "change_quantiles", "beyond_sigma", "strikes", "mass_quantiles", "energy_by_chunks", "repeats", "changes")
 NOISE = "1e-12 * greatest(abs(hi), abs(lo))"
 
 
@@ -81,11 +83,13 @@ def one(column: str) -> str:
 
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    names_of: dict[str, list[str]] = {}
 
     def add(name: str, sql_values: dict[str, str] | None, sql: str | None = None, names: list[str] | None = None, **kw) -> None:
         features = names or list(sql_values)
         text = sql if sql is not None else (grouped(sql_values, **kw) if sql_values else None)
         out["features_" + name] = Query(spark_query(features), text)
+        names_of[name] = features
 
     add(
         "totals",
@@ -539,6 +543,9 @@ psd AS (SELECT id, e, kind, k, avg(2 * (re * re + im * im) / 96.0) AS p FROM par
             view=_long_prelude(),
         ),
     )
+    for name in LONG:
+        sql = out[f"features_{name}"].sql.replace(prelude(), _long_prelude(), 1)
+        out[f"features_{name}_long"] = Query(spark_query(names_of[name], long_windows), sql)
     out["impute"] = Query(_impute, _impute_sql())
     out["features_efficient"] = Query(_efficient, _efficient_sql())
     return out
