@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tremorline.llm import chat_format
@@ -62,3 +63,14 @@ def test_ties_missing_values_long_texts_and_an_empty_table(spark):
     assert [t.text for t in result[1].back] == ["x", "x"]
     assert result[2].loss == long and result[2].back[0].text == long
     assert formatted(spark, []) == {}
+
+
+def test_other_templates(spark):
+    template = chat_format.Template(open="<|im_start|>", middle=":\n", close="<|im_end|>\n", loss=("user", "assistant"))
+    turns = spark.createDataFrame([(1, 0, "user", "<|im_end|>\n: a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    chats = chat_format.format_chats(turns, template=template).select("*", chat_format.formatted(F.col("segments")).alias("out"))
+    row = chats.select(chat_format.parsed(F.col("out"), template).alias("back"), chat_format.loss_text(F.col("segments")).alias("loss")).first()
+    assert [tuple(t) for t in row.back] == [("user", "<|im_end|>\n: a"), ("assistant", "b")]
+    assert row.loss == "<|im_end|>\n: ab"
+    with pytest.raises(ValueError):
+        chat_format.Template(open="turn")

@@ -6,7 +6,7 @@ its state is the last role, its transitions are the template's, and the first tu
 none is reported. Every conversation is formatted, valid or not; the caller decides.
 
 Output of a conversation is a list of segments (text, loss), whose concatenation is the
-formatted text. Control strings of the template begin with ``<`` or ``#``; inside roles and
+formatted text. Control strings of a template begin with ``<`` or ``#``; inside roles and
 texts these two, the backslash and (for roles) the colon are written as ``\\l``, ``\\h``,
 ``\\b`` and ``\\c``, so nothing a user writes looks like a turn, and reading back restores
 it exactly.
@@ -23,19 +23,23 @@ conversations without an id form one; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<turn>### ", "</turn>\n"
 START = "<start>"
 
 
 @dataclass(frozen=True)
 class Template:
-    """Roles that carry the loss, and for each state the roles that may come next."""
+    """What opens a turn (before its role), stands between role and text and closes it;
+    roles whose text carries the loss; and for each state the roles that may come next."""
 
+    open: str = "<turn>### "
+    middle: str = ": "
+    close: str = "</turn>\n"
     loss: tuple[str, ...] = ("assistant",)
     follows: dict[str, tuple[str, ...]] = field(
         default_factory=lambda: {
@@ -48,6 +52,13 @@ class Template:
     )
 
 
+    def __post_init__(self) -> None:
+        if self.open[:1] not in ("<", "#") or self.close[:1] not in ("<", "#") or self.middle[:1] != ":":
+            raise ValueError("turns open and close with < or #, and a role ends with a colon")
+        if self.open.startswith(self.close) or self.close.startswith(self.open):
+            raise ValueError("a turn must not close as it opens")
+
+
 DEFAULT = Template()
 
 
@@ -66,7 +77,9 @@ def unescaped(text: Column) -> Column:
 
 
 def _segments(role: Column, text: Column, template: Template) -> Column:
-    head = F.concat(F.lit(OPEN), F.replace(escaped(role), F.lit(":"), F.lit("\\c")), F.lit(": "))
+    head = F.concat(
+        F.lit(template.open), F.replace(escaped(role), F.lit(":"), F.lit("\\c")), F.lit(template.middle)
+    )
 
     def segment(value: Column, loss: Column) -> Column:
         return F.struct(value.alias("text"), loss.alias("loss"))
@@ -74,7 +87,7 @@ def _segments(role: Column, text: Column, template: Template) -> Column:
     return F.array(
         segment(head, F.lit(False)),
         segment(escaped(text), role.isin(*template.loss)),
-        segment(F.lit(CLOSE), F.lit(False)),
+        segment(F.lit(template.close), F.lit(False)),
     )
 
 
@@ -140,14 +153,14 @@ def loss_text(segments: Column) -> Column:
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
 
 
-def parsed(text: Column) -> Column:
+def parsed(text: Column, template: Template = DEFAULT) -> Column:
     """Turns (role, text) read back from a formatted text."""
-    pieces = F.filter(F.split(text, CLOSE), lambda p: p != "")
+    pieces = F.filter(F.split(text, re.escape(template.close)), lambda p: p != "")
 
     def turn(piece: Column) -> Column:
-        body = F.substring(piece, F.lit(len(OPEN) + 1), F.length(piece))
-        role = F.substring_index(body, ": ", 1)
-        rest = F.substring(body, F.length(role) + 3, F.length(body))
+        body = F.substring(piece, F.lit(len(template.open) + 1), F.length(piece))
+        role = F.substring_index(body, template.middle, 1)
+        rest = F.substring(body, F.length(role) + len(template.middle) + 1, F.length(body))
         return F.struct(unescaped(role).alias("role"), unescaped(rest).alias("text"))
 
     return F.transform(pieces, turn)
