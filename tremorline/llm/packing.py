@@ -36,6 +36,7 @@ from tremorline.session import stage
 
 CAPACITY = 4096
 END_ID = 2
+REMEMBERED = 500_000  # chunks of text a worker keeps the ids of, some 125 MB
 
 
 def _is_power_of_two(n: int) -> bool:
@@ -106,7 +107,7 @@ def pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.library_encoder(tokenizer)
+        encoder = tokens.library_encoder(tokenizer, REMEMBERED)
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:

@@ -107,9 +107,9 @@ def worker_memory() -> dict[str, object]:
     return sys.modules.setdefault("tremorline_worker_memory", ModuleType("tremorline_worker_memory")).__dict__
 
 
-def library_encoder(path: str) -> ChunkEncoder:
+def library_encoder(path: str, limit: int = CACHE_LIMIT) -> ChunkEncoder:
     """Encoder for a ``tokenizers`` file, one per worker process."""
-    encoders, key = worker_memory(), f"tokenizers:{path}"
+    encoders, key = worker_memory(), f"tokenizers:{path}:{limit}"
     if key not in encoders:
         from tokenizers import Tokenizer
 
@@ -136,7 +136,7 @@ def library_encoder(path: str) -> ChunkEncoder:
             cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(texts) + 1))).tolist()
             return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
-        encoders[key] = ChunkEncoder(UNSPACED if drops_spaces else SPACED, encode_many, lower=lowers)
+        encoders[key] = ChunkEncoder(UNSPACED if drops_spaces else SPACED, encode_many, limit, lowers)
     return encoders[key]
 
 
