@@ -210,3 +210,15 @@ def test_fisher_p_against_whole_numbers():
             assert _fisher_p(a, row, col, n) == pytest.approx(want, rel=1e-9)
     assert 0 <= _fisher_p(900_000, 1_000_000, 1_500_000, 3_000_000) < 1e-300
     assert _fisher_p(500_000, 1_000_000, 1_500_000, 3_000_000) == 1.0
+
+
+@pytest.mark.parametrize("name", ["random_forest_rows", "grid_search_rows", "domain_adaptation_rows"])
+def test_every_embedding_has_a_prediction(spark, sf_dir, name):
+    from tremorline.verification import catalogue
+
+    labels = {r["vec_id"]: r["label"] + 1 for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    want = {k: v for k, v in labels.items() if name != "domain_adaptation_rows" or k % 3 == 0}
+    got = catalogue.build()[name].run(spark, sf_dir).collect()
+    assert len(got) == len(want) and {r["vec_id"]: r["label"] for r in got} == want
+    assert {r["prediction"] for r in got} <= set(range(1, 11))
+    assert sum(r["label"] == r["prediction"] for r in got) > 0.3 * len(got)

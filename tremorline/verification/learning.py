@@ -337,6 +337,39 @@ def _adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcome(train, predict_adapted(model, target.filter("held"), COLUMNS))
 
 
+# The same over all embeddings and their ten classes, with one prediction per row. SQL cannot
+# express the models, so these have none; the queries above keep theirs.
+def _forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = as_vectors(_embeddings(spark, sf_dir), COLUMNS)
+    model = fit(rows, forest(trees=40, depth=5))
+    return predict(model, rows).select("vec_id", "label", "prediction")
+
+
+def _grid_search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the best setting, which is refitted on all rows, and that setting."""
+    rows = as_vectors(_embeddings(spark, sf_dir), COLUMNS)
+    learner = forest()
+    params = grid(learner, depths=(1, 5), feature_shares=("sqrt",), leaf_rows=(8,), trees=(20,))
+    found = search(rows, "vec_id", params, learner, folds=2)
+    best = best_params(found)
+    return predict(found.bestModel, rows).select(
+        "vec_id",
+        "label",
+        "prediction",
+        F.lit(int(best["maxDepth"])).alias("depth"),
+        F.lit(int(best["numTrees"])).alias("trees"),
+        F.lit(float(best["score"])).alias("score"),
+    )
+
+
+def _adapted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of all target rows, every third one; all rows are fitted on."""
+    rows = _embeddings(spark, sf_dir)
+    source, target = rows.filter(c("vec_id") % 3 != 0), rows.filter(c("vec_id") % 3 == 0)
+    model = fit_adapted(source, target, COLUMNS, forest(trees=60, depth=6))
+    return predict_adapted(model, target, COLUMNS).select("vec_id", "label", "prediction")
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embeddings(spark, sf_dir)
     train = rows.select("vec_id", "e3", "e1")
@@ -399,4 +432,7 @@ def build() -> dict[str, Query]:
             RULED_SQL + " SELECT count(*) AS n_rows, true AS depth_of_grid, 20 AS trees, true AS better_than_chance FROM d WHERE NOT target",
         ),
         "domain_adaptation": Query(_adapted, _outcome_sql("target AND NOT held", "target AND held")),
+        "random_forest_rows": Query(_forest_rows),
+        "grid_search_rows": Query(_grid_search_rows),
+        "domain_adaptation_rows": Query(_adapted_rows),
     }
