@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tremorline.llm import packing, queries, tokens
@@ -109,3 +110,11 @@ def test_awkward_rows(spark):
     assert len([r for r in got if r.start == 0]) == 2 * len(rows) + 1
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
     assert packing.pack_documents(docs.limit(0), path).count() == 0
+
+
+def test_query_describes_the_packed_ids(spark, sf_dir, monkeypatch):
+    other = bytes(range(12))
+    pack = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda cut, capacity: pack(cut, capacity).withColumn("ids", F.when(F.col("ids").isNotNull(), F.lit(other))))
+    got = queries.op7_packing(spark, sf_dir).select("length", "ids_crc32").distinct().collect()
+    assert [tuple(r) for r in got] == [(3, zlib.crc32(other))]

@@ -171,9 +171,12 @@ FROM d WINDOW w AS (PARTITION BY content)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 4096 tokens."""
+    """Pieces of all documents in windows of 4096 tokens; lengths and sums are those of the
+    ids that packing returns."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, with_ids=False).drop("ids")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)
+    from_ids = {"length": F.expr("octet_length(ids) div 4"), "ids_crc32": F.crc32("ids")}
+    return packed.withColumns(from_ids).drop("ids")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
