@@ -62,6 +62,16 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(pages.limit(0), F.col("host")).count() == 0
 
 
+def test_pages_of_boilerplate_alone_are_reported(spark):
+    rows = [(i, "hot", "menu\nfooter") for i in range(6)] + [(6, "hot", "menu\n\nown"), (7, "hot", None), (8, "hot", " \n")]
+    rows += [(9 + i, "tiny", "menu") for i in range(4)]  # fewer pages than the floor: nothing is found
+    pages = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    got = line_dedup.drop_boilerplate(pages, F.col("host")).select("row.doc_id", "text", "n_dropped", "only_boilerplate").collect()
+    assert {r.doc_id for r in got if r.only_boilerplate} == set(range(6))
+    assert all(r.n_dropped == 0 and r.text == "menu\nfooter" for r in got if r.only_boilerplate)
+    assert {r.doc_id: r.text for r in got}[6] == "\nown"
+
+
 def test_host_of_a_url(spark):
     urls = ["http://A.example.org/x", "https://b.example.com:80?q", "ftp://c", "no url", None]
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select(line_dedup.host_of(F.col("url")))

@@ -13,7 +13,7 @@ broadcasts only if the lists are small.
 
 Defined cases: a missing host is a host of its own; a missing text stays missing; blank
 lines are never boilerplate; a page whose every line is boilerplate would be left without
-any content and keeps its text (such whole copies are the matter of the deduplicators);
+any content, keeps its text and is marked (such whole copies are the matter of the deduplicators);
 repeated rows are pages of their own; other columns are carried along.
 """
 
@@ -71,7 +71,7 @@ def drop_boilerplate(
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """``row`` (the input's columns as a struct), ``text`` without the boilerplate lines,
-    ``n_lines`` and ``n_dropped``."""
+    ``n_lines``, ``n_dropped`` and ``only_boilerplate``: nothing but boilerplate, text kept."""
     # Written first, so that the plan knows its size before any text is dealt out.
     found = stage(boilerplate(pages, host, text_col, max_ratio, min_pages), "boilerplate").alias("b")
     rows = pages.select(F.struct("*").alias("row"), host.alias("host")).alias("p")
@@ -88,10 +88,14 @@ def drop_boilerplate(
         F.when(F.col("digests").isNull(), lines).otherwise(F.filter(lines, stays)).alias("rest"),
     )
     emptied = F.exists("lines", lambda line: line.rlike(WORD)) & ~F.exists("rest", lambda line: line.rlike(WORD))
-    kept = rest.select("row", "lines", F.when(emptied, F.col("lines")).otherwise(F.col("rest")).alias("rest"))
+    judged = rest.select("row", "lines", "rest", emptied.alias("emptied"))
+    kept = judged.select(
+        "row", "lines", F.when(F.col("emptied"), F.col("lines")).otherwise(F.col("rest")).alias("rest"), "emptied"
+    )
     return kept.select(
         "row",
         F.when(text.isNotNull(), F.array_join("rest", "\n")).alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("rest")).cast("long").alias("n_dropped"),
+        F.col("emptied").alias("only_boilerplate"),
     )
