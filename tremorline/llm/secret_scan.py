@@ -247,13 +247,55 @@ def written(spans: Column) -> Column:
 def redact(
     docs: DataFrame, ratios: list[float], text_col: str = "text", min_log_ratio: float = MIN_LOG_RATIO
 ) -> DataFrame:
-    """``row`` and ``text`` with ``MASK`` for every secret: kind by kind, in the order of
-    ``BASE`` and then the scored strings, each on what the kinds before it have left."""
+    """``row`` and ``text`` with ``MASK`` for every secret: first the spans of ``scan``, as one
+    where they overlap, then kind by kind, in the order of ``BASE`` and then the scored
+    strings, what is a match only in the text that this has left."""
     table = table_literal(ratios)
-    out = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    spans = F.concat("base", "added")
+    out = scan(docs, ratios, text_col, min_log_ratio).select(
+        "row", F.col("row")[text_col].alias("text"), spans.alias("spans"), (F.size(spans) > 0).alias("hit")
+    )
+    out = out.select("row", F.when(F.col("hit"), _covered(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("text"), "hit")
     for kind in (*BASE, CANDIDATE):
-        out = out.select("row", _masked(F.col("text"), kind, table, min_log_ratio).alias("text"))
-    return out
+        masked = _masked(F.col("text"), kind, table, min_log_ratio)
+        out = out.select("row", F.when(F.col("hit"), masked).otherwise(F.col("text")).alias("text"), "hit")
+    return out.select("row", "text")
+
+
+def _covered(text: Column, spans: Column) -> Column:
+    """``text`` with ``MASK`` for every stretch that ``spans``, one at least, cover.
+
+    A stretch begins where the first span opens and ends where none is open any more;
+    where one ends and another begins at the same place, there are two.
+    """
+    edges = F.array_sort(
+        F.concat(
+            F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("step"))),
+            F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(-1).alias("step"))),
+        )
+    )
+
+    def outer(edges: Column) -> Column:
+        opened = _running(F.transform(edges, lambda e: e["step"]))
+        return F.filter(
+            F.zip_with(edges, opened, lambda e, n: F.struct(e["at"].cast("int").alias("at"), e["step"].alias("step"), n.alias("open"))),
+            lambda e: (e["open"] == 0) | ((e["open"] == 1) & (e["step"] == 1)),
+        )
+
+    def places(edges: Column, step: int) -> Column:
+        return F.transform(F.filter(edges, lambda e: e["step"] == step), lambda e: e["at"])
+
+    def joined(edges: Column) -> Column:
+        starts, ends = F.concat(F.array(F.lit(0)), places(edges, -1)), F.concat(places(edges, 1), F.array(F.length(text)))
+        # Slices of the characters take time linear in the text, substrings would not.
+        return let(
+            F.split(text, ""),
+            lambda chars: F.array_join(
+                F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")), MASK
+            ),
+        )
+
+    return let(let(edges, outer), joined)
 
 
 def _masked(text: Column, kind: Kind, table: Column, min_log_ratio: float) -> Column:
