@@ -31,6 +31,16 @@ def test_ids_equal_those_of_the_library(name):
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize(("name", "end"), [("word_bpe_49k.json", 49407), ("byte_bpe_50k.json", 50256)])
+def test_added_tokens_in_a_text_are_its_characters(name, end):
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "a <|endoftext b|>"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in tokens.library_encoder(path).encode(texts)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[1] == want[1] and end in want[0] and end not in got[0]
+
+
 def test_best_fill_is_best():
     rng = random.Random(3)
     for _ in range(200):
