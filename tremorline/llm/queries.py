@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.llm import (
@@ -12,12 +12,14 @@ from tremorline.llm import (
     exact_dedup,
     line_dedup,
     packing,
+    periodic_runs,
     quality_rules,
     secret_scan,
     simhash,
     token_files,
     toxicity,
 )
+from tremorline.llm.text import let, words
 from tremorline.session import stage_root
 
 
@@ -201,6 +203,50 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, manifest).withColumnRenamed("id", "doc_id")
 
 
+def _with_periodic_tail(doc_id: Column, text: Column) -> Column:
+    """``text``, where crc32 of the id says so with its words from some place on replaced by
+    a repetition of the first of them."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(ws: Column) -> Column:
+        n = F.size(ws)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return let(
+            F.struct(a.alias("a"), p.alias("p")),
+            lambda v: F.array_join(
+                F.transform(ws, lambda w, i: F.when(i < v["a"], w).otherwise(F.get(ws, v["a"] + (i - v["a"]) % v["p"]))),
+                " ",
+            ),
+        )
+
+    changed = let(words(text), lambda ws: F.when(F.size(ws) > 0, repeated(ws)))
+    return F.when(h % 10 == 0, F.coalesce(changed, text)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, some of which get a periodic tail first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text", _with_periodic_tail(F.col("doc_id"), F.col("text")))
+    found = periodic_runs.find_runs(docs, carry=["doc_id"])
+    order = F.transform(
+        "runs", lambda r: F.struct((-r["length"]).alias("rest"), r["start"].alias("start"), r["period"].alias("period"))
+    )
+    longest = found.select("*", F.array_min(order).alias("longest"))
+    written = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return longest.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.rest")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("-1000 * longest.rest div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(written, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 _STOP_LIST = ", ".join(f"'{w}'" for w in quality_rules._STOP_FORMS)
 
 OP8_SQL = rf"""
@@ -245,6 +291,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_files": op10_token_files,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL = {
