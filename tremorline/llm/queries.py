@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tremorline.llm import (
     byte_bpe,
     chat_format,
+    decontamination,
     exact_dedup,
     line_dedup,
     packing,
@@ -203,6 +204,47 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, manifest).withColumnRenamed("id", "doc_id")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    found = decontamination.find(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]
+    )
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        covered.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+_OP11_WORDS = r"""regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, {_OP11_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_OP11_WORDS} AS ws FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(list_slice(ws, i, i + least(len(ws), 10) - 1), ' ') AS g
+    FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM b WHERE len(ws) > 0)),
+grams AS (
+    SELECT doc_id, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g
+    FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows))),
+hits AS (SELECT doc_id, item_id, i, grams.k AS k FROM grams JOIN windows USING (k, g)),
+covered AS (
+    SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS w FROM hits) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def _with_periodic_tail(doc_id: Column, text: Column) -> Column:
     """``text``, where crc32 of the id says so with its words from some place on replaced by
     a repetition of the first of them."""
@@ -291,6 +333,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_files": op10_token_files,
+    "op11_decontamination": op11_decontamination,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
@@ -299,4 +342,5 @@ ORACLE_SQL = {
     "op5_chat_formatting": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op11_decontamination": OP11_SQL,
 }
