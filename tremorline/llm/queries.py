@@ -11,6 +11,7 @@ from tremorline.llm import (
     chat_format,
     decontamination,
     exact_dedup,
+    hard_negatives,
     line_dedup,
     packing,
     periodic_runs,
@@ -289,6 +290,36 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives and hard negatives of every 50th embedding; every seventh has another label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, e.vec_id AS other, a.label = e.label AS same,
+           list_inner_product(a.q, e.q)::BIGINT AS score
+    FROM e a JOIN e ON a.vec_id % 50 = 0 AND a.vec_id <> e.vec_id),
+p AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 _STOP_LIST = ", ".join(f"'{w}'" for w in quality_rules._STOP_FORMS)
 
 OP8_SQL = rf"""
@@ -335,6 +366,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_decontamination": op11_decontamination,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -343,4 +375,5 @@ ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
     "op11_decontamination": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
