@@ -25,21 +25,23 @@ WINDOW_GROUP = 256  # windows that meet a block at a time
 c = F.col
 
 
-def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-partition by ``keys`` into the session's number of shuffle partitions.
+def spread(frames: Frames, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by ``keys`` into as many partitions as there are tasks to run at once,
+    or as the rows fill blocks, four to a partition, if that is more.
 
-    The grouping that follows reuses the partitioning. A fixed number keeps adaptive
-    execution from merging partitions that are small in bytes but carry numpy work.
+    The grouping that follows reuses the partitioning. The number follows the rows, so a
+    partition stays of one size as data grows; adaptive execution, which sees bytes only,
+    would merge partitions that are small but carry numpy work.
     """
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(count, *keys)
+    blocks = frames.series.total * len(frames.series.values) // (4 * BLOCK)
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, blocks), *keys)
 
 
 def packed(frames: Frames, rows: DataFrame, columns: tuple[str, ...], size: int = BLOCK) -> DataFrame:
     """Blocks of long rows: keys, ``kind``, ``_first`` position, ends reached, one array per column."""
     keys = [*frames.keys, "kind"]
     blocks = (
-        spread(rows.withColumn("_block", block_of(c("pos"), size)), [*keys, "_block"])
+        spread(frames, rows.withColumn("_block", block_of(c("pos"), size)), [*keys, "_block"])
         .groupBy(*keys, "_block")
         .agg(
             F.min("pos").alias("_first"),

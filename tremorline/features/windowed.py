@@ -287,7 +287,7 @@ def fourier_coefficients(frames: Frames, names: list[str], kinds: list[str] | No
     keys = [*frames.window_keys, "kind"]
     step = frames.step
     rows = long_rows(frames, kinds).withColumn("_block", block_of(c("pos"), FOURIER_BLOCK))
-    blocks = spread(rows, [*frames.keys, "kind", "_block"]).groupBy(*frames.keys, "kind", "c", "_block", "last_end").agg(
+    blocks = spread(frames, rows, [*frames.keys, "kind", "_block"]).groupBy(*frames.keys, "kind", "c", "_block", "last_end").agg(
         F.min("pos").alias("first"),
         F.min("end").alias("end"),
         F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("s"),

@@ -43,6 +43,7 @@ class IndexedSeries:
     values: tuple[str, ...]
     longest: int
     nulls: int
+    total: int
 
     def with_rows(self, rows: DataFrame) -> "IndexedSeries":
         return replace(self, rows=rows)
@@ -89,6 +90,7 @@ def index_series(
         "_part",
         *keys,
         "_first",
+        "_len",
         F.coalesce(F.sum("_len").over(before), F.lit(0)).alias("_offset"),
         F.sum("_len").over(series).alias("n_rows"),
         F.min("_t0").over(series).alias("t_first"),
@@ -104,18 +106,22 @@ def index_series(
     runs = stage(runs, "runs")
     nulls = [F.col(f"_null_{v}") for v in values]
     total_nulls = F.coalesce(F.sum(sum(nulls, F.lit(0))), F.lit(0))
-    summary = runs.agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("longest"), total_nulls.alias("nulls")).first()
+    summary = runs.agg(
+        F.coalesce(F.max("n_rows"), F.lit(0)).alias("longest"),
+        total_nulls.alias("nulls"),
+        F.coalesce(F.sum("_len"), F.lit(0)).alias("total"),
+    ).first()
     if longest_by is None:
         runs = runs.withColumn("max_rows", F.lit(summary["longest"]).cast("bigint"))
     rows = (
         sorted_rows.withColumn("_part", part)
-        .join(runs, ["_part", *keys])
+        .join(runs.drop("_len"), ["_part", *keys])
         .withColumn("pos", F.col("_rid") - F.col("_first") + F.col("_offset"))
         .select(
             *map(quoted, df.columns), "pos", "n_rows", "max_rows", "t_first", *[f"center_{v}" for v in values]
         )
     )
-    return IndexedSeries(rows, tuple(keys), order, tuple(values), summary["longest"], summary["nulls"])
+    return IndexedSeries(rows, tuple(keys), order, tuple(values), summary["longest"], summary["nulls"], summary["total"])
 
 
 def series_from_table(
@@ -124,9 +130,11 @@ def series_from_table(
     """An indexed series read back from a stored table of its rows."""
     missing = sum((F.when(F.col(v).isNull(), 1).otherwise(0) for v in values), F.lit(0))
     summary = rows.agg(
-        F.coalesce(F.max("n_rows"), F.lit(0)).alias("longest"), F.coalesce(F.sum(missing), F.lit(0)).alias("nulls")
+        F.coalesce(F.max("n_rows"), F.lit(0)).alias("longest"),
+        F.coalesce(F.sum(missing), F.lit(0)).alias("nulls"),
+        F.count(F.lit(1)).alias("total"),
     ).first()
-    return IndexedSeries(rows, tuple(keys), order, tuple(values), summary["longest"], summary["nulls"])
+    return IndexedSeries(rows, tuple(keys), order, tuple(values), summary["longest"], summary["nulls"], summary["total"])
 
 
 def block_of(pos: Column, size: int = BLOCK_ROWS) -> Column:
