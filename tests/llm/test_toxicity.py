@@ -1,7 +1,9 @@
 """Toxicity: the grammar against plain rules, and accuracy on rows it has not seen."""
 
 import itertools
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,14 +59,57 @@ def test_composed_machine_equals_the_rules():
 def test_kinds_of_clauses(text, kind):
     sums = toxicity.ClauseScorer({"idiot": 3.0}, {}).sums(text)
     assert [k for k, v in zip(toxicity.KINDS, sums) if v > 0] == [kind]
+    assert (sums[-1] > 0) == (kind not in ("negated", "reported"))
 
 
 def test_clauses_without_a_match_count_for_nothing():
     scorer = toxicity.ClauseScorer({"idiot": 3.0}, {"slurr": 2.0})
-    assert scorer.sums("You said nothing. They do not care, do they?")[:7] == [0.0] * 7
+    assert scorer.sums("You said nothing. They do not care, do they?") == [0.0] * 6
     assert scorer.sums("slurrish")[0] == 2.0 and scorer.sums("slurr")[0] == 0.0
 
 
+def scores_of(texts, model):
+    return [1 / (1 + math.exp(-(model.slope * math.log1p(model.scorer.sums(t)[-1]) + model.intercept))) for t in texts]
+
+
+def test_order_of_clauses(spark, sf_dir):
+    docs, labels = (queries.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    plain, directed, negated, reported, threat, nothing, longer, two, unmatched = scores_of(
+        [
+            "what an idiot.", "you are an idiot.", "you are not an idiot.", "somebody said idiot.", "I will kill you.",
+            "a nice day.", "what an idiot. " + "a nice day, it was. " * 90, "what an idiot. you idiot.", "they kill time.",
+        ],
+        model,
+    )
+    assert model.slope > 0
+    assert directed > plain > nothing == negated == reported == unmatched and threat > plain
+    assert longer == plain and two > directed
+
+
+def by_hand(text, scorer):
+    """Worth of a text by the plain rules above."""
+    worth = 0.0
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        found = [scorer.symbol(w) or ("o", 0.0) for w in re.findall(r"[^\W\d_]+", clause)]
+        value, pending = 0.0, 0.0
+        for (symbol, weight), out in zip(found, by_rules([s for s, _ in found])):
+            pending = weight if out == "h" else pending
+            value += {"I": weight, "D": 2 * weight, "N": -weight, "R": -weight, "T": 2 * pending}.get(out, 0.0)
+        worth += max(0.0, value)
+    return worth
+
+
+def test_scores_of_the_whole_table_equal_the_rules(spark, sf_dir):
+    docs, labels = (queries.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in queries.op3_toxicity(spark, sf_dir).collect()}
+    assert sum(model.scorer.sums(r.text or "")[-1] > 0 for r in docs.collect()) > 5
+    for r in docs.collect():
+        margin = model.slope * math.log1p(by_hand(r.text or "", model.scorer)) + model.intercept
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-9)
+
+
 def corpus(rng, n):
     """Invented prose; toxic rows hold words that begin with one of two invented stems."""
     syllables = ["ba", "ko", "ti", "re", "mu", "sa", "lo", "ne", "vi", "du"]

@@ -8,12 +8,15 @@ targets, negations and verbs of reporting. The lexicon turns a clause into symbo
 reported speech (an insult after a verb of reporting), targets (an insult after a person
 spoken to or about) and threats (a threat with a target after it) rewrites those symbols.
 They are composed into one machine, which reads each clause that holds an insult or a
-threat and adds up the weights of what it finds there by kind. Words outside of such
+threat. Its output arcs carry factors (``FACTORS``): an insult at a person and a threat
+count more than an insult by itself, a negated or reported one is taken off. A clause is
+worth the sum of factor times weight, or nothing if that is negative; words outside of such
 clauses count for nothing.
 
-*Score*: a logistic regression over the sums by kind. It is fitted on rows whose sums come
-from a lexicon that has not seen them (two folds), so that it knows what chance entries of
-a lexicon are worth.
+*Score*: a logistic function of the clauses' worth, added up over the text, and of nothing
+else. It is fitted on rows whose worth comes from a lexicon that has not seen them (two
+folds), so that it knows what chance entries of a lexicon are worth; its slope is never
+negative, so a match that raises a clause's worth never lowers the score.
 
 Scale: the lexicon and the regression are fitted on at most ``TRAIN_ROWS`` labelled rows,
 chosen by a hash of their id; scoring is work on single rows where they lie. The sample
@@ -62,6 +65,8 @@ dit appelé écrit cité prétendu dijo llamó escribió citó afirmó""".split(
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ihtnro"
 KINDS = ("plain", "directed", "negated", "reported", "threat")
+# What an output symbol of the grammar is worth, in weights of the word it stands for.
+FACTORS = {"I": 1.0, "D": 2.0, "N": -1.0, "R": -1.0, "T": 2.0}
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 _ENDS = frozenset(".!?;:\n")
 
@@ -130,14 +135,14 @@ _PLACE = {"I": 0, "D": 1, "N": 2, "R": 3, "T": 4}
 class ClauseScorer:
     """Sums of weights by kind for a text, under a lexicon of words and beginnings."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float]) -> None:
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], threat: float = FIXED_WEIGHT) -> None:
         self.words, self.beginnings = words, beginnings
         self.machine = grammar()
         self.fixed = {
             **{w: (REPORT, 0.0) for w in REPORTS},
             **{w: (NEGATION, 0.0) for w in NEGATIONS},
             **{w: (TARGET, 0.0) for w in TARGETS},
-            **{w: (THREAT, FIXED_WEIGHT) for w in THREATS},
+            **{w: (THREAT, threat) for w in THREATS},
         }
         self.memory: dict[str, tuple[str, float] | None] = {}
 
@@ -152,7 +157,7 @@ class ClauseScorer:
         return None if weight is None else (INSULT, weight)
 
     def sums(self, text: str) -> list[float]:
-        """By kind, then the largest weight, the number of matches and of words."""
+        """Weights matched by kind, then the worth of the clauses."""
         memory = self.memory
         tokens = _TOKEN.findall(text.lower())
         for word in set(tokens).difference(memory):
@@ -160,7 +165,7 @@ class ClauseScorer:
                 memory.clear()
             memory[word] = self.symbol(word)
         lookup = [memory.get(t) or (self.symbol(t) if t not in memory else None) for t in tokens]
-        out = [0.0] * (len(KINDS) + 2) + [float(len(tokens))]
+        out = [0.0] * (len(KINDS) + 1)
         marked = [i for i, s in enumerate(lookup) if s is not None and s[1] > 0]
         done = 0
         for i in marked:
@@ -177,30 +182,22 @@ class ClauseScorer:
         return out
 
     def _read(self, clause: list[tuple[str, float] | None], out: list[float]) -> None:
-        state, step, pending = self.machine.start, self.machine.step, 0.0
+        state, step, pending, worth = self.machine.start, self.machine.step, 0.0, 0.0
         for found in clause:
             symbol, weight = found or (OTHER, 0.0)
             state, result = step(state, symbol)
             if result == THREAT:
                 pending = weight
-            elif result in _PLACE:
+            elif result in FACTORS:
                 value = pending if result == "T" else weight
                 out[_PLACE[result]] += value
-                out[5] = max(out[5], value)
-                out[6] += 1
+                worth += FACTORS[result] * value
+        out[-1] += max(0.0, worth)
 
 
-def features(sums: Column) -> Column:
-    """What the regression sees: the sums by kind on a log scale, and their total against
-    the length of the text."""
-    strength = F.aggregate(F.slice(sums, 1, len(KINDS)), F.lit(0.0), lambda a, b: a + b)
-    return F.concat(
-        F.transform(F.slice(sums, 1, len(KINDS)), lambda v: F.log1p(v)),
-        F.array(F.log1p(strength), sums[5], F.log1p(sums[6]), F.log1p(sums[6]) - F.log1p(sums[7])),
-    )
-
-
-WIDTH = len(KINDS) + 4
+def worth(sums: Column) -> Column:
+    """What the score is a function of: the worth of all clauses, on a log scale."""
+    return F.log1p(F.get(sums, F.lit(len(KINDS))))
 
 
 def remainder(id_col: str) -> Column:
@@ -280,7 +277,11 @@ def lexicon(terms: DataFrame, totals: dict[tuple[int, int], int], folds: tuple[i
         )
         for row in found:
             (words if row.term[0] == "w" else beginnings)[row.term[2:]] = row.weight
-    return ClauseScorer(words, beginnings)
+    # Seeds too rare to be learned, and threats, weigh what the seeds that were learned do.
+    learned = [words[w] for w in INSULTS if words[w] != FIXED_WEIGHT]
+    usual = max(FIXED_WEIGHT, sum(learned) / len(learned)) if learned else FIXED_WEIGHT
+    seeds = {w: usual for w in INSULTS if words[w] == FIXED_WEIGHT}
+    return ClauseScorer(words | seeds, beginnings, usual)
 
 
 def summed(docs: DataFrame, scorers: dict[int, ClauseScorer], text_col: str, keep: list[str], which: str | None = None) -> DataFrame:
@@ -303,12 +304,12 @@ def summed(docs: DataFrame, scorers: dict[int, ClauseScorer], text_col: str, kee
 @dataclass
 class Model:
     scorer: ClauseScorer
-    coefficients: list[float]
+    slope: float
     intercept: float
 
 
-# Used where there are no labels to fit on: total strength decides.
-FALLBACK = ([0.0] * len(KINDS) + [2.5, 0.0, 0.0, 0.0], -2.0)
+# Used where there are no labels to fit on.
+FALLBACK = (2.5, -2.0)
 
 
 def fit(
@@ -334,10 +335,10 @@ def fit(
         return Model(final, *FALLBACK)
     seen = stage(summed(train, scorers, "text", ["label"], "fold"), "toxicity_sums")
     points = seen.select(
-        (F.col("label") > 0).cast("double").alias("label"), array_to_vector(features(F.col("sums"))).alias("features")
+        (F.col("label") > 0).cast("double").alias("label"), array_to_vector(F.array(worth(F.col("sums")))).alias("features")
     )
     fitted = LogisticRegression(maxIter=60, regParam=1e-4).fit(points)
-    return Model(final, fitted.coefficients.toArray().tolist(), float(fitted.intercept))
+    return Model(final, max(0.0, float(fitted.coefficients[0])), float(fitted.intercept))
 
 
 def score(
@@ -346,10 +347,7 @@ def score(
     """Per row: id, held_out, score (0 to 1), predicted (1 from ``threshold`` on)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sums = summed(rows, {0: model.scorer}, "text", ["id"])
-    weights = F.array(*map(F.lit, model.coefficients))
-    margin = F.aggregate(
-        F.zip_with(features(F.col("sums")), weights, lambda a, b: a * b), F.lit(model.intercept), lambda a, b: a + b
-    )
+    margin = worth(F.col("sums")) * model.slope + model.intercept
     return sums.select("id", (1 / (1 + F.exp(-margin))).alias("score")).select(
         F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
