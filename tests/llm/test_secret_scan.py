@@ -16,6 +16,9 @@ KINDS = (
 )
 
 
+KIND_ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
+
+
 def brute(text):
     spans = []
     for order, (kind, pattern, group, least) in enumerate(KINDS):
@@ -118,6 +121,40 @@ def test_redaction_masks_every_reported_span_whole(spark):
         assert got[i] == (None if text is None else left + text[end:])
 
 
+def test_planted_secrets_are_added(spark, sf_dir):
+    """Strings that no pattern knows, in the documents' own prose, found by the query's models."""
+    rng = random.Random(7)
+    docs = queries.table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = secret_scan.train(secret_scan.samples_of(docs))
+    rows, planted = [], {}
+    for r in docs.filter("text is not null").collect():
+        if brute(r.text):
+            continue
+        letters = rng.choice(secret_scan.DRAWN)
+        value = "".join(rng.choices(letters, k=rng.randint(12, 40)))
+        words = r.text.split(" ")
+        place = rng.randrange(len(words) + 1)
+        text = " ".join([*words[:place], f"({value})", *words[place:]])
+        if not brute(text):
+            start = len(" ".join(words[:place])) + (place > 0) + 1
+            planted[r.doc_id] = f"random:{start}:{start + len(value)}"
+            rows.append((r.doc_id, text))
+    got = {r["doc_id"]: set(filter(None, r["a"].split(","))) for r in scanned(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()}
+    found = sum(planted[i] in got[i] for i in planted)
+    other = sum(len(got[i] - {planted[i]}) for i in planted)
+    assert len(planted) > 100
+    assert found >= 0.95 * len(planted) and other <= 0.02 * len(planted)
+
+
+def test_samples_do_not_come_from_the_patterns(cases):
+    drawn = secret_scan.samples_of(cases).filter("is_random").collect()
+    again = secret_scan.samples_of(cases).filter("is_random").collect()
+    assert len(drawn) == secret_scan.RANDOM_SAMPLES and drawn == again
+    assert {len(r.token) for r in drawn} == set(range(12, 49))
+    ordinary = {r.token for r in secret_scan.samples_of(cases).filter("not is_random").collect()}
+    assert not any(brute(t) for t in ordinary)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     ratios = secret_scan.train(secret_scan.samples_of(empty))
@@ -130,7 +167,9 @@ def test_query_keeps_every_base_span(spark, sf_dir):
     for row in queries.op2_secret_scans(spark, sf_dir).collect():
         base = brute(docs[row.doc_id])
         assert row.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
-        assert set(base) <= set(row.spans.split(",")) | {""}
+        added = [s for s in row.spans.split(",") if s.startswith("random")]
+        assert row.spans == ",".join(sorted([*base, *added], key=lambda s: (int(s.split(":")[1]), KIND_ORDER[s.split(":")[0]])))
+        assert all(secret_scan.ALPHABET.find(c) >= 0 for s in added for c in docs[row.doc_id][slice(*map(int, s.split(":")[1:]))])
         assert [row.n_assign, row.n_access, row.n_hex] == [
             sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex")
         ]

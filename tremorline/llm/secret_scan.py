@@ -1,18 +1,21 @@
 """Secrets in texts: fixed patterns, and strings that look random to two Markov models.
 
 Two first-order character models, one of random strings and one of ordinary identifiers,
-are counted from labelled samples. A candidate string is reported when the log-likelihood
+are counted from labelled samples: strings drawn at random over the alphabets of keys, and
+long words and identifiers of the texts themselves, outside of pattern matches. So the
+models know nothing of the patterns. A candidate string is reported when the log-likelihood
 ratio of the two, summed over its characters, reaches ``MIN_LOG_RATIO``. Pattern matches
 are always reported; the models only add spans.
 
-All of it is column arithmetic. Training is one grouped count with at most 2 x 68 x 68
-groups, whatever the input; that table is all that reaches the driver. A scan has no
+All of it is column arithmetic. Training reads a bounded sample (``SAMPLE_DOCS`` documents
+by a hash of their text, ``RANDOM_SAMPLES`` drawn strings) and is one grouped count with at
+most 2 x 68 x 68 groups; that table is all that reaches the driver. A scan has no
 shuffle. Spans of a text come from the pieces between its matches, in time linear in the
 length of the text.
 
-Defined cases: a missing text is an empty one and has no spans; without samples of a class
-its model is uniform, and without any samples nothing is added; repeated rows are scanned
-each; other columns are carried along.
+Defined cases: a missing text is an empty one and has no spans; without samples of both
+classes nothing is added; repeated rows are scanned each, and of rows with one text the
+sample takes all or none; an empty table gives no rows; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.llm.text import let, total
@@ -33,12 +37,20 @@ BLOCK = 256
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern and the least length of one of its groups; shorter matches do not count."""
+    """A pattern and the least length of one of its groups; shorter matches do not count.
+    Texts whose lower case holds none of ``hints`` have no match."""
 
     name: str
     pattern: str
     group: int
     least: int
+    hints: tuple[str, ...] = ()
+
+    def may_match(self, text: Column) -> Column:
+        """Whether to look for the pattern: finding a plain string is far cheaper."""
+        lower = F.lower(text)
+        hinted = [lower.contains(hint) for hint in self.hints]
+        return reduce(lambda a, b: a | b, hinted) & text.rlike(self.pattern) if hinted else text.rlike(self.pattern)
 
 
 # The patterns. Matches are found without regard to length and then
@@ -49,13 +61,15 @@ BASE = (
         r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         1,
         12,
+        ("passw", "secret", "token", "api"),
     ),
-    Kind("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    Kind("access", r"AKIA[A-Z0-9]{14,}", 0, 18, ("akia",)),
     Kind("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-CANDIDATE = Kind("random", r"[A-Za-z0-9+/_=-]{16,}", 0, 16)
-# What the models call ordinary: identifiers and long words outside of pattern matches.
-ORDINARY = r"[A-Za-z0-9+/_=-]{12,}"
+# Scored strings, and what the models call ordinary where it is outside of pattern matches.
+CANDIDATE = Kind("random", r"[A-Za-z0-9+/_=-]{12,}", 0, 12)
+SAMPLE_DOCS = 20_000
+RANDOM_SAMPLES = 20_000
 _ANY_BASE = (
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}"""
     r"""|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}"""
@@ -63,6 +77,9 @@ _ANY_BASE = (
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0: before the first character, or any other character
+# Alphabets that keys and tokens are drawn from: letters and digits, base 64 and its form
+# for URLs, capitals and digits, small letters and digits.
+DRAWN = (ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62])
 
 
 def _bigrams(token: Column) -> Column:
@@ -71,7 +88,7 @@ def _bigrams(token: Column) -> Column:
     return let(codes, lambda s: F.transform(s, lambda c, i: F.coalesce(F.get(s, i - 1), F.lit(0)) * STATES + c))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, smoothing: float = 0.1) -> list[float]:
     """Log-likelihood ratios of all character pairs from ``samples`` (token, is_random)."""
     counts = (
         samples.select("is_random", F.explode(_bigrams(F.col("token"))).alias("pair"))
@@ -79,6 +96,8 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
         .count()
         .collect()  # at most 2 * STATES * STATES rows
     )
+    if {row.is_random for row in counts} != {True, False}:
+        return [0.0] * STATES**2
     logs = []
     for wanted in (True, False):
         cells = [[smoothing] * STATES for _ in range(STATES)]
@@ -89,29 +108,24 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return [a - b for a, b in zip(*logs)]
 
 
-def samples_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Samples labelled by the patterns: values of assignments and access keys are random
-    strings, long identifiers outside of any match are ordinary."""
+def random_strings(spark: SparkSession, count: int = RANDOM_SAMPLES) -> DataFrame:
+    """``token``: strings of 12 to 48 characters, each alphabet of ``DRAWN`` in turn."""
+    alphabet = F.get(F.array(*map(F.lit, DRAWN)), F.pmod("id", F.lit(len(DRAWN))).cast("int"))
+    length = 12 + F.pmod(F.xxhash64("id"), F.lit(37)).cast("int")
+    place = lambda i: F.pmod(F.xxhash64("id", i), F.length(alphabet)).cast("int") + 1
+    drawn = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(alphabet, place(i), F.lit(1)))
+    return spark.range(count).select(F.array_join(drawn, "").alias("token"))
+
+
+def samples_of(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_DOCS) -> DataFrame:
+    """token, is_random: drawn strings, and long strings of about ``rows`` texts at most."""
+    share = min(1.0, rows / max(1, docs.count()))
+    chosen = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(share * (1 << 20)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    has_base = text.rlike(_ANY_BASE)
-    assign, access = BASE[0], BASE[1]
-    values = F.concat(
-        F.filter(
-            F.regexp_extract_all(text, F.lit(assign.pattern), F.lit(assign.group)),
-            lambda v: F.length(v) >= assign.least,
-        ),
-        F.regexp_extract_all(text, F.lit(access.pattern), F.lit(0)),
-    )
-    others = F.regexp_extract_all(
-        F.when(has_base, F.regexp_replace(text, _ANY_BASE, " ")).otherwise(text), F.lit(ORDINARY), F.lit(0)
-    )
-    labelled = F.concat(
-        F.when(
-            has_base, F.transform(values, lambda v: F.struct(v.alias("token"), F.lit(True).alias("is_random")))
-        ).otherwise(F.array().cast("array<struct<token:string,is_random:boolean>>")),
-        F.transform(others, lambda v: F.struct(v.alias("token"), F.lit(False).alias("is_random"))),
-    )
-    return docs.select(F.inline(labelled))
+    rest = F.when(text.rlike(_ANY_BASE), F.regexp_replace(text, _ANY_BASE, " ")).otherwise(text)
+    ordinary = chosen.select(F.explode(F.regexp_extract_all(rest, F.lit(CANDIDATE.pattern), F.lit(0))).alias("token"))
+    drawn = random_strings(docs.sparkSession).withColumn("is_random", F.lit(True))
+    return drawn.unionByName(ordinary.withColumn("is_random", F.lit(False)))
 
 
 def log_ratio(token: Column, table: Column) -> Column:
@@ -179,7 +193,7 @@ def _spans(text: Column, kind: Kind, order: int) -> Column:
     value = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)) if kind.group else whole
     hits = F.zip_with(whole, value, lambda w, v: F.struct(w.alias("whole"), v.alias("value")))
     found = F.filter(let(hits, located), lambda s: F.length(s["value"]) >= kind.least)
-    return F.when(text.rlike(kind.pattern), found).otherwise(none)
+    return F.when(kind.may_match(text), found).otherwise(none)
 
 
 def table_literal(ratios: list[float]) -> Column:
