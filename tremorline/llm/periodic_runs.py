@@ -6,7 +6,8 @@ A run is a stretch of words with smallest period q, at least ``min_length`` and
 1. *Tiles*: for every octave of periods, step <= q < 2 step with step = 1, 2, 4, ..., a
    document has boundaries every 2 step words. A run of four periods or more reaches from
    its first boundary far enough that the ``step`` words there recur q words later, so a
-   boundary without such a recurrence (of hashes, built up from octave to octave) needs no
+   boundary without such a recurrence (of hashes, built up from octave to octave), or where
+   the words around it agree with those q later for less than a run takes, needs no
    tile. The others get the words from 2 step before to 5 step behind them; neighbouring
    tiles overlap and travel in one row. A boundary whose 2 step words also recur within
    fewer than ``step`` words, compared word by word, lies in a run of a lower octave, and
@@ -59,7 +60,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
 
 
-def boundaries(codes: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+def _agreement(left: np.ndarray, right: np.ndarray) -> int:
+    """How many elements agree from the start."""
+    differs = np.flatnonzero(left != right)
+    return int(differs[0]) if len(differs) else len(left)
+
+
+def _long_enough(codes: np.ndarray, at: int, q: int, need: int) -> bool:
+    """Whether ``need`` words in a row around ``at`` are those q words later."""
+    ahead = codes[at + q : at + q + need]
+    ahead_too = _agreement(codes[at : at + len(ahead)], ahead)
+    if ahead_too >= need:
+        return True
+    low = max(0, at - need + ahead_too)
+    behind = _agreement(codes[low:at][::-1], codes[low + q : at + q][::-1])
+    return ahead_too + behind >= need
+
+
+def boundaries(codes: np.ndarray, min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT) -> Iterator[tuple[int, list[int]]]:
     """(step, boundaries that need a tile) for every octave of periods."""
     n, step = len(codes), 1
     grams = _mix(codes.astype(np.uint64) + np.uint64(1))  # of ``step`` words, by first word
@@ -78,15 +96,20 @@ def boundaries(codes: np.ndarray) -> Iterator[tuple[int, list[int]]]:
                     other = at + 1 + int(shorter[0])
                     if np.array_equal(codes[at : at + 2 * step], codes[other : other + 2 * step]):
                         continue
-            found.append(at)
+            row = square[at // (2 * step)]
+            periods = (step + np.flatnonzero(row[step:] == row[0])).tolist()
+            if any(_long_enough(codes, at, q, max(min_length, min_exponent * q) - q) for q in periods):
+                found.append(at)
         yield step, found
         grams, step = longer, 2 * step
 
 
-def tiles(codes: np.ndarray, tile_words: int = TILE_WORDS) -> list[dict]:
+def tiles(
+    codes: np.ndarray, tile_words: int = TILE_WORDS, min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT
+) -> list[dict]:
     """Rows of overlapping tiles: step, offset in the document, boundaries from there, codes."""
     out, n = [], len(codes)
-    for step, found in boundaries(codes):
+    for step, found in boundaries(codes, min_length, min_exponent):
         group: list[int] = []
         for at in [*found, None]:
             if group and (at is None or at - 2 * step > group[-1] + 5 * step or at + 5 * step - group[0] > tile_words):
@@ -166,7 +189,7 @@ def solve(
     ]
 
 
-def _tiled(rows: DataFrame, tile_words: int) -> DataFrame:
+def _tiled(rows: DataFrame, tile_words: int, min_length: int, min_exponent: int) -> DataFrame:
     """row, part and nth (together the row's number), n_words, words and tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +204,7 @@ def _tiled(rows: DataFrame, tile_words: int) -> DataFrame:
                 codes = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
                 lengths.append(len(words))
                 texts.append(b" ".join(words))
-                found.append(tiles(codes, tile_words))
+                found.append(tiles(codes, tile_words, min_length, min_exponent))
             columns = [
                 batch.column(0),
                 pa.array([part] * len(texts), pa.int64()),
@@ -263,7 +286,7 @@ def find_runs(
     if min_exponent < MIN_EXPONENT:
         raise ValueError(f"min_exponent must be {MIN_EXPONENT} at least")
     rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    tiled = stage(_tiled(rows, tile_words), "tiled")
+    tiled = stage(_tiled(rows, tile_words, min_length, min_exponent), "tiled")
     each = tiled.select("part", "nth", "n_words", F.explode("tiles").alias("tile"))
     dealt = each.select("part", "nth", "n_words", "tile.*").repartition("part", "nth", "step", "offset")
     runs = (
