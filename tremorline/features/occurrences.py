@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tremorline.features.rows import as_long, lagged_rows, long_rows
 from tremorline.operators.indexing import block_of
 from tremorline.operators.rolling import Frames
+from tremorline.operators.scans import running_largest
 
 c = F.col
 
@@ -31,17 +32,12 @@ REPEATS = (
 )
 
 
-def _upto(frames: Frames, *extra: str):
-    keys = [*frames.keys, "kind", *extra]
-    return Window.partitionBy(*keys).orderBy("end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def repeated_values(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
     """A value becomes distinct at its first occurrence and reoccurring at its second, so
     counting both events per segment gives every window without regrouping its rows."""
     counted = long_rows(frames, kinds).groupBy(*frames.window_keys, "kind", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    earlier = Window.partitionBy(*frames.keys, "kind", "v").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("cnt").over(earlier), F.lit(0))
+    counted = frames.upto(counted, {"earlier": (c("cnt"), "sum")}, ("v",), exclusive=True)
+    before = F.coalesce("earlier", F.lit(0))
     turned = (c("before") < 2) & (c("before") + c("cnt") >= 2)
     points = F.when(turned, c("before") + c("cnt")).when(c("before") >= 2, c("cnt")).otherwise(0)
     events = (
@@ -56,12 +52,8 @@ def repeated_values(frames: Frames, names: list[str], kinds: list[str] | None =
             F.sum(c("v") * points).alias("points_sum"),
         )
     )
-    upto = _upto(frames)
-    table = events.select(
-        *frames.window_keys,
-        "kind",
-        *[F.sum(x).over(upto).alias(x) for x in ("n", "distinct", "repeated", "repeated_sum", "points", "points_sum")],
-    )
+    totals = ("n", "distinct", "repeated", "repeated_sum", "points", "points_sum")
+    table = frames.upto(events, {name: (c(name), "sum") for name in totals})
     values = {
         "has_duplicate": (c("distinct") < c("n")).cast("double"),
         "ratio_value_number_to_time_series_length": c("distinct") / c("n"),
@@ -76,9 +68,8 @@ def repeated_values(frames: Frames, names: list[str], kinds: list[str] | None =
 def largest_magnitudes(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
     """Mean of the k largest |x|.
 
-    Per segment only its 7 largest values are kept. Over their stream, the running maximum
-    is the largest; what each new value displaces from it feeds the running maximum of the
-    next level, and so on for 7 levels.
+    Per segment only its 7 largest values are kept; ``running_largest`` follows them over
+    the window ends.
     """
     deepest = max(LARGEST)
     rows = long_rows(frames, kinds).select(*frames.window_keys, "kind", "pos", F.abs("v").alias("a"))
@@ -91,18 +82,12 @@ def largest_magnitudes(frames: Frames, names: list[str], kinds: list[str] | None
         .withColumn("_r", F.row_number().over(by_segment))
         .filter(c("_r") <= deepest)
     )
-    stream = Window.partitionBy(*frames.keys, "kind").orderBy("end", "_r")
-    now = stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    past = stream.rowsBetween(Window.unboundedPreceding, -1)
-    spilled = c("a")
-    for level in range(1, deepest + 1):
-        top = top.withColumn(f"_top{level}", F.max(spilled).over(now))
-        held = F.max(spilled).over(past)
-        top = top.withColumn(f"_spill{level}", F.when(held.isNotNull() & spilled.isNotNull(), F.least(held, spilled)))
-        spilled = c(f"_spill{level}")
-    per_window = top.groupBy(*frames.window_keys, "kind").agg(
-        *[F.max(f"_top{k}").alias(f"m{k}") for k in range(1, deepest + 1)]
-    )
+    step = frames.step or 1
+    count = frames.series.longest // step + 1 if frames.step else 1
+    numbered = top.withColumn("_window", F.floor(c("end") / step))
+    largest = running_largest(numbered, [*frames.keys, "kind"], "_window", count, "a", deepest)
+    ends = top.select(*frames.window_keys, "kind", F.floor(c("end") / step).alias("_window")).distinct()
+    per_window = largest.join(ends, [*frames.keys, "kind", "_window"])
     values = {}
     for k in LARGEST:
         mean = sum((c(f"m{i}") for i in range(2, k + 1)), c("m1")) / k
@@ -142,17 +127,13 @@ def permutation_entropy(frames: Frames, names: list[str], kinds: list[str] | Non
         .groupBy(*frames.window_keys, "kind", "dim", "code")
         .agg(F.count("code").alias("cnt"))  # rows without a full pattern count zero
     )
-    running = F.sum("cnt").over(_upto(frames, "dim", "code"))
     change = (
-        counted.withColumn("after", running)
+        frames.upto(counted, {"after": (c("cnt"), "sum")}, ("dim", "code"))
         .withColumn("delta", _xlogx(c("after")) - _xlogx(c("after") - c("cnt")))
         .groupBy(*frames.window_keys, "kind", "dim")
         .agg(F.sum("delta").alias("delta"), F.sum("cnt").alias("cnt"))
     )
-    upto = _upto(frames, "dim")
-    table = change.select(
-        *frames.window_keys, "kind", "dim", F.sum("delta").over(upto).alias("s"), F.sum("cnt").over(upto).alias("n")
-    )
+    table = frames.upto(change, {"s": (c("delta"), "sum"), "n": (c("cnt"), "sum")}, ("dim",))
     value = F.when(c("n") > 0, F.ln(c("n").cast("double")) - c("s") / c("n"))
     feature = F.concat(F.lit("permutation_entropy__dimension_"), c("dim").cast("string"), F.lit("__tau_1"))
     return table.select(
@@ -219,14 +200,14 @@ def chunk_trends(frames: Frames, names: list[str], kinds: list[str] | None = Non
         *[F.sum(F.when(~c("own"), c(x))).alias(f"seg_{x}") for x in names_of],
         *[F.sum(F.when(c("own"), c(x))).alias(f"own_{x}") for x in names_of],
     )
-    upto = _upto(frames, "size")
-    table = merged.select(
+    summed = frames.upto(merged, {f"all_{x}": (c(f"seg_{x}"), "sum") for x in names_of}, ("size",))
+    table = summed.select(
         *frames.window_keys,
         "kind",
         "c",
         "size",
         *[
-            (F.coalesce(F.sum(f"seg_{x}").over(upto), F.lit(0.0)) + F.coalesce(c(f"own_{x}"), F.lit(0.0))).alias(x)
+            (F.coalesce(f"all_{x}", F.lit(0.0)) + F.coalesce(c(f"own_{x}"), F.lit(0.0))).alias(x)
             for x in names_of
         ],
     )

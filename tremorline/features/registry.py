@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,12 @@ def extract_features(frames: Frames, spec: list[str] | dict[str, list[str]]) ->
         raise ValueError("fill missing values before extracting features")
     if not isinstance(spec, dict):
         spec = {kind: list(spec) for kind in frames.series.values}
+    wanted = {name for names in spec.values() for name in names}
+    grids = {"quantiles": [0.5, *windowed.QUANTILES], "changes": windowed.CORRIDOR}
+    asked = [grids[f] for f, (_, names) in families().items() if f in grids and wanted & set(names)]
+    # Families of one call share window statistics, packed values and quantiles.
+    shared = {"probabilities": sorted({p for grid in asked for p in grid})} if len(asked) > 1 else {}
+    frames = replace(frames, shared=shared)
     tables = []
     for family, names in families().values():
         chosen: dict[tuple[str, ...], list[str]] = {}
@@ -107,11 +114,7 @@ def with_time_end(features: DataFrame, labels: DataFrame, keys: list[str]) -> Da
 def to_matrix(features: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Wide matrix: one row per window, one column per axis and feature."""
     name = F.concat_ws("__", "kind", "feature")
-    return (
-        features.withColumn("_name", name)
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("_name") == n, F.col("value"))).alias(n) for n in columns])
-    )
+    return features.withColumn("_name", name).groupBy(*keys).pivot("_name", columns).agg(F.max("value"))
 
 
 def align_columns(matrix: DataFrame, train: DataFrame) -> DataFrame:

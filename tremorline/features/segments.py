@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.features.finishing import (
@@ -279,17 +279,7 @@ def window_sums(
         *[F.expr(p.agg).alias(name) for name, p in wanted.items()]
     )
     if frames.step is not None:
-        by = ", ".join([*frames.keys, "kind"])
-        upto = f"OVER (PARTITION BY {by} ORDER BY end ROWS UNBOUNDED PRECEDING)"
-        merge = {
-            "sum": "sum({0}) " + upto,
-            "min": "min({0}) " + upto,
-            "max": "max({0}) " + upto,
-            "own": "{0}",
-            "gather": "flatten(collect_list(CASE WHEN size({0}) > 0 THEN {0} END) " + upto + ")",
-        }
-        merged = [f"{merge[p.merge].format(name)} AS {name}" for name, p in wanted.items()]
-        table = table.selectExpr(*frames.window_keys, "kind", "c", *merged)
+        table = frames.upto(table, {name: (F.col(name), p.merge) for name, p in wanted.items() if p.merge != "own"})
     return table.withColumn("var", F.expr("greatest(s2 / n - (s1 / n) * (s1 / n), 0.0D)"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,8 +77,8 @@ def window_density(frames: Frames, kinds: list[str] | None = None) -> DataFrame:
         *keys, F.explode(F.sequence(F.lit(0), F.lit(half))).alias("f"), F.lit(0.0).alias("p"), F.lit(0).alias("m")
     )
     merged = per_end.unionByName(ends).groupBy(*keys, "f").agg(F.sum("p").alias("p"), F.sum("m").alias("m"))
-    upto = Window.partitionBy(*frames.keys, "kind", "f").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
-    averaged = merged.select(*keys, "f", (F.sum("p").over(upto) / F.sum("m").over(upto)).alias("p"))
+    summed = frames.upto(merged, {"all_p": (c("p"), "sum"), "all_m": (c("m"), "sum")}, ("f",))
+    averaged = summed.select(*keys, "f", (c("all_p") / c("all_m")).alias("p"))
     as_array = F.transform(F.array_sort(F.collect_list(F.struct("f", "p"))), lambda s: s["p"])
     long_windows = averaged.groupBy(*keys).agg(as_array.alias("power"))
     short = frames.exploded(rows.filter(c("end") < SEGMENT)).filter(c("end") < SEGMENT)

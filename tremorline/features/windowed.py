@@ -4,20 +4,21 @@ no window is ever gathered."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorline.features.blocks import BLOCK, packed, per_window, spread
+from tremorline.features.blocks import BLOCK, packed, per_window
 from tremorline.features.rows import as_long, lagged_rows, long_rows
 from tremorline.features.segments import MEAN, SD, window_sums
 from tremorline.features.window_quantiles import window_quantiles
-from tremorline.operators.indexing import block_of
+from tremorline.operators.filling import forward_fill
+from tremorline.operators.indexing import block_of, index_series
 from tremorline.operators.rolling import Frames
+from tremorline.operators.scans import running
 from tremorline.session import stage
 
 c = F.col
@@ -31,17 +32,35 @@ CORRIDORS = tuple((a, b) for a in CORRIDOR for b in CORRIDOR if a < b)
 BINS = 10
 PARTS = 10
 FOURIER_BLOCK = 4096
+FOURIER_WINDOWS = 16  # windows that a block is turned for at a time
 SUM_BLOCK = 1024
-FOURIER_DENSE = 512
 FOURIER_COEFFS = tuple(range(100))
 FOURIER_ATTRS = ("real", "imag", "abs", "angle")
 
 
 def window_stats(frames: Frames, kinds: list[str] | None = None) -> DataFrame:
-    """Size, mean, spread and range of every window, staged once."""
-    sums = window_sums(frames, [], kinds)
+    """Size, mean, spread and range of every window, staged once for all families of a call."""
     wanted = ["n", f"{MEAN} AS mean", f"{SD} AS sd", "lo", "hi"]
-    return stage(sums.selectExpr(*frames.window_keys, "kind", *wanted), "stats")
+    make = lambda: window_sums(frames, [], kinds).selectExpr(*frames.window_keys, "kind", *wanted)
+    return frames.once(("stats", *(kinds or frames.series.values)), make)
+
+
+def value_blocks(frames: Frames, kinds: list[str] | None, size: int = BLOCK) -> DataFrame:
+    """Packed values, staged once for all families of a call."""
+    make = lambda: packed(frames, long_rows(frames, kinds), ("v",), size)
+    return frames.once(("blocks", size, *(kinds or frames.series.values)), make)
+
+
+def value_quantiles(frames: Frames, kinds: list[str] | None, probabilities: list[float]) -> DataFrame:
+    """Quantiles of the values of every window. Where several families of a call want some,
+    those of all are selected together."""
+    every = sorted({*probabilities, *frames.shared.get("probabilities", ())})
+    if every == sorted(probabilities):
+        return window_quantiles(frames, long_rows(frames, kinds), "v", probabilities)
+    make = lambda: window_quantiles(frames, long_rows(frames, kinds), "v", every)
+    table = frames.once(("quantiles", *(kinds or frames.series.values)), make)
+    wanted = F.array(*[c("q")[every.index(p)] for p in probabilities])
+    return table.select(*frames.window_keys, "kind", wanted.alias("q"))
 
 
 def _first_true(ordered: np.ndarray, holds: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
@@ -79,10 +98,9 @@ def beyond_statistics(frames: Frames, names: list[str], kinds: list[str] | None
 
     A block answers each threshold of a window by bisection of its sorted values.
     """
-    blocks = packed(frames, long_rows(frames, kinds), ("v",))
     found = per_window(
         frames,
-        blocks,
+        value_blocks(frames, kinds),
         window_stats(frames, kinds),
         ("v",),
         ("mean", "sd", "lo", "hi"),
@@ -97,14 +115,19 @@ def beyond_statistics(frames: Frames, names: list[str], kinds: list[str] | None
     return as_long(table, frames.window_keys, {name: values[name] for name in names})
 
 
+def _ahead(frames: Frames, blocks: DataFrame) -> DataFrame:
+    """Keys, ``_block`` and ``ahead``: the totals of the blocks before, summed."""
+    keys, count = [*frames.keys, "kind"], frames.series.longest // SUM_BLOCK + 1
+    summed = running(blocks, keys, ["_block"], c("_block"), count, {"_sum": (c("_total"), "sum")}, exclusive=True)
+    return summed.select(*keys, "_block", F.coalesce("_sum", F.lit(0.0)).alias("ahead"))
+
+
 def _running(frames: Frames, kinds: list[str] | None, term: str) -> DataFrame:
     """Rows with ``run``: the sum of ``term`` over the series up to and including the row,
     from sums inside small blocks and the totals of the blocks before."""
     rows = long_rows(frames, kinds).withColumn("_block", block_of(c("pos"), SUM_BLOCK)).withColumn("_term", F.expr(term))
     block_keys = [*frames.keys, "kind", "_block"]
-    blocks = rows.groupBy(*block_keys).agg(F.sum("_term").alias("_total"))
-    ahead = Window.partitionBy(*frames.keys, "kind").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(*block_keys, F.coalesce(F.sum("_total").over(ahead), F.lit(0.0)).alias("ahead"))
+    offsets = _ahead(frames, rows.groupBy(*block_keys).agg(F.sum("_term").alias("_total")))
     inside = Window.partitionBy(*block_keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = rows.withColumn("_run", F.sum("_term").over(inside)).join(offsets, block_keys)
     return within.withColumn("run", c("_run") + c("ahead"))
@@ -112,17 +135,25 @@ def _running(frames: Frames, kinds: list[str] | None, term: str) -> DataFrame:
 
 def energy_by_parts(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
     """Share of the energy in each of ten consecutive parts of a window: differences of the
-    running energy at the parts' last rows. The first n mod 10 parts are one row longer."""
+    running energy at the parts' last rows, looked up in the blocks that hold one. The first n mod 10 parts are one row longer."""
     keys = [*frames.window_keys, "kind"]
-    running = _running(frames, kinds, "v * v").select(*frames.keys, "kind", "pos", "end", "run")
+    block_keys = [*frames.keys, "kind", "_block"]
+    rows = long_rows(frames, kinds).select(*keys, "pos", (c("v") * c("v")).alias("_term"))
+    rows = rows.withColumn("_block", block_of(c("pos"), SUM_BLOCK))
     length = f"(end div {PARTS})"
     last_row = f"i * {length} + least(i, end % {PARTS}) - 1"
     bounds = (
-        running.filter(c("pos") == c("end") - 1)
+        rows.filter(c("pos") == c("end") - 1)
         .select(*keys, F.explode(F.sequence(F.lit(0), F.lit(PARTS))).alias("i"))
         .withColumn("pos", F.expr(last_row))
     )
-    at = bounds.join(running.drop("end"), [*frames.keys, "kind", "pos"], "left")  # no row before the first part
+    # Of all rows only those in a block with a wanted place are put in order.
+    reached = bounds.select(*frames.keys, "kind", block_of(c("pos"), SUM_BLOCK).alias("_block")).distinct()
+    inside = Window.partitionBy(*block_keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.join(reached, block_keys, "left_semi").withColumn("_run", F.sum("_term").over(inside))
+    offsets = _ahead(frames, rows.groupBy(*block_keys).agg(F.sum("_term").alias("_total")))
+    runs = within.join(offsets, block_keys).select(*frames.keys, "kind", "pos", (c("_run") + c("ahead")).alias("run"))
+    at = bounds.join(runs, [*frames.keys, "kind", "pos"], "left")  # no row before the first part
     table = at.groupBy(*keys).agg(
         *[F.max(F.when(c("i") == i, F.coalesce("run", F.lit(0.0)))).alias(f"e{i}") for i in range(PARTS + 1)]
     )
@@ -139,7 +170,7 @@ def quantile_features(
     """Median, quantiles and the symmetry flags that compare mean and median."""
     keys = [*frames.window_keys, "kind"]
     grid = [0.5, *QUANTILES] if any(n.startswith("quantile") for n in names) else [0.5]
-    table = window_quantiles(frames, long_rows(frames, kinds), "v", grid)
+    table = value_quantiles(frames, kinds, grid)
     values = {"median": "q[0]"} | {f"quantile__q_{q}": f"q[{i}]" for i, q in enumerate(grid[1:], start=1)}
     if any(n.startswith("symmetry_looking") for n in names):
         table = table.join(window_stats(frames, kinds), keys)
@@ -154,7 +185,7 @@ def change_quantiles(
     """Mean and variance of steps whose both ends lie between two quantiles of the window."""
     keys = [*frames.window_keys, "kind"]
     rows = lagged_rows(long_rows(frames, kinds), frames.keys, [1])
-    edges = stage(window_quantiles(frames, rows, "v", list(CORRIDOR)), "edges")
+    edges = stage(value_quantiles(frames, kinds, list(CORRIDOR)), "edges")
     corridors = [x for x in CORRIDORS if any(n.endswith(f"__qh_{x[1]}__ql_{x[0]}") for n in names)]
     places = [(CORRIDOR.index(low), CORRIDOR.index(high)) for low, high in corridors]
 
@@ -188,8 +219,9 @@ def change_quantiles(
 def mass_quantiles(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
     """Relative position at which a share q of the absolute mass is reached.
 
-    The running mass of a series only grows. Sorting the wanted masses among the block
-    offsets tells in which block each is reached; only that block's rows are searched.
+    The running mass of a series only grows. Wanted masses and block offsets are merged in
+    range partitions, where a forward fill tells in which block each mass is reached; only
+    that block's rows are searched.
     """
     keys = [*frames.window_keys, "kind"]
     rows = stage(_running(frames, kinds, "abs(v)").select(*keys, "pos", "_block", "ahead", "run"), "running")
@@ -203,9 +235,11 @@ def mass_quantiles(frames: Frames, names: list[str], kinds: list[str] | None = N
     offsets = rows.groupBy(*frames.keys, "kind", "_block").agg(F.min("ahead").alias("mass"))
     # a mass equal to an offset was reached before the block began, so targets sort first
     marks = targets.withColumn("_block", F.lit(None).cast("bigint")).unionByName(offsets, allowMissingColumns=True)
-    order = Window.partitionBy(*frames.keys, "kind").orderBy("mass", F.col("_block").asc_nulls_first())
-    placed = marks.withColumn("_block", F.coalesce(F.last("_block", ignorenulls=True).over(order), F.lit(0)))
-    placed = placed.filter(c("q").isNotNull())
+    marks = marks.withColumn("_mark", F.struct("mass", "_block", "end", "q"))
+    merged = forward_fill(index_series(marks, (*frames.keys, "kind"), "_mark", ("_block",)))
+    placed = merged.filter(c("q").isNotNull()).select(
+        *keys, "q", "total", "mass", F.coalesce("_block", F.lit(0)).alias("_block")
+    )
     found = placed.join(
         rows.select(*frames.keys, "kind", "_block", "pos", "run"), [*frames.keys, "kind", "_block"]
     ).filter((c("run") >= c("mass")) & (c("total") > 0))
@@ -243,7 +277,7 @@ def longest_strikes(
     outputs = {name: T.LongType() for name in ("rows", *[f"{m}_{side}" for side in ("above", "below") for m in measures])}
     found = per_window(
         frames,
-        packed(frames, long_rows(frames, kinds), ("v",), block_rows),
+        value_blocks(frames, kinds, block_rows),
         window_stats(frames, kinds),
         ("v",),
         ("mean", "lo", "hi"),
@@ -257,9 +291,11 @@ def longest_strikes(
         ]
     )
     blocks = found.select(*keys, "_block", "rows", F.inline(sides))
-    earlier = Window.partitionBy(*keys, "side").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     full = c("best") == c("rows")
-    group = F.coalesce(F.sum(F.when(full, 0).otherwise(1)).over(earlier), F.lit(0))
+    breaks = {"_breaks": (F.when(full, 0).otherwise(1), "sum")}
+    count = frames.series.longest // block_rows + 1
+    blocks = running(blocks, [*keys, "side"], ["_block"], c("_block"), count, breaks, exclusive=True)
+    group = F.coalesce("_breaks", F.lit(0))
     pieces = F.when(full, F.array(F.struct(c("g").alias("g"), c("rows").alias("part")))).otherwise(
         F.array(
             F.struct(c("g").alias("g"), c("prefix").alias("part")),
@@ -279,63 +315,47 @@ def longest_strikes(
 def fourier_coefficients(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
     """Discrete Fourier coefficients of the requested orders; NULL beyond half the window.
 
-    Each block of rows travels once, as one array. For every window that reaches into it
-    the block contributes partial sums, which add up over the blocks. Order zero is the
-    plain sum, all others ignore the series mean.
+    Blocks of rows meet groups of windows. For all windows of a group that are cut at the
+    same row a block contributes sums of every order at once, one array a window, which add
+    up over the blocks. Order zero is the plain sum, all others ignore the series mean.
     """
     orders = sorted({int(n.rsplit("_", 1)[1]) for n in names})
+    wanted = np.array(orders)
     keys = [*frames.window_keys, "kind"]
-    step = frames.step
-    rows = long_rows(frames, kinds).withColumn("_block", block_of(c("pos"), FOURIER_BLOCK))
-    blocks = spread(frames, rows, [*frames.keys, "kind", "_block"]).groupBy(*frames.keys, "kind", "c", "_block", "last_end").agg(
-        F.min("pos").alias("first"),
-        F.min("end").alias("end"),
-        F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("s"),
-    )
-    blocks = blocks.withColumn("s", F.transform("s", lambda s: s["d"]))
-
-    def contribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for record in batch.to_dict("records"):
-                values, first, origin = record.pop("s"), record.pop("first"), record.pop("c")
-                ends = range(record.pop("end"), record.pop("last_end") + 1, step or 1)
-                record.pop("_block")
-                parts = []
-                for end in ends:
-                    inside = values[: end - first]
-                    angle = (-2 * np.pi / end) * np.arange(first, first + len(inside))
-                    sums = np.zeros(len(wanted), complex)
-                    exist = wanted <= end // 2
-                    if len(inside) <= FOURIER_DENSE:
-                        sums[exist] = np.exp(1j * np.outer(wanted[exist], angle)) @ inside
-                    else:  # one order after the other, by repeated rotation
-                        turn, state = np.exp(1j * angle), np.ones(len(inside), complex)
-                        for order in range(wanted[exist].max(initial=0) + 1):
-                            at = np.searchsorted(wanted, order)
-                            if wanted[at] == order:
-                                sums[at] = state @ inside
-                            state = state * turn
-                    if wanted[0] == 0:
-                        sums[0] += origin * len(inside)
-                    mass = np.abs(inside + origin).sum()
-                    parts.append({**record, "end": end, "mass": mass, "real": sums.real, "imag": sums.imag})
-                    if len(parts) == 256:
-                        yield pd.DataFrame(parts)
-                        parts = []
-                if parts:
-                    yield pd.DataFrame(parts)
+    rows = long_rows(frames, kinds).withColumn("place", c("pos").cast("double"))
+    blocks = packed(frames, rows, ("d", "v", "place"), FOURIER_BLOCK)
+    windows = rows.filter(c("pos") == c("end") - 1).select(*keys, c("end").alias("length"))
 
-    wanted = np.array(orders)
-    fields = {f.name: f.dataType for f in blocks.schema}
-    schema = T.StructType([T.StructField(k, fields[k]) for k in keys])
-    schema = schema.add("mass", T.DoubleType())
-    schema = schema.add("real", T.ArrayType(T.DoubleType())).add("imag", T.ArrayType(T.DoubleType()))
-    sums = (
-        blocks.mapInPandas(contribute, schema)
-        .select(*keys, "mass", F.posexplode(F.arrays_zip("real", "imag")).alias("i", "z"))
-        .groupBy(*keys, "i")
-        .agg(F.sum("z.real").alias("re"), F.sum("z.imag").alias("im"), (F.sum("mass") * 1e-12).alias("noise"))
+    def sums(rows: list[np.ndarray], stats: list[np.ndarray]) -> list:
+        centred, values, place = rows
+        lengths = stats[0]
+        out = np.zeros((len(lengths), 2 * len(wanted) + 1))
+        out[:, -1] = np.abs(values).sum()
+        for part in range(0, len(lengths), FOURIER_WINDOWS):
+            some = slice(part, part + FOURIER_WINDOWS)
+            turn = np.exp((-2j * np.pi / lengths[some])[:, None] * place)
+            state = np.ones_like(turn)
+            for order in range(wanted[-1] + 1):
+                at = np.searchsorted(wanted, order)
+                if wanted[at] == order:
+                    found = state @ centred
+                    out[some, at], out[some, len(wanted) + at] = found.real, found.imag
+                state *= turn
+        if wanted[0] == 0:
+            out[:, 0] = values.sum()
+        return [list(out)]
+
+    found = per_window(
+        frames, blocks, windows, ("d", "v", "place"), ("length",), sums, {"t": T.ArrayType(T.DoubleType())}
+    )
+    width = 2 * len(orders) + 1
+    table = found.groupBy(*keys).agg(F.array(*[F.expr(f"sum(t[{i}])") for i in range(width)]).alias("t"))
+    table = table.select(*keys, "t", (F.get("t", F.lit(width - 1)) * 1e-12).alias("noise"))
+    sums_of = F.transform(
+        F.sequence(F.lit(0), F.lit(len(orders) - 1)),
+        lambda i: F.struct(i.alias("i"), F.get("t", i).alias("re"), F.get("t", i + len(orders)).alias("im")),
     )
+    sums = table.select(*keys, "noise", F.inline(sums_of))
     order = F.get(F.array(*[F.lit(k) for k in orders]), c("i"))
     # order zero and the highest order of an even window are real; rounding noise is zero
     two_sided = (order > 0) & (order * 2 < c("end")) & (F.abs("im") > c("noise"))

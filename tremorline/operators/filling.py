@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorline.operators.indexing import IndexedSeries, block_of, index_series, series_from_table
+from tremorline.operators.indexing import BLOCK_ROWS, IndexedSeries, block_of, index_series, series_from_table
+from tremorline.operators.scans import running
 from tremorline.session import stage
 
 
@@ -13,24 +14,24 @@ def forward_fill(series: IndexedSeries, block_rows: int | None = None) -> DataFr
     """Rows with each missing value replaced by the last known one of its series.
 
     A block fills itself and takes what it lacks from the last known values of the blocks
-    before it, a table of one row per block.
+    before it, a table of one row per block that is scanned in levels.
     """
     keys = list(series.keys)
-    block = block_of(F.col("pos"), block_rows) if block_rows else block_of(F.col("pos"))
-    rows = series.rows.withColumn("_block", block)
-    latest = rows.groupBy(*keys, "_block").agg(
+    block_rows = block_rows or BLOCK_ROWS
+    rows = series.rows.withColumn("_part_no", block_of(F.col("pos"), block_rows))
+    latest = rows.groupBy(*keys, "_part_no").agg(
         *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("pos"))).alias(f"_last_{v}") for v in series.values]
     )
-    earlier = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = earlier.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = latest.select(
-        *keys, "_block", *[F.last(f"_last_{v}", ignorenulls=True).over(earlier).alias(f"_carry_{v}") for v in series.values]
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    folds = {f"_carry_{v}": (F.col(f"_last_{v}"), "last") for v in series.values}
+    count = series.longest // block_rows + 1
+    carried = running(latest, keys, ["_part_no"], F.col("_part_no"), count, folds, exclusive=True)
+    carried = carried.select(*keys, "_part_no", *folds)
+    inside = Window.partitionBy(*keys, "_part_no").orderBy("pos")
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = {
         v: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_carry_{v}")) for v in series.values
     }
-    return rows.join(carried, [*keys, "_block"]).withColumns(filled).select(*series.rows.columns)
+    return rows.join(carried, [*keys, "_part_no"]).withColumns(filled).select(*series.rows.columns)
 
 
 def fill_series(series: IndexedSeries) -> IndexedSeries:

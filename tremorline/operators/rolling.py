@@ -9,13 +9,15 @@ segments and the overlapping table is produced only when it is asked for.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.functions.scalars import micros, remaining_share, rul_class
 from tremorline.operators.indexing import IndexedSeries
+from tremorline.operators.scans import running
 from tremorline.session import stage
 
 
@@ -27,6 +29,8 @@ class Frames:
     series: IndexedSeries
     rows: DataFrame
     step: int | None
+    # tables that several feature families of one call read, by what they hold
+    shared: dict = field(default_factory=dict, compare=False)
 
     @property
     def keys(self) -> list[str]:
@@ -39,6 +43,21 @@ class Frames:
     def with_rows(self, rows: DataFrame) -> "Frames":
         return replace(self, rows=rows)
 
+    def once(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        """The staged table of that name, made when it is first asked for."""
+        if key not in self.shared:
+            self.shared[key] = stage(make(), str(key[0]))
+        return self.shared[key]
+
+    def upto(
+        self, df: DataFrame, folds: dict[str, tuple[Column, str]], extra: tuple[str, ...] = (), exclusive: bool = False
+    ) -> DataFrame:
+        """``df`` (one row per axis, ``extra`` keys and window end) with values folded over the
+        window ends of a series, those before the row's own if ``exclusive``."""
+        step = self.step or 1
+        keys, count = [*self.keys, "kind", *extra], self.series.longest // step + 1 if self.step else 1
+        return running(df, keys, ["end"], F.floor(F.col("end") / step), count, folds, exclusive)
+
     def exploded(self, rows: DataFrame | None = None) -> DataFrame:
         """Every row once per window that holds it: ``end`` becomes the window's own."""
         rows = self.rows if rows is None else rows

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tremorline.operators.indexing import index_series, quoted, running_sum
 from tremorline.operators.rolling import Frames, window_rows
+from tremorline.operators.scans import running
 from tremorline.session import stage
 
 
@@ -28,11 +29,15 @@ def every_nth_rolled(frames: Frames, step: int) -> DataFrame:
     first, *rest = frames.keys
     ordered = lengths.withColumn("_order", F.struct(first, *rest))
     ahead = stage(running_sum(ordered, (), "_order", ("_rows",)).drop("_order", "_rows"), "ahead")
-    inner = Window.partitionBy(*frames.keys).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = windows.join(ahead, frames.keys).select(
+    length = frames.step or 1
+    summed = running(
+        windows, frames.keys, ["end"], F.floor(F.col("end") / length), frames.series.longest // length + 1,
+        {"_inner": (F.col("end"), "sum")}, exclusive=True,
+    )
+    offsets = summed.join(ahead, frames.keys).select(
         *frames.window_keys,
         "time_end",
-        (F.col("before__rows") + F.coalesce(F.sum("end").over(inner), F.lit(0))).alias("_offset"),
+        (F.col("before__rows") + F.coalesce("_inner", F.lit(0))).alias("_offset"),
     )
     # A row is kept in a window whose offset has the residue its position asks for, so rows
     # meet just those windows; what comes out of the join is the sample.

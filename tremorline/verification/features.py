@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from tremorline.features import occurrences, segments, spectral, windowed
 from tremorline.features.registry import efficient, extract_features, impute, matrix_columns, minimal, to_matrix
-from tremorline.operators.rolling import Frames
+from tremorline.operators.rolling import Frames, expanding
 from tremorline.verification.base import (
     LONG_MIN_TIMESHIFT,
     LONG_SENSOR,
     LONG_STEP,
     Query,
+    long_sensor,
     long_windows,
     prelude,
+    prepared,
     r6,
     rounded,
     windows,
@@ -547,7 +549,13 @@ psd AS (SELECT id, e, kind, k, avg(2 * (re * re + im * im) / 96.0) AS p FROM par
         sql = out[f"features_{name}"].sql.replace(prelude(), _long_prelude(), 1)
         out[f"features_{name}_long"] = Query(spark_query(names_of[name], long_windows), sql)
     out["impute"] = Query(_impute, _impute_sql())
-    out["features_efficient"] = Query(_efficient, _efficient_sql())
+    names_of["fourier"] = windowed.fourier_names()
+    names_of["permutation_entropy"] = occurrences.permutation_names()
+    out["features_efficient"] = Query(_efficient, _efficient_sql(out, names_of))
+    # A window end at every row: as many ends as rows to fold the segments over.
+    for name in ("totals", "extremes", "repeats", "largest"):
+        sql = out[f"features_{name}"].sql.replace(prelude(), prelude(LONG_SENSOR, LONG_MIN_TIMESHIFT, 1), 1)
+        out[f"features_{name}_every_row"] = Query(spark_query(names_of[name], every_row), sql)
     return out
 
 
@@ -594,19 +602,27 @@ def _matrix_sql() -> str:
     return prelude() + f"\nSELECT id, e AS window_rows, {columns} FROM r GROUP BY id, e"
 
 
-def _efficient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole catalogue for both axes in one call: windows that have each feature."""
-    long = extract_features(windows(spark, sf_dir), efficient())
-    return long.groupBy("kind", "feature").agg(F.countDistinct("id", "end").alias("n_windows"), F.count(F.lit(1)).alias("n_rows"))
+def every_row(spark: SparkSession, sf_dir: str) -> Frames:
+    return expanding(prepared(spark, sf_dir, long_sensor), LONG_MIN_TIMESHIFT, 1)
 
 
-def _efficient_sql() -> str:
-    names = ", ".join(f"('{name}')" for name in efficient())
-    return (
-        prelude()
-        + f""", w AS (SELECT count(*) AS n FROM windows)
-SELECT kind, feature, n AS n_windows, n AS n_rows FROM (VALUES {names}) f(feature), (VALUES ('x'), ('y')) k(kind), w"""
-    )
+def _efficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole catalogue for both axes in one call; what has no SQL is left out of the result."""
+    features = extract_features(windows(spark, sf_dir), efficient())
+    no_sql = [*segments.unit_root_names(), *spectral.drift_names()]
+    return published(features.filter(~F.col("feature").isin(no_sql)))
+
+
+def _efficient_sql(queries: dict[str, Query], names_of: dict[str, list[str]]) -> str:
+    """Every feature of the catalogue from the query of its group."""
+    left, parts = set(efficient()) - set(segments.unit_root_names()), []
+    for name, features in names_of.items():
+        mine, sql = left & set(features), queries[f"features_{name}"].sql
+        if mine and sql:
+            names = ", ".join(f"'{n}'" for n in sorted(mine))
+            parts.append(f"SELECT id, window_rows, kind, feature, value FROM ({sql}) WHERE feature IN ({names})")
+            left -= mine
+    return "\nUNION ALL ".join(parts)
 
 
 def _impute(spark: SparkSession, sf_dir: str) -> DataFrame:
