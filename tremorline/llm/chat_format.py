@@ -18,7 +18,8 @@ does; conversations themselves are spread by their id.
 Defined cases: turns are ordered by turn, role and text, with missing values first;
 repeated turns are formatted each; a missing text or role is an empty one; a role that the
 template does not know is written without loss and makes the conversation invalid;
-conversations without an id form one; other columns are ignored.
+a turn without a conversation id is a conversation of its own; a very long conversation is
+one row, as long as its texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,7 +136,9 @@ def format_chats(
             F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         ).alias("item"),
     )
-    chats = rows.groupBy("conv").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    # Turns without a conversation are not gathered: each has a number of its own.
+    alone = F.when(F.col("conv").isNull(), F.monotonically_increasing_id()).alias("alone")
+    chats = rows.select("*", alone).groupBy("conv", "alone").agg(F.array_sort(F.collect_list("item")).alias("items"))
     return chats.select(
         F.col("conv").alias(conv_col),
         F.flatten(F.transform("items", lambda t: _segments(t["role"], t["text"], template))).alias("segments"),

@@ -16,7 +16,8 @@ its rows out the same way.
 
 Defined cases: a missing text is an empty one; without an id a row loses to any row with
 one, and a group of rows without ids keeps them all; rows repeated with one id are one
-document and stay or go together; other columns are ignored.
+document and stay or go together; a very long text is compared whole; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ broadcasts only if the lists are small.
 Defined cases: a missing host is a host of its own; a missing text stays missing; blank
 lines are never boilerplate; a page whose every line is boilerplate would be left without
 any content, keeps its text and is marked (such whole copies are the matter of the deduplicators);
-repeated rows are pages of their own; other columns are carried along.
+repeated rows are pages of their own; a very long text is cut into its lines in one row; an
+empty table gives no rows; other columns are carried along.
 """
 
 from __future__ import annotations

@@ -49,6 +49,7 @@ from tremorline.session import stage
 
 MIN_LENGTH = 6
 MIN_EXPONENT = 4  # the distance of the boundaries rests on four periods at least
+_AT_ONCE = 1000  # documents whose words and tiles a task holds at a time
 TILE_WORDS = 4096  # neighbouring tiles share a row up to this many words
 
 TILE = "struct<step long, offset long, boundaries binary, codes binary>"
@@ -194,7 +195,7 @@ def _tiled(rows: DataFrame, tile_words: int, min_length: int, min_exponent: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (b.slice(k, _AT_ONCE) for b in batches for k in range(0, len(b), _AT_ONCE)):
             numbers: defaultdict[bytes, int] = defaultdict()
             numbers.default_factory = numbers.__len__
             lengths, texts, found = [], [], []

@@ -6,8 +6,9 @@ table into one boolean expression. Nothing leaves the JVM and nothing is shuffle
 row is judged alone, so hot sources, copies and lost executors do not matter.
 
 Defined cases: a missing text is an empty one; a text without words has ratios 0 and
-fails the length rule; repeated rows are judged each; columns of the input, whatever
-their names, are only carried along.
+fails the length rule; a very long text is judged whole; repeated rows are judged each; an
+empty table gives no rows; columns of the input, whatever their names, are only carried
+along.
 """
 
 from __future__ import annotations

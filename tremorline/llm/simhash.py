@@ -21,7 +21,10 @@ a group of copies of any size is one node.
 Defined cases: a missing text is an empty one; a text without words has fingerprint zero,
 linked like any other; a text with fewer words than a shingle is one shingle; rows without
 an id take part, and a component of such rows only has no component id; repeated rows are
-returned each; other columns are ignored.
+returned each; a very long text is hashed a chunk of shingles at a time; an empty table
+gives no rows; other columns are ignored.
+
+After three levels a shard has at most 20 free bits, so at most 1,048,576 members.
 """
 
 from __future__ import annotations

@@ -25,8 +25,9 @@ broadcast.
 
 Defined cases: a missing or empty text has no clause and gets the score of one; without
 labelled rows of both classes the fixed lists alone decide; rows without an id are scored
-and never trained on; rows labelled twice count once, as toxic if any label says so; other
-columns are ignored.
+and never trained on; rows labelled twice count once, as toxic if any label says so;
+repeated rows are scored each; a very long text is read whole, clause by clause; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
