@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next stage's ``docs``.
+
+Defined cases, all stages: a missing text is an empty one and goes with the quality rules, as
+do empty texts; ties and repeated rows are kept or dropped together; very long texts are
+taken whole; rows without an id stay only where nothing like them has one; an empty table
+gives no rows; further columns are carried up to packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.llm import line_dedup, packing, quality_rules, secret_scan, simhash
-from tremorline.session import stage
+from tremorline.session import delete_folder, stage_path, staging_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +64,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. A stage's own tables go once its result is written, and
+    its result once the next stage's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = stage_path(spark, name.replace(" ", "_"))
+        with staging_scope(spark):
+            made = function(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete_folder(spark, before)
+        before = path
     return docs
