@@ -49,8 +49,10 @@ HEADLINE = [
     "changepoint_l2",
     "changepoint_normal",
     "subsample",
-    "random_forest",
-    "domain_adaptation",
+    "random_forest_rows",
+    "grid_search_rows",
+    "domain_adaptation_rows",
+    "features_efficient",
 ]
 
 

@@ -7,7 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremorline.learning.forest import as_vectors, augment, best_params, fit, fit_adapted, forest, grid, predict, predict_adapted, search, with_folds
+from tremorline.learning.forest import (
+    _ready, as_vectors, augment, augmented_columns, best_params, fit, fit_adapted, forest, grid, predict, predict_adapted, search, with_folds,
+)
+from tremorline.learning.nodes import best_setting, nested_search, predict_by_nodes
+from tremorline.session import stage
+from tremorline.verification import learning
 from tremorline.learning.metrics import accuracy, class_weights, classification_report, confusion_matrix
 from tremorline.operators.relevance import _exact_rank_p, _fisher_p, adjust, best_per_class, keep_features, relevance_table, select_relevant
 
@@ -154,6 +159,65 @@ def test_grid_search(spark, blobs):
     assert best["maxDepth"] == 4 and best["score"] > 0.8
 
 
+def test_predictions_equal_a_walk_over_the_nodes(spark, sf_dir):
+    rows = as_vectors(learning._embeddings(spark, sf_dir), learning.COLUMNS)
+    model = fit(rows, forest(trees=12, depth=5))
+    walked = {r["vec_id"]: r["prediction"] for r in predict_by_nodes(model, rows, "vec_id").collect()}
+    assert walked == {r["vec_id"]: r["prediction"] for r in predict(model, rows).collect()}
+
+
+@pytest.mark.parametrize("name", ["random_forest_rows", "domain_adaptation_rows"])
+def test_queries_equal_a_walk_over_the_nodes(spark, sf_dir, monkeypatch, name):
+    fitted = []
+    for target in ("fit", "fit_adapted"):
+        original = getattr(learning, target)
+        monkeypatch.setattr(learning, target, lambda *a, f=original: fitted.append(f(*a)) or fitted[-1])
+    got = {r["vec_id"]: r["prediction"] for r in learning.build()[name].run(spark, sf_dir).collect()}
+    rows = learning._embeddings(spark, sf_dir)
+    if name == "domain_adaptation_rows":
+        rows = augment(rows.filter("vec_id % 3 = 0"), learning.COLUMNS, "target")
+        rows = as_vectors(rows, augmented_columns(learning.COLUMNS))
+    else:
+        rows = as_vectors(rows, learning.COLUMNS)
+    walked = {r["vec_id"]: r["prediction"] for r in predict_by_nodes(fitted[0], rows, "vec_id").collect()}
+    assert got == walked and len(got) > 50
+
+
+def test_nested_search_scores_every_prefix(spark, blobs):
+    vectors = as_vectors(blobs.filter("domain = 'source'"), ["f.0", "f1"])
+    learner, folds = forest(seed=5), 2
+    scores = {
+        (r["depth"], r["trees"]): r["score"]
+        for r in nested_search(vectors, "k", learner, (1, 4), ("sqrt",), (2,), (3, 8, 1), folds).collect()
+    }
+    assert set(scores) == {(d, t) for d in (1, 4) for t in (1, 3, 8)}
+    # the largest forest is the one that a separate fit gives
+    params = grid(learner, depths=(1, 4), feature_shares=("sqrt",), leaf_rows=(2,), trees=(8,))
+    separate = search(vectors, "k", params, learner, folds)
+    for setting, score in zip(separate.getEstimatorParamMaps(), separate.avgMetrics):
+        assert scores[setting[learner.maxDepth], 8] == pytest.approx(score)
+    # a smaller one is the forest of its first trees
+    ready = stage(with_folds(_ready(vectors), "k", folds), "ready")
+    total = 0.0
+    for fold in range(folds):
+        model = learner.fit(ready.filter(F.col("fold") != fold), {learner.maxDepth: 4, learner.minInstancesPerNode: 2, learner.numTrees: 8, learner.featureSubsetStrategy: "sqrt"})
+        held = ready.filter(F.col("fold") == fold).collect()
+        guesses = []
+        for r in held:
+            votes = np.zeros(3)
+            for tree in model.trees[:3]:
+                raw = np.array(tree.predictRaw(r["features"]))
+                votes += raw / raw.sum()
+            guesses.append(int(votes.argmax()))
+        for k in range(3):
+            support = sum(r["_label"] == k for r in held)
+            hits = sum(r["_label"] == k == g for r, g in zip(held, guesses))
+            total += 2 * hits / max(1, support + guesses.count(k)) * support / len(held) / folds
+    assert scores[4, 3] == pytest.approx(total)
+    best = best_setting(spark.createDataFrame([(4, "sqrt", 2, 8, 0.9), (1, "sqrt", 2, 3, 0.9)], "depth int, feature_share string, leaf_rows int, trees int, score double"))
+    assert best["trees"] == 3
+
+
 def test_missing_feature_is_an_error(spark, blobs):
     broken = blobs.withColumn("f1", F.when(F.col("k") > 5, F.col("f1")))
     with pytest.raises(Exception, match="missing feature value"):

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.features.registry import align_columns
-from tremorline.learning.forest import as_vectors, best_params, fit_adapted, forest, grid, predict, predict_adapted, search
+from tremorline.learning.forest import as_vectors, fit, fit_adapted, forest, predict, predict_adapted
 from tremorline.learning.metrics import accuracy, classification_report, confusion_matrix
+from tremorline.learning.nodes import best_setting, nested_search
 from tremorline.operators.sampling import subsample
 from tremorline.plans.feature_selection import load_matrix
 from tremorline.plans.preprocessing import KEYS
@@ -40,11 +41,13 @@ def run(
             tables[split] = align_columns(load_matrix(spark, out, split), train)
         key = F.struct(*[F.col(k) for k in (*KEYS, "end")])
         vectors = as_vectors(train, columns).select(key.alias("_key"), "label", "features")
-        found = search(vectors, "_key", grid(learner, **grid_options), learner)
-        for split in ("s_train", "s_test"):
-            _report(predict(found.bestModel, as_vectors(tables[split], columns)).drop("features"), f"{out}/{split}")
-        best = best_params(found)
+        best = best_setting(nested_search(vectors, "_key", learner, **grid_options))
+        chosen = {"maxDepth": "depth", "featureSubsetStrategy": "feature_share", "minInstancesPerNode": "leaf_rows", "numTrees": "trees"}
+        best = {name: best[key] for name, key in chosen.items()} | {"score": best["score"]}
         tuned = learner.copy({learner.getParam(name): value for name, value in best.items() if name != "score"})
+        model = fit(vectors, tuned)
+        for split in ("s_train", "s_test"):
+            _report(predict(model, as_vectors(tables[split], columns)).drop("features"), f"{out}/{split}")
         sample = subsample(tables["t_train"], "id", ("split", "id", "end"), target_share)
         adapted = fit_adapted(train, sample, columns, tuned)
         scores = {}

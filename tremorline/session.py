@@ -70,6 +70,12 @@ def staging_scope(spark: SparkSession) -> Iterator[None]:
         delete_folder(spark, _open_scopes.pop())
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a staged table, in the open scope if there is one."""
+    folder = _open_scopes[-1] if _open_scopes else stage_root(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -80,7 +86,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     ends or, outside of one, until the folder is cleared.
     """
     spark = df.sparkSession
-    folder = _open_scopes[-1] if _open_scopes else stage_root(spark)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -506,8 +506,60 @@ ar AS (
     SELECT {WINDOW}, unnest(range(0, 11)) AS i, unnest(list_transform(m, lambda row: row[12])) AS weight FROM elim WHERE k = 12
     UNION ALL SELECT id, e, kind, 0, NULL FROM r WHERE e < 21)"""
     add("ar_coefficients", weights, sql=grouped(weights, source="ar", extra=solved).replace("WITH ", "WITH RECURSIVE ", 1))
-    add("unit_root", None, names=segments.unit_root_names())
-    add("drift", None, names=spectral.drift_names())
+    add("unit_root", None, names=segments.unit_root_names(), sql=_unit_root_sql())
+    # The cubic is fitted on the bin means, brought to [-1, 1], by elimination. Of its roots
+    # the largest real part is wanted: the cosine form where all three are real, else that
+    # of the real root or of the two others.
+    powers = "[" + ", ".join("[" + ", ".join(f"sum(power(z, {i + j}))" for j in range(4)) + f", sum(power(z, {i}) * y)]" for i in range(4)) + "]"
+    cubic = f""",
+p AS (
+    SELECT {WINDOW}, b, v - b AS step
+    FROM (SELECT {WINDOW}, v, lag(v) OVER (PARTITION BY {WINDOW} ORDER BY pos) AS b FROM r) WHERE b IS NOT NULL),
+edges AS (
+    SELECT {WINDOW}, quantile_cont(b, [{', '.join(f'{i}::DOUBLE / {spectral.DRIFT_BINS}' for i in range(spectral.DRIFT_BINS + 1))}]) AS q
+    FROM p GROUP BY {WINDOW}),
+binned AS (
+    SELECT p.id, p.e, p.kind, b, step, len(list_filter(q[2:{spectral.DRIFT_BINS}], lambda x: x + 1e-12 * (q[{spectral.DRIFT_BINS + 1}] - q[1]) < b)) AS bin
+    FROM p JOIN edges USING (id, e, kind) WHERE len(list_distinct(q)) = {spectral.DRIFT_BINS + 1}),
+means AS (SELECT {WINDOW}, bin, avg(b) AS x, avg(step) AS y FROM binned GROUP BY {WINDOW}, bin),
+span AS (SELECT {WINDOW}, (min(x) + max(x)) / 2 AS c, (max(x) - min(x)) / 2 AS s FROM means GROUP BY {WINDOW}),
+eq AS (
+    SELECT {WINDOW}, 1 AS k, {powers} AS m
+    FROM (SELECT means.id, means.e, means.kind, y, (x - c) / s AS z FROM means JOIN span USING (id, e, kind)) GROUP BY {WINDOW}),
+{ELIMINATION},
+fitted AS (
+    SELECT {WINDOW}, c, s, m[1][5] AS b0, m[2][5] AS b1, m[3][5] AS b2, m[4][5] AS b3
+    FROM elim JOIN span USING (id, e, kind) WHERE k = 5),
+reduced AS (
+    SELECT *, b1 / b3 - power(b2 / b3, 2) / 3 AS dp, 2 * power(b2 / b3, 3) / 27 - b2 * b1 / (3 * b3 * b3) + b0 / b3 AS dq FROM fitted),
+judged AS (SELECT *, dq * dq / 4 + dp * dp * dp / 27 AS d FROM reduced),
+cubed AS (SELECT *, -dq / 2 + CASE WHEN dq > 0 THEN -1 ELSE 1 END * sqrt(greatest(d, 0)) AS u3 FROM judged),
+rooted AS (SELECT *, sign(u3) * power(abs(u3), 1.0 / 3) AS u FROM cubed),
+placed AS (
+    SELECT *, CASE WHEN d < 0 THEN 2 * sqrt(-dp / 3) * cos(acos(greatest(-1.0, least(1.0, -dq / 2 / sqrt(-dp * dp * dp / 27)))) / 3)
+                   ELSE greatest(u - coalesce(dp / nullif(3 * u, 0), 0), -(u - coalesce(dp / nullif(3 * u, 0), 0)) / 2) END AS t
+    FROM rooted),
+every AS (SELECT DISTINCT {WINDOW} FROM r)"""
+    drift = dict(
+        zip(
+            spectral.drift_names(),
+            [
+                "b3 / power(s, 3)",
+                "b2 / power(s, 2) - 3 * c * b3 / power(s, 3)",
+                "b1 / s - 2 * c * b2 / power(s, 2) + 3 * c * c * b3 / power(s, 3)",
+                "b0 - c * b1 / s + c * c * b2 / power(s, 2) - power(c, 3) * b3 / power(s, 3)",
+                "c + s * (t - b2 / (3 * b3))",
+            ],
+        )
+    )
+    columns = ", ".join(f"{sql} AS f{i}" for i, sql in enumerate(drift.values()))
+    fitted = f"SELECT every.id, every.e, every.kind, {columns} FROM every LEFT JOIN placed USING (id, e, kind)"
+    add(
+        "drift",
+        None,
+        names=spectral.drift_names(),
+        sql=prelude().replace("WITH ", "WITH RECURSIVE ", 1) + cubic + listed({n: f"f{i}" for i, n in enumerate(drift)}, fitted),
+    )
 
     minimal_values = {
         "sum_values": "sum(v)",
@@ -559,6 +611,77 @@ psd AS (SELECT id, e, kind, k, avg(2 * (re * re + im * im) / 96.0) AS p FROM par
     return out
 
 
+UNIT_ROOT_LAGS = 16  # enough for windows of 316 rows
+
+
+def _unit_root_sql() -> str:
+    """Elimination on the regression of a step on 1, the level before it and earlier steps.
+
+    With the step itself as a last row, the corner element after j pivots is the residual of
+    the fit on the first j columns: one elimination scores every number of lags. A second
+    one on the chosen number, with a unit column beside it, gives the statistic.
+    """
+    lags = [f"y{k}" for k in range(1, UNIT_ROOT_LAGS + 1)]
+    columns = ["1.0", "l", *lags]
+    size = len(columns)
+
+    def product(i: int, j: int | str) -> str:
+        """Sum of products of two columns (a number, or 'y'), those beyond the depth as a unit matrix."""
+        last = max(i, j) if isinstance(j, int) else i
+        other = columns[j] if isinstance(j, int) else "y"
+        inside = f"sum({columns[i]} * {other})"
+        if last < 2:
+            return inside
+        return f"CASE WHEN max(depth) >= {last - 1} THEN {inside} ELSE {1.0 if i == j else 0.0} END"
+
+    rows = [[product(i, j) for j in range(size)] for i in range(size)]
+    right = [product(i, "y") for i in range(size)]
+    first = [[*row, y] for row, y in zip(rows, right)] + [[*right, "sum(y * y)"]]
+    second = [[*row, y, "1.0" if i == 1 else "0.0"] for i, (row, y) in enumerate(zip(rows, right))]
+    matrix = lambda m: "[" + ", ".join("[" + ", ".join(row) + "]" for row in m) + "]"
+    # Spark's value is missing where all values of a window are equal
+    sql = f""",
+level AS (
+    SELECT {WINDOW}, pos, n, v - mu AS x, least(n // 2 - 2, ceil(12 * power(n / 100.0, 0.25)))::BIGINT AS tried
+    FROM r2 WHERE sd > 0),
+steps AS (SELECT *, lag(x) OVER w AS l, x - lag(x) OVER w AS y FROM level WINDOW w AS (PARTITION BY {WINDOW} ORDER BY pos)),
+lagged AS (
+    SELECT *, {', '.join(f'lag(y, {k}) OVER w AS y{k}' for k in range(1, UNIT_ROOT_LAGS + 1))}
+    FROM steps WINDOW w AS (PARTITION BY {WINDOW} ORDER BY pos)),
+eq AS (
+    SELECT {WINDOW}, 1 AS k, {matrix(first)} AS m
+    FROM (SELECT *, tried AS depth FROM lagged WHERE pos > tried) GROUP BY {WINDOW}),
+{ELIMINATION},
+sized AS (SELECT {WINDOW}, any_value(n) AS n, any_value(tried) AS tried FROM level GROUP BY {WINDOW}),
+scored AS (
+    SELECT elim.id, elim.e, elim.kind, k - 3 AS lags,
+           (n - 1 - tried) * ln(m[{size + 1}][{size + 1}] / (n - 1 - tried)) + 2 * (k - 1) AS score
+    FROM elim JOIN sized USING (id, e, kind) WHERE k - 3 BETWEEN 0 AND tried),
+chosen AS (SELECT {WINDOW}, arg_min(lags, (score, lags)) AS used FROM scored GROUP BY {WINDOW}),
+eq2 AS (
+    SELECT {WINDOW}, 1 AS k, {matrix(second)} AS m, sum(y * y) AS yy, [{', '.join(right)}] AS xy, max(depth) AS used, count(*) AS rows_used
+    FROM (SELECT lagged.*, used AS depth FROM lagged JOIN chosen USING (id, e, kind) WHERE pos > used) GROUP BY {WINDOW}),
+{ELIMINATION.replace("elim", "elim2").replace("FROM eq", f"FROM (SELECT {WINDOW}, k, m FROM eq2)")},
+done AS (
+    SELECT elim2.id, elim2.e, elim2.kind, used, elim2.m[2][{size + 1}] AS w, elim2.m[2][{size + 2}] AS inv,
+           (yy - list_sum(list_transform(range(1, {size + 1}), lambda i: elim2.m[i][{size + 1}] * xy[i]))) / (rows_used - used - 2) AS noise
+    FROM elim2 JOIN eq2 USING (id, e, kind) WHERE elim2.k = {size + 1}),
+tested AS (SELECT *, w / sqrt(noise * inv) AS stat FROM done),
+surface AS (
+    SELECT *, CASE WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * stat * stat
+                   ELSE 1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat END AS z
+    FROM tested),
+valued AS (
+    SELECT *, CASE WHEN stat > 2.74 THEN 1.0 WHEN stat < -18.83 THEN 0.0 WHEN abs(z) > 8 THEN (z > 0)::INTEGER
+        ELSE 0.5 + z / 400 / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401), lambda i:
+            CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * i / 400, 2) / 2))) END AS p
+    FROM surface),
+every AS (SELECT DISTINCT {WINDOW} FROM r)"""
+    result = "SELECT every.id, every.e, every.kind, stat AS f0, p AS f1, used AS f2 FROM every LEFT JOIN valued USING (id, e, kind)"
+    values = {name: f"f{i}" for i, name in enumerate(segments.unit_root_names())}
+    return prelude().replace("WITH ", "WITH RECURSIVE ", 1) + sql + listed(values, result)
+
+
 def _long_prelude() -> str:
     return prelude(LONG_SENSOR, LONG_MIN_TIMESHIFT, LONG_STEP)
 
@@ -607,15 +730,13 @@ def every_row(spark: SparkSession, sf_dir: str) -> Frames:
 
 
 def _efficient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole catalogue for both axes in one call; what has no SQL is left out of the result."""
-    features = extract_features(windows(spark, sf_dir), efficient())
-    no_sql = [*segments.unit_root_names(), *spectral.drift_names()]
-    return published(features.filter(~F.col("feature").isin(no_sql)))
+    """The whole catalogue for both axes in one call."""
+    return published(extract_features(windows(spark, sf_dir), efficient()))
 
 
 def _efficient_sql(queries: dict[str, Query], names_of: dict[str, list[str]]) -> str:
     """Every feature of the catalogue from the query of its group."""
-    left, parts = set(efficient()) - set(segments.unit_root_names()), []
+    left, parts = set(efficient()), []
     for name, features in names_of.items():
         mine, sql = left & set(features), queries[f"features_{name}"].sql
         if mine and sql:

@@ -9,16 +9,14 @@ from tremorline.features.registry import align_columns, extract_features
 from tremorline.learning.forest import (
     as_vectors,
     augment,
-    best_params,
     fit,
     fit_adapted,
     forest,
-    grid,
     predict,
     predict_adapted,
-    search,
     with_folds,
 )
+from tremorline.learning.nodes import best_setting, nested_search
 from tremorline.learning.metrics import accuracy, class_weights, classification_report, confusion_matrix
 from tremorline.operators.relevance import (
     adjust,
@@ -274,71 +272,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id")
 
 
-# A label that the vectors decide, other in the target domain than in the source.
-def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings with label 1 or 2 by the sign of e0 (source) or e1 (target, every third
-    row), and ``held``: every fourth row, never trained on."""
-    target = c("vec_id") % 3 == 0
-    rule = F.when(F.when(target, c("e1")).otherwise(c("e0")) < 0, 1).otherwise(2)
-    held = F.pmod(F.floor(c("vec_id") / 3), F.lit(4)) == 0
-    return _embeddings(spark, sf_dir).withColumns({"label": rule, "target": target, "held": held})
-
-
-RULED_SQL = f"""WITH {MATRIX_SQL},
-d AS (
-    SELECT vec_id, vec_id % 3 = 0 AS target, (vec_id // 3) % 4 = 0 AS held,
-           CASE WHEN CASE WHEN vec_id % 3 = 0 THEN e1 ELSE e0 END < 0 THEN 1 ELSE 2 END AS label FROM m)"""
-RIGHT_SHARE = 0.6  # of two classes about as large
-
-
-def _outcome(train: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Rows by class, and whether the predictions on held-out rows are classes and mostly right."""
-    inside = c("prediction").isin(1, 2)
-    right = F.avg((c("label") == c("prediction")).cast("double")) >= RIGHT_SHARE
-    fitted = train.groupBy("label").agg(F.count(F.lit(1)).alias("train_rows"))
-    tested = predictions.groupBy("label").agg(
-        F.count(F.lit(1)).alias("held_out_rows"), F.bool_and(inside).alias("all_classes")
-    )
-    whole = predictions.agg(right.alias("mostly_right"))
-    return fitted.join(tested, "label").select("*", F.lit(whole.first()["mostly_right"]).alias("mostly_right"))
-
-
-def _outcome_sql(train: str, test: str) -> str:
-    return RULED_SQL + f""" SELECT label, count(*) FILTER ({train}) AS train_rows, count(*) FILTER ({test}) AS held_out_rows,
-       true AS all_classes, true AS mostly_right FROM d GROUP BY label"""
-
-
-def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = as_vectors(_ruled(spark, sf_dir).filter(~c("target")), COLUMNS).select("label", "features", "held")
-    train = rows.filter(~c("held"))
-    model = fit(train, forest(trees=40, depth=5))
-    return _outcome(train, predict(model, rows.filter("held")))
-
-
-def _grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = as_vectors(_ruled(spark, sf_dir).filter(~c("target")), COLUMNS)
-    learner = forest()
-    params = grid(learner, depths=(1, 5), feature_shares=("sqrt",), leaf_rows=(8,), trees=(20,))
-    best = best_params(search(rows, "vec_id", params, learner, folds=2))
-    return rows.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.lit(best["maxDepth"] in (1, 5)).alias("depth_of_grid"),
-        F.lit(int(best["numTrees"])).alias("trees"),
-        F.lit(bool(best["score"] > 0.5)).alias("better_than_chance"),
-    )
-
-
-def _adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ruled(spark, sf_dir)
-    source, target = rows.filter(~c("target")), rows.filter("target")
-    train = target.filter(~c("held"))
-    names = ["label", *COLUMNS]
-    model = fit_adapted(source.select(names), train.select(names), COLUMNS, forest(trees=60, depth=6))
-    return _outcome(train, predict_adapted(model, target.filter("held"), COLUMNS))
-
-
-# The same over all embeddings and their ten classes, with one prediction per row. SQL cannot
-# express the models, so these have none; the queries above keep theirs.
+# One prediction per embedding, of models fitted on all of them. SQL cannot express the
+# models; tests compare the predictions with a walk over the table of the forest's nodes.
 def _forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = as_vectors(_embeddings(spark, sf_dir), COLUMNS)
     model = fit(rows, forest(trees=40, depth=5))
@@ -348,17 +283,18 @@ def _forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grid_search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of the best setting, which is refitted on all rows, and that setting."""
     rows = as_vectors(_embeddings(spark, sf_dir), COLUMNS)
-    learner = forest()
-    params = grid(learner, depths=(1, 5), feature_shares=("sqrt",), leaf_rows=(8,), trees=(20,))
-    found = search(rows, "vec_id", params, learner, folds=2)
-    best = best_params(found)
-    return predict(found.bestModel, rows).select(
+    scores = nested_search(
+        rows, "vec_id", forest(), depths=(1, 5), feature_shares=("sqrt",), leaf_rows=(8,), trees=(5, 10, 20), folds=2
+    )
+    best = best_setting(scores)
+    model = fit(rows, forest(best["trees"], best["depth"], best["feature_share"], best["leaf_rows"]))
+    return predict(model, rows).select(
         "vec_id",
         "label",
         "prediction",
-        F.lit(int(best["maxDepth"])).alias("depth"),
-        F.lit(int(best["numTrees"])).alias("trees"),
-        F.lit(float(best["score"])).alias("score"),
+        F.lit(best["depth"]).alias("depth"),
+        F.lit(best["trees"]).alias("trees"),
+        F.lit(best["score"]).alias("score"),
     )
 
 
@@ -426,12 +362,6 @@ def build() -> dict[str, Query]:
         ),
         "feature_augmentation": Query(_augmented, AUGMENT_SQL),
         "align_columns": Query(_aligned, f"WITH {MATRIX_SQL} SELECT vec_id, {r6('e3')} AS e3, {r6('e1')} AS e1 FROM m"),
-        "random_forest": Query(_forest, _outcome_sql("NOT target AND NOT held", "NOT target AND held")),
-        "grid_search": Query(
-            _grid_search,
-            RULED_SQL + " SELECT count(*) AS n_rows, true AS depth_of_grid, 20 AS trees, true AS better_than_chance FROM d WHERE NOT target",
-        ),
-        "domain_adaptation": Query(_adapted, _outcome_sql("target AND NOT held", "target AND held")),
         "random_forest_rows": Query(_forest_rows),
         "grid_search_rows": Query(_grid_search_rows),
         "domain_adaptation_rows": Query(_adapted_rows),
