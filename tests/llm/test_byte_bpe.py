@@ -42,8 +42,8 @@ def test_encoding_equals_the_library(library, vocabulary):
 def test_chunks_are_exact(library, vocabulary):
     rng = random.Random(2)
     texts = [random_text(rng, 30) for _ in range(500)]
-    make = lambda ts: [np.array(byte_bpe.encode(vocabulary, t), "<u4").tobytes() for t in ts]
-    encoder = tokens.ChunkEncoder(tokens.SPACED, make, limit=40)
+    make = lambda t: np.array(byte_bpe.encode(vocabulary, t), "<u4").tobytes()
+    encoder = tokens.ChunkEncoder(tokens.SPACED.findall, make, memory_bytes=20_000)
     got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
     assert got == [library.encode_ordinary(t) for t in texts]
 

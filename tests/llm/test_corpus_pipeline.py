@@ -67,7 +67,6 @@ def test_secrets(tables):
 
 def test_packing(tables):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     windows, streams = defaultdict(int), defaultdict(dict)
     for r in tables[5]:
         windows[r.sequence_id] += r.length

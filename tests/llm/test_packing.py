@@ -26,19 +26,31 @@ def test_ids_equal_those_of_the_library(name):
     library.encode_special_tokens = True
     rng = random.Random(1)
     texts = AWKWARD + ["".join(rng.choices([*AWKWARD, " ", "\n", "  ", "'s", ".", "é", "\x85"], k=rng.randint(2, 9))) for _ in range(400)]
-    encoder = tokens.ChunkEncoder(tokens.library_encoder(path).chunks, tokens.library_encoder(path).encode_many, limit=50)
+    encoder = tokens.library_encoder(path, memory_bytes=20_000, control=False)
     got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize(("name", "end"), [("word_bpe_49k.json", 49407), ("byte_bpe_50k.json", 50256)])
-def test_added_tokens_in_a_text_are_its_characters(name, end):
+def test_added_tokens_in_a_text(name, end):
     path = public_tokenizers.path(name)
-    plain = Tokenizer.from_file(path)
-    texts = ["a <|endoftext|> b", "a <|endoftext b|>"]
-    got = [np.frombuffer(b, "<u4").tolist() for b in tokens.library_encoder(path).encode(texts)]
-    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    assert got[1] == want[1] and end in want[0] and end not in got[0]
+    plain, characters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    characters.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "a <|endoftext b|>", "<|ENDOFTEXT|> <|endoftext|>İ x\x1cy", "<|startoftext|>It's<|endoftext|>"]
+    for control, library in ((True, plain), (False, characters)):
+        got = [np.frombuffer(b, "<u4").tolist() for b in tokens.library_encoder(path, control=control).encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert (end in got[0]) == control
+
+
+def test_memory_is_bounded_in_bytes():
+    asked = []
+    encoder = tokens.ChunkEncoder(str.split, lambda c: asked.append(c) or b"1234", memory_bytes=6_000)
+    texts = ["hot", *(w for i in range(200) for w in ("hot", f"cold{i}")), "x" * 1000, "x" * 1000]
+    assert list(encoder.encode(texts)) == [b"1234"] * len(texts)
+    assert asked.count("hot") == 1 and asked.count("x" * 1000) == 2
+    assert encoder.known.size + encoder.known.before.size <= 6_000 + 2 * 300
+    assert "cold0" not in encoder.known and "cold0" not in encoder.known.before
 
 
 def test_best_fill_is_best():
@@ -76,7 +88,6 @@ def check(rows, docs, capacity=4096):
     """Whole documents, gapless windows; padding as a share of all tokens."""
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     of_doc, windows = defaultdict(list), defaultdict(list)
     for r in rows:
         of_doc[r.doc_id].append(r)

@@ -12,14 +12,16 @@ Texts are first cut by the vocabulary's pattern, and each match is encoded by it
 Encoding is work on single rows, spread over the tasks that read them; nothing is shuffled.
 Workers keep the ids of the chunks they have seen, in bounded memory (see ``tokens``).
 
-Defined cases: a missing text is an empty one and has no tokens; repeated rows are encoded
-each; other columns are ignored.
+Defined cases: a missing or empty text has no tokens; a very long match is one table of its
+bytes, and memory in proportion to it; rows without an id and repeated rows are encoded
+each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from tremorline.llm import tokens
 
-PAIR_LIMIT = 1_000_000
+MEMORY_BYTES = 256 << 20  # what a worker keeps of chunks: a new one takes the table of its prefixes
+PAIR_LIMIT = 300_000  # pairs a worker keeps, some 30 MB
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,8 +49,16 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        # length of the longest token that ends with the given bytes
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            self.reach[token[-3:]] = max(self.reach.get(token[-3:], 0), len(token))
+        for end, length in list(self.reach.items()):
+            for part in (end[1:], end[2:]):
+                self.reach[part] = max(self.reach.get(part, 0), length)
         self.cut = regex.compile(pattern).findall
-        self._adjacent: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
+        self.known_before: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by its definition: the pair of lowest rank is merged first."""
@@ -64,16 +75,18 @@ class Vocabulary:
     def adjacent(self, left: int, right: int) -> bool:
         """Whether the two tokens, put together, are encoded as themselves. ``left`` is -1
         at the start of a piece, where ``right`` alone has to be."""
-        key = (left, right)
-        known = self._adjacent.get(key)
+        key = left << 32 | right
+        known = self.known.get(key)
         if known is None:
-            if len(self._adjacent) >= PAIR_LIMIT:
-                self._adjacent.clear()
-            if left < 0:
-                known = self.merged(self.tokens[right]) == [right]
-            else:
-                known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self._adjacent[key] = known
+            known = self.known_before.get(key)
+            if known is None:
+                if left < 0:
+                    known = self.merged(self.tokens[right]) == [right]
+                else:
+                    known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            if 2 * len(self.known) >= PAIR_LIMIT:
+                self.known, self.known_before = {}, self.known
+            self.known[key] = known
         return known
 
     def decode(self, ids: list[int]) -> bytes:
@@ -88,14 +101,20 @@ class PrefixTable:
         self.append(data)
 
     def _extend(self, stop: int) -> None:
-        ranks, adjacent, data, last = self.vocabulary.ranks, self.vocabulary.adjacent, self.data, self.last
-        longest = self.vocabulary.longest
+        vocabulary, data, last = self.vocabulary, self.data, self.last
+        rank_of, reach_of, known = vocabulary.ranks.get, vocabulary.reach.get, vocabulary.known
         for end in range(len(last), stop + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and adjacent(last[start], token):
-                    last.append(token)
-                    break
+            longest = reach_of(data[end - 3 : end], 2) if end > 2 else end
+            for start in range(end - longest if end > longest else 0, end):
+                token = rank_of(data[start:end])
+                if token is not None:
+                    fits = known.get(last[start] << 32 | token)
+                    if fits is None:
+                        fits = vocabulary.adjacent(last[start], token)
+                        known = vocabulary.known
+                    if fits:
+                        last.append(token)
+                        break
             else:
                 raise ValueError(f"no token ends at byte {end}")
 
@@ -202,34 +221,34 @@ def vocabulary_of(path: str, pattern: str) -> tuple[Vocabulary, tokens.ChunkEnco
     if key not in memory:
         vocabulary = Vocabulary(load_ranks(path), pattern)
 
-        def encode_many(texts: list[str]) -> list[bytes]:
-            return [np.array(encode(vocabulary, t), "<u4").tobytes() for t in texts]
+        def encode_one(chunk: str) -> bytes:
+            if tokens.WORD.fullmatch(chunk):
+                return array("I", encode_piece(vocabulary, chunk.encode())).tobytes()
+            return array("I", encode(vocabulary, chunk)).tobytes()
 
-        memory[key] = vocabulary, tokens.ChunkEncoder(tokens.SPACED, encode_many)
+        memory[key] = vocabulary, tokens.ChunkEncoder(tokens.SPACED.findall, encode_one, MEMORY_BYTES)
     return memory[key]
 
 
-def encode_documents(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Per row: id and ``ids``, the tokens as little-endian unsigned 32-bit integers."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+Batches = Iterator[pa.RecordBatch]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(path: str, pattern: str) -> Callable[[Batches], Batches]:
+    """Batches of (id, text) to batches of (id, ids)."""
+
+    def run(batches: Batches) -> Batches:
         _, encoder = vocabulary_of(path, pattern)
         for batch in batches:
             ids = pa.array(list(encoder.encode(tokens.texts_of(batch.column(1)))), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")
-    return out.withColumnRenamed("id", id_col)
+    return run
 
 
-def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` with n_tokens, ids_sha256 and decoded_sha256 (of the decoded bytes)."""
-    kept = [c for c in encoded.columns if c != "ids"]
+def _decoding(path: str, pattern: str, kept: list[str]) -> Callable[[Batches], Batches]:
+    """Batches with ids to batches of ``kept`` columns, n_tokens, ids_sha256 and decoded_sha256."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         vocabulary, _ = vocabulary_of(path, pattern)
         for batch in batches:
             all_ids = batch.column("ids").to_pylist()
@@ -242,5 +261,36 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    return run
+
+
+_DECODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows, f"id {rows.schema['id'].dataType.simpleString()}"
+
+
+def encode_documents(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Per row: id and ``ids``, the tokens as little-endian unsigned 32-bit integers."""
+    rows, id_field = _rows(docs, id_col, text_col)
+    return rows.mapInArrow(_encoding(path, pattern), f"{id_field}, ids binary").withColumnRenamed("id", id_col)
+
+
+def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``encoded`` with n_tokens, ids_sha256 and decoded_sha256 (of the decoded bytes)."""
+    kept = [c for c in encoded.columns if c != "ids"]
     schema = ", ".join(f"{c} {encoded.schema[c].dataType.simpleString()}" for c in kept)
-    return encoded.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(_decoding(path, pattern, kept), f"{schema}, {_DECODED}")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encoded and decoded again: id, n_tokens, ids_sha256, decoded_sha256. The two steps
+    share a worker and its memory; ids do not leave it."""
+    rows, id_field = _rows(docs, id_col, text_col)
+    encode_batches, decode_batches = _encoding(path, pattern), _decoding(path, pattern, ["id"])
+    out = rows.mapInArrow(lambda batches: decode_batches(encode_batches(batches)), f"{id_field}, {_DECODED}")
+    return out.withColumnRenamed("id", id_col)

@@ -193,8 +193,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
-    return byte_bpe.decode_documents(encoded, ranks, pattern)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,10 @@ and nothing else. The manifest has one row per pair; the starts of pairs are run
 over it.
 
 Defined cases: a missing text is an empty one, a document with the end id alone; rows
-without an id come first; repeated ids stay together, ordered by their text's hash; an
-empty table has no files; other columns are ignored.
+without an id come first; repeated ids stay together, ordered by their text's hash; a very
+long text goes on over as many sequences and files as it takes; an empty table has no
+files; other columns are ignored. Strings of the vocabulary's control tokens in a text are
+those tokens, as in the library's plain call.
 """
 
 from __future__ import annotations
@@ -157,6 +159,10 @@ def write(
 ) -> DataFrame:
     """Write the token files of ``docs`` and return their manifest, in order of ``start``:
     tokens, documents (paths), n_documents, n_tokens and start (tokens in the pairs before)."""
+    local = docs.sparkSession.sparkContext.master.startswith("local")
+    if ":" not in folder.split("/")[0] and not local:
+        # pyarrow would take it for a folder of the machine that a task runs on
+        raise ValueError("name the file system of the folder, as in file:/, hdfs:// or s3://")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")

@@ -2,8 +2,11 @@
 
 A text is cut where every pattern used here ends a piece anyway: before a single space and
 a word, between a word and the punctuation after it, around other white space. Equal chunks
-have equal ids, so a worker keeps the ids of the chunks it has seen, up to a limit, and
-asks the library for new ones only. Ids are bytes: little-endian unsigned 32-bit integers.
+have equal ids, so a worker keeps the ids of the chunks it has seen and asks the library
+for new ones only. What it keeps is bounded in bytes: two generations of ``MEMORY_BYTES``
+/ 2 each, of which the older one goes when the younger one is full, while chunks still met
+move on to the next; chunks longer than ``LONG`` are never kept. Ids are bytes:
+little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
@@ -11,32 +14,28 @@ from __future__ import annotations
 import re
 import sys
 from array import array
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import islice
 from types import ModuleType
 
-import numpy as np
 import pyarrow as pa
 
-CACHE_LIMIT = 1_000_000  # some 250 MB a worker
-_SLICE = 5000  # chunks given to a library at once
-_BATCH_CHARS = 1 << 20
+MEMORY_BYTES = 192 << 20  # what a worker keeps of chunks and their ids
+LONG = 256  # characters of a chunk above which it is not kept
+_ENTRY_BYTES = 260  # a chunk's share of dictionary, list and objects besides its characters and ids
 
 # Latin letters in blocks that hold nothing but letters.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _AFTER = r"(?=[.,;:!?\s]|\Z)"
 # For patterns that join a space to the word after it.
 SPACED = re.compile(rf" ?[{_LETTERS}]++{_AFTER}| ?\S+|\s+(?!\S)|\s+")
-# For tokenizers that drop white space.
-UNSPACED = re.compile(rf"[{_LETTERS}]++{_AFTER}|\S+")
+# Punctuation that ends a piece, and is one, where it follows a letter and ends a chunk.
+_MARKS = frozenset(".,;:!?")
 # Characters that Python takes for white space and the libraries don't.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 # Beyond these letters lower case may depend on the neighbours or on the order of steps.
 _BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
-
-
-_WORD = re.compile(f" ?[{_LETTERS}]+")
+# Every pattern used here takes such a chunk whole.
+WORD = re.compile(f" ?[{_LETTERS}]+")
 
 # The alphabet of byte-level vocabularies: printable bytes stand for themselves, the
 # others for the characters from 256 on, in order.
@@ -51,51 +50,69 @@ def byte_characters(text: str) -> str:
     return text.encode().decode("latin-1").translate(_BYTES)
 
 
+def beyond_latin(text: str) -> bool:
+    """Whether lower case may depend on more than the single character."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_BEYOND_LATIN.search(text))
+    return False
+
+
+class _Generation(dict):
+    """Ids by chunk, taken from the generation before or encoded where they are missing."""
+
+    def __init__(self, before: dict[str, bytes], encode_one: Callable[[str], bytes]) -> None:
+        self.before, self.encode_one, self.size = before, encode_one, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.encode_one(chunk)
+        if len(chunk) <= LONG:
+            self[chunk] = ids
+            self.size += _ENTRY_BYTES + 2 * len(chunk) + len(ids)
+        return ids
+
+
 class ChunkEncoder:
     """Texts to ids through a bounded memory of chunks.
 
-    ``encode_many`` gives the ids of each of a list of texts. Texts with characters on
-    which the libraries and Python disagree are given to it whole. ``lower`` says that case
-    makes no difference to the ids, so that chunks may be remembered in lower case.
+    ``encode_one`` gives the ids of a chunk, ``encode_whole`` those of a text. Texts with
+    characters on which the libraries and Python disagree are encoded whole, and so are
+    texts that hold one of ``whole_if``. ``lower`` says that case makes no difference to
+    the ids, so that chunks may be remembered in lower case.
     """
 
     def __init__(
         self,
-        chunks: re.Pattern[str],
-        encode_many: Callable[[list[str]], list[bytes]],
-        limit: int = CACHE_LIMIT,
+        cut: Callable[[str], list[str]],
+        encode_one: Callable[[str], bytes],
+        memory_bytes: int = MEMORY_BYTES,
         lower: bool = False,
+        whole_if: tuple[str, ...] = (),
+        encode_whole: Callable[[str], bytes] | None = None,
     ) -> None:
-        self.chunks, self.encode_many, self.limit, self.lower = chunks, encode_many, limit, lower
-        # number of each chunk seen, in order of appearance, and the ids by that number
-        self.numbers: defaultdict[str, int] = defaultdict()
-        self.numbers.default_factory = self.numbers.__len__
-        self.ids: list[bytes] = []
+        self.cut, self.encode_one, self.lower = cut, encode_one, lower
+        self.half = memory_bytes // 2
+        self.whole_if = (*_ODD, *whole_if)
+        self.encode_whole = encode_whole or encode_one
+        self.known = _Generation({}, encode_one)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, in order."""
-        start, chars = 0, 0
-        for i, text in enumerate(texts):
-            chars += len(text)
-            if chars >= _BATCH_CHARS:
-                yield from self._encode(texts[start : i + 1])
-                start, chars = i + 1, 0
-        yield from self._encode(texts[start:])
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut, numbers, ids = self.chunks.findall, self.numbers, self.ids
-        if len(ids) > self.limit:
-            numbers.clear()
-            ids.clear()
-        odd = [bool(_ODD.search(t)) for t in texts]
-        plain = [t.lower() if self.lower and not _BEYOND_LATIN.search(t) else t for t in texts]
-        number = numbers.__getitem__
-        pieces = [[] if o else list(map(number, cut(t))) for o, t in zip(odd, plain)]
-        new = list(islice(reversed(numbers), len(numbers) - len(ids)))[::-1]
-        for k in range(0, len(new), _SLICE):
-            ids += self.encode_many(new[k : k + _SLICE])
-        for text, o, piece in zip(texts, odd, pieces):
-            yield self.encode_many([text])[0] if o else b"".join(map(ids.__getitem__, piece))
+        for text in texts:
+            if self.known.size > self.half:
+                # the generation before stays to be asked, older ones go
+                self.known.before = {}
+                self.known = _Generation(self.known, self.encode_one)
+            plain = text.lower() if self.lower and not beyond_latin(text) else text
+            if any(s in plain for s in self.whole_if):
+                yield self.encode_whole(text)
+            else:
+                yield b"".join(map(self.known.__getitem__, self.cut(plain)))
 
 
 def worker_memory() -> dict[str, object]:
@@ -107,36 +124,41 @@ def worker_memory() -> dict[str, object]:
     return sys.modules.setdefault("tremorline_worker_memory", ModuleType("tremorline_worker_memory")).__dict__
 
 
-def library_encoder(path: str, limit: int = CACHE_LIMIT) -> ChunkEncoder:
-    """Encoder for a ``tokenizers`` file, one per worker process."""
-    encoders, key = worker_memory(), f"tokenizers:{path}:{limit}"
+def library_encoder(path: str, memory_bytes: int = MEMORY_BYTES, control: bool = True) -> ChunkEncoder:
+    """Encoder for a ``tokenizers`` file, one per worker process.
+
+    Strings of the file's added tokens are those tokens, as in the library's plain call;
+    without ``control`` they are encoded as the characters they are made of.
+    """
+    encoders, key = worker_memory(), f"tokenizers:{path}:{memory_bytes}:{control}"
     if key not in encoders:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        plain, tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         drops_spaces = not tokenizer.encode(" ", add_special_tokens=False).ids
 
         lowers = "Lowercase" in str(tokenizer.normalizer)
         tokenize = tokenizer.model.tokenize
+        added = tuple(t.content for t in plain.get_added_tokens_decoder().values()) if control else ()
 
-        def encode_many(texts: list[str]) -> list[bytes]:
+        def encode_one(chunk: str) -> bytes:
+            if drops_spaces and chunk[-1] in _MARKS and WORD.fullmatch(chunk, 0, len(chunk) - 1):
+                known = encoder.known
+                return known[chunk[:-1]] + known[chunk[-1]]
             # What the steps before the model leave of a word of Latin letters is known:
             # its bytes as characters. Anything else goes through all of them.
-            easy = [bool(_WORD.fullmatch(t)) and (t.islower() or not lowers) for t in texts]
-            rest = iter(whole([t for t, e in zip(texts, easy) if not e]))
-            return [
-                array("I", [i.id for i in tokenize(byte_characters(t))]).tobytes() if e else next(rest)
-                for t, e in zip(texts, easy)
-            ]
-
-        def whole(texts: list[str]) -> list[bytes]:
-            found = tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(texts) + 1))).tolist()
-            return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
-
-        encoders[key] = ChunkEncoder(UNSPACED if drops_spaces else SPACED, encode_many, limit, lowers)
+            if WORD.fullmatch(chunk) and (not lowers or chunk.islower()):
+                return array("I", [i.id for i in tokenize(byte_characters(chunk))]).tobytes()
+            return array("I", tokenizer.encode([chunk], is_pretokenized=True, add_special_tokens=False).ids).tobytes()
+
+        def encode_whole(text: str) -> bytes:
+            used = plain if control else tokenizer
+            return array("I", used.encode(text, add_special_tokens=False).ids).tobytes()
+
+        # Where white space is dropped, chunks are what stands between it.
+        cut = str.split if drops_spaces else SPACED.findall
+        encoder = encoders[key] = ChunkEncoder(cut, encode_one, memory_bytes, lowers, added, encode_whole)
     return encoders[key]
 
 
