@@ -15,8 +15,9 @@ No step gathers pieces in one place, and the plan that tasks receive is bounded:
 end a length each time, and hold at most 90 different lengths.
 
 Defined cases: a missing or empty text is a document with the end id alone; rows without
-an id and repeated rows are documents of their own; an empty table has no windows; other
-columns are ignored.
+an id and repeated rows are documents of their own; a very long text is cut into as many
+pieces as it takes; an empty table has no windows; other columns are ignored. Strings of
+the vocabulary's control tokens in a text are those tokens, as in the library's plain call.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ from tremorline.session import stage
 
 CAPACITY = 4096
 END_ID = 2
-REMEMBERED = 500_000  # chunks of text a worker keeps the ids of, some 125 MB
+_OUT_BYTES = 8 << 20  # ids that a task hands on at once
+_OUT_ROWS = 512
+RUN = 32  # pieces of one length and task that look up their first number together
 
 
 def _is_power_of_two(n: int) -> bool:
@@ -96,35 +99,54 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter
     return patterns
 
 
+def _narrow(ids: bytes) -> bytes:
+    """32-bit ids as 16-bit ones if all fit."""
+    values = np.frombuffer(ids, "<u4")
+    return values.astype("<u2").tobytes() if values.max(initial=0) < 1 << 16 else ids
+
+
+def _wide(ids: bytes | None, length: int) -> bytes | None:
+    """``length`` ids as 32-bit integers."""
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if ids and len(ids) == 2 * length else ids
+
+
 def pieces(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
     end_id: int = END_ID, with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of every document: id, start, length, ids_crc32, doc_tokens, ``part`` (the
     task that cut it), ``nth`` (its number there among pieces of its length) and ``ids``
-    (little-endian unsigned 32-bit integers), which is null without ``with_ids``."""
+    (little-endian unsigned integers, of 16 bits where all fit), null without ``with_ids``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.library_encoder(tokenizer, REMEMBERED)
+        encoder = tokens.library_encoder(tokenizer)
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
             out: list[tuple] = []
+            size = 0
             for i, ids in enumerate(encoder.encode(tokens.texts_of(batch.column(1)))):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
                     length = len(piece) // 4
-                    out.append((i, start, length, zlib.crc32(piece), total, part, seen[length], piece if with_ids else None))
+                    kept = _narrow(piece) if with_ids else None
+                    out.append((i, start, length, zlib.crc32(piece), total, part, seen[length], kept))
                     seen[length] += 1
-            at, *columns = zip(*out) if out else ([],) * 8
-            numbers = [pa.array(c, pa.int64()) for c in columns[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), *numbers, pa.array(columns[-1], pa.binary())], names
-            )
+                    size += len(piece)
+                    if size >= _OUT_BYTES:
+                        yield written(batch.column(0), out)
+                        out, size = [], 0
+            yield written(batch.column(0), out)
+
+    def written(row_ids: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        at, *columns = zip(*out) if out else ([],) * 8
+        numbers = [pa.array(c, pa.int64()) for c in columns[:-1]]
+        row_ids = row_ids.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([row_ids, *numbers, pa.array(columns[-1], pa.binary())], names)
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth", "ids"]
     kinds = [rows.schema["id"].dataType.simpleString(), *["long"] * 6, "binary"]
@@ -155,10 +177,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = _slots(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = per_task.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    firsts = per_task.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # Full pieces share one length and may be most of a task's, so they ask in runs.
+    firsts = firsts.select("length", "part", F.explode(F.expr(f"sequence(0, (n - 1) div {RUN})")).alias("run"), "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, _OUT_ROWS) for b in batches for k in range(0, len(b), _OUT_ROWS)):
             lengths = batch.column("length").to_numpy()
             number = batch.column("number").to_numpy()
             sequence, offset = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
@@ -173,12 +197,15 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 inside = number[at] - slot["first"][k]
                 sequence[at] = slot["window"][k] + inside // slot["each"][k]
                 offset[at] = slot["offset"][k] + inside % slot["each"][k] * lengths[at]
-            columns = [batch.column(name) for name in kept] + [pa.array(sequence), pa.array(offset)]
+            wide = [_wide(i, n) for i, n in zip(batch.column("ids").to_pylist(), lengths.tolist())]
+            columns = [pa.array(wide, pa.binary()) if c == "ids" else batch.column(c) for c in kept]
+            columns += [pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "sequence_id", "offset"])
 
     kept = [c for c in cut.columns if c not in ("part", "nth")]
     # A merge join at every size: this table grows with the number of tasks.
-    numbered = cut.join(firsts.hint("merge"), ["length", "part"]).select(*kept, (F.col("first") + F.col("nth")).alias("number"))
+    runs = cut.withColumn("run", F.expr(f"nth div {RUN}"))
+    numbered = runs.join(firsts.hint("merge"), ["length", "part", "run"]).select(*kept, (F.col("first") + F.col("nth")).alias("number"))
     schema = ", ".join(f"{c} {numbered.schema[c].dataType.simpleString()}" for c in kept)
     return numbered.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
