@@ -42,7 +42,7 @@ def test_quality_keeps_labelled_good_and_drops_junk(spark, sf_dir, tables):
 
 
 def test_lines(tables):
-    want = {k[0]: k[1] for k in brute_lines([(r.doc_id, r.source, r.text) for r in tables[1]], 0.1, 5)}
+    want = {k[0]: k[1] for k in brute_lines([(r.doc_id, r.source, r.text) for r in tables[1]], 0.02, 5)}
     assert {r.doc_id: r.text for r in tables[2]} == want
     assert all(r.n_chars == len(r.text) for r in tables[2])
 

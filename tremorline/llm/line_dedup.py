@@ -9,7 +9,8 @@ with a third of all pages nor a line on every page lands in one task, and no tex
 shuffled for it. What is left per host is small whatever the input: a line above the ratio
 takes ``max_ratio`` of the host's pages, so a host has at most (mean distinct lines per
 page) / ``max_ratio`` of them. That list goes back to the pages in a join which Spark
-broadcasts only if the lists are small.
+broadcasts only if the lists are small; otherwise the pages of a host meet it under
+``SALTS`` keys, each of which has a copy of the list.
 
 Defined cases: a missing host is a host of its own; a missing text stays missing; blank
 lines are never boilerplate; a page whose every line is boilerplate would be left without
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from tremorline.llm.text import WORD
 from tremorline.session import stage
 
-MAX_RATIO = 0.1
-MIN_PAGES = 5
+MAX_RATIO = 0.02
+MIN_PAGES = 5  # below that, chance and copies of a page look like boilerplate
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -74,9 +76,13 @@ def drop_boilerplate(
     """``row`` (the input's columns as a struct), ``text`` without the boilerplate lines,
     ``n_lines``, ``n_dropped`` and ``only_boilerplate``: nothing but boilerplate, text kept."""
     # Written first, so that the plan knows its size before any text is dealt out.
-    found = stage(boilerplate(pages, host, text_col, max_ratio, min_pages), "boilerplate").alias("b")
-    rows = pages.select(F.struct("*").alias("row"), host.alias("host")).alias("p")
-    joined = rows.join(found, F.col("p.host").eqNullSafe(F.col("b.host")), "left").select("row", "digests")
+    lists = boilerplate(pages, host, text_col, max_ratio, min_pages)
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    found = stage(lists.select("host", "digests", salts.alias("salt")), "boilerplate").alias("b")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    rows = pages.select(F.struct("*").alias("row"), host.alias("host"), salt.alias("salt")).alias("p")
+    same = F.col("p.host").eqNullSafe(F.col("b.host")) & (F.col("p.salt") == F.col("b.salt"))
+    joined = rows.join(found, same, "left").select("row", "digests")
     text = F.col("row")[text_col]
     lines = lines_of(F.coalesce(text, F.lit("")))
 

@@ -82,7 +82,7 @@ pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 counts AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM worded WHERE has_word GROUP BY source, line),
 boiler AS (
     SELECT source, line, true AS is_boiler FROM counts JOIN pages USING (source)
-    WHERE n >= 5 AND n > 0.1::DOUBLE * pages),
+    WHERE n >= 5 AND n > 0.02::DOUBLE * pages),
 marked AS (
     SELECT w.*, has_word AND coalesce(is_boiler, false) AS goes
     FROM worded w LEFT JOIN boiler b ON b.source = w.source AND b.line = w.line),
