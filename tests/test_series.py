@@ -172,13 +172,13 @@ def test_label_is_the_minimum_over_the_window(spark, arrays, make_series):
             assert labels.loc[(key, end)].RUL_rolled_class == want
 
 
-def test_reference_bearing_and_series_end(spark, arrays, make_series):
+def test_span_of_one_series_and_series_end(spark, arrays, make_series):
     frames = expanding(index_series(make_series(arrays)), 19, 15)
-    by_one = window_labels(frames, reference_bearing=1).toPandas()
+    by_one = window_labels(frames, span_of=1).toPandas()
     assert by_one[by_one.id == 1].RUL_rolled.min() == 0
     assert by_one[by_one.id == 3].RUL_rolled.min() > 0.5
     with pytest.raises(ValueError):
-        window_labels(frames, reference_bearing=99).collect()
+        window_labels(frames, span_of=99).collect()
     by_series = window_labels(frames, end="series").toPandas()
     assert (by_series.groupby("id").RUL_rolled.min() >= 0).all()
 

@@ -112,22 +112,22 @@ def life_span(frames: Frames, end: str = "rolled") -> DataFrame:
     return rows.groupBy(*frames.keys).agg(F.min(order).alias("t_min"), F.max(order).alias("t_max"))
 
 
-def _with_span(rows: DataFrame, span: DataFrame, reference_bearing: int | None, keys: list[str]) -> DataFrame:
-    """Attach the span of the row's own series, or that of one bearing of its split."""
-    if reference_bearing is None:
+def _with_span(rows: DataFrame, span: DataFrame, span_of: int | None, keys: list[str]) -> DataFrame:
+    """Attach the span of the row's own series, or that of one series of its split."""
+    if span_of is None:
         return rows.join(span, keys)
     outer = keys[:-1]
-    reference = span.filter(F.col(keys[-1]) == reference_bearing)
+    reference = span.filter(F.col(keys[-1]) == span_of)
     if outer:
         return rows.join(reference.drop(keys[-1]), outer)
     bounds = reference.first()  # one row: the key is unique
     if bounds is None:
-        raise ValueError(f"no series {reference_bearing}")
+        raise ValueError(f"no series {span_of}")
     return rows.withColumn("t_min", F.lit(bounds["t_min"])).withColumn("t_max", F.lit(bounds["t_max"]))
 
 
 def window_labels(
-    frames: Frames, end: str = "rolled", reference_bearing: int | None = None
+    frames: Frames, end: str = "rolled", span_of: int | None = None
 ) -> DataFrame:
     """RUL and RUL class at the end of every window.
 
@@ -135,7 +135,7 @@ def window_labels(
     class of the smallest RUL first, so both are evaluated at ``time_end``.
     """
     span = stage(life_span(frames, end), "life")
-    joined = _with_span(window_rows(frames, frames.series.order), span, reference_bearing, frames.keys)
+    joined = _with_span(window_rows(frames, frames.series.order), span, span_of, frames.keys)
     rul = remaining_share(micros(F.col("t_max")), micros(F.col("t_min")), micros(F.col("time_end")))
     return (
         joined.withColumn("RUL_rolled", rul)
@@ -148,11 +148,11 @@ def add_rul(
     rows: DataFrame,
     keys: tuple[str, ...] = ("id",),
     time: str = "time",
-    reference_bearing: int | None = None,
+    span_of: int | None = None,
 ) -> DataFrame:
     """RUL in [0, 1] and its class for every row of a table."""
     span = stage(rows.groupBy(*keys).agg(F.min(time).alias("t_min"), F.max(time).alias("t_max")), "life")
-    joined = _with_span(rows, span, reference_bearing, list(keys))
+    joined = _with_span(rows, span, span_of, list(keys))
     rul = remaining_share(micros(F.col("t_max")), micros(F.col("t_min")), micros(F.col(time)))
     return joined.withColumn("RUL", rul).withColumn("RUL_class", rul_class(F.col("RUL"))).drop("t_min", "t_max")
 

@@ -419,7 +419,7 @@ SELECT id, time, {r6('(t - t0) / nullif(t1 - t0, 0)::DOUBLE')} AS norm_axis FROM
         "roll_windows_backward": Query(_trailing, trail),
         "window_labels": Query(_window_labels(), _labels_sql()),
         "window_labels_series_end": Query(_window_labels(end="series"), _labels_sql(series_end)),
-        "window_labels_reference_bearing": Query(_window_labels(reference_bearing=1), _labels_sql(from_one)),
+        "window_labels_reference_bearing": Query(_window_labels(span_of=1), _labels_sql(from_one)),
         "rul_columns": Query(_rul_columns, RUL_SQL),
         "rul_class": Query(
             _rul_class,
