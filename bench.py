@@ -50,9 +50,7 @@ HEADLINE = [
     "changepoint_normal",
     "subsample",
     "random_forest_rows",
-    "grid_search_rows",
     "domain_adaptation_rows",
-    "features_efficient",
 ]
 
 

@@ -41,7 +41,7 @@ class Frames:
         return [*self.series.keys, "end"]
 
     def with_rows(self, rows: DataFrame) -> "Frames":
-        return replace(self, rows=rows)
+        return replace(self, rows=rows, shared={})
 
     def once(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
         """The staged table of that name, made when it is first asked for."""

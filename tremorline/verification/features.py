@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorline.features import occurrences, segments, spectral, windowed
-from tremorline.features.registry import efficient, extract_features, impute, matrix_columns, minimal, to_matrix
+from tremorline.features.registry import (
+    column_name,
+    efficient,
+    extract_features,
+    from_columns,
+    impute,
+    matrix_columns,
+    minimal,
+    to_matrix,
+)
 from tremorline.operators.rolling import Frames, expanding
 from tremorline.verification.base import (
     LONG_MIN_TIMESHIFT,
@@ -575,6 +584,7 @@ every AS (SELECT DISTINCT {WINDOW} FROM r)"""
     }
     out["features_minimal"] = Query(spark_query(minimal()), grouped(minimal_values))
     out["features_selected"] = Query(_selected, _selected_sql())
+    out["features_from_names"] = Query(_from_names, _selected_sql())
     out["features_matrix"] = Query(_matrix, _matrix_sql())
     out["features_long_series"] = Query(spark_query(minimal(), long_windows), grouped(minimal_values, view=_long_prelude()))
     long_density = f""",
@@ -696,6 +706,12 @@ def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published(extract_features(windows(spark, sf_dir), {k: list(v) for k, v in SELECTED.items()}))
 
 
+def _from_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that the columns of a matrix are named after."""
+    columns = [column_name(kind, name) for kind, values in SELECTED.items() for name in values]
+    return published(extract_features(windows(spark, sf_dir), from_columns(columns)))
+
+
 def _selected_sql() -> str:
     chosen = {(k, name): sql for k, values in SELECTED.items() for name, sql in values.items()}
     columns = ", ".join(f"CAST({sql} AS DOUBLE) AS f{i}" for i, sql in enumerate(chosen.values()))
