@@ -43,6 +43,7 @@ from tremorline.session import stage
 
 SEQUENCE_LENGTH = 2048
 BATCH = 256
+MEMORY_BYTES = 320 << 20  # what a worker keeps of chunks of text and their ids
 FILE_TOKENS = 1 << 25
 END_ID = 2
 
@@ -170,7 +171,7 @@ def write(
     run_name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.library_encoder(tokenizer)
+        encoder = tokens.library_encoder(tokenizer, MEMORY_BYTES)
         part, pair, done = TaskContext.get().partitionId(), None, []
         attempt = uuid.uuid4().hex[:12]
         for batch in batches:
