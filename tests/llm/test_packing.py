@@ -16,6 +16,7 @@ from tremorline.llm import packing, queries, tokens
 AWKWARD = [
     "", " ", "a", "A b  c", "It's  the dog's\n\n\tbone. ", "ſoft ĳ İstanbul ΣΑΣ ς", "x\x1cy \x1d z", "é ́ äb", "№½²Ⅷ 12 3",
     "<|endoftext|> <|startoftext|>", "…?!.,;:! a.b,c", "  x　", "日本語 テスト", "\U0001f600\U0001f600", "don't I'LL we've", "0" * 300, "$.5 a$.b é.è",
+    "İ. aİ, İ ", "Σ. aΣ, ſ.",
 ]
 
 

@@ -43,7 +43,7 @@ from tremorline.session import stage
 
 SEQUENCE_LENGTH = 2048
 BATCH = 256
-MEMORY_BYTES = 320 << 20  # what a worker keeps of chunks of text and their ids
+MEMORY_BYTES = 384 << 20  # what a worker keeps of chunks of text and their ids
 FILE_TOKENS = 1 << 25
 END_ID = 2
 
@@ -167,7 +167,7 @@ def write(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    end, most = np.array([end_id], "<u4"), np.iinfo(dtype).max
+    end, most = np.array([end_id], "<u4").tobytes(), np.iinfo(dtype).max
     run_name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def write(
         attempt = uuid.uuid4().hex[:12]
         for batch in batches:
             for doc_id, encoded in zip(batch.column(0).to_pylist(), encoder.encode(tokens.texts_of(batch.column(1)))):
-                ids = np.concatenate([np.frombuffer(encoded, "<u4"), end])
+                ids = np.frombuffer(encoded + end, "<u4")
                 if ids.max() > most:
                     raise ValueError(f"token {ids.max()} does not fit {dtype}")
                 if pair is None:

@@ -23,8 +23,9 @@ MEMORY_BYTES = 192 << 20  # what a worker keeps of chunks and their ids
 LONG = 256  # characters of a chunk above which it is not kept
 _ENTRY_BYTES = 260  # a chunk's share of dictionary, list and objects besides its characters and ids
 
-# Latin letters in blocks that hold nothing but letters.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+# Latin letters in blocks that hold nothing but letters, without the one (U+0130) whose
+# lower case is a letter and a mark.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _AFTER = r"(?=[.,;:!?\s]|\Z)"
 # For patterns that join a space to the word after it.
 SPACED = re.compile(rf" ?[{_LETTERS}]++{_AFTER}| ?\S+|\s+(?!\S)|\s+")
@@ -150,7 +151,7 @@ def library_encoder(path: str, memory_bytes: int = MEMORY_BYTES, control: bool =
             # its bytes as characters. Anything else goes through all of them.
             if WORD.fullmatch(chunk) and (not lowers or chunk.islower()):
                 return array("I", [i.id for i in tokenize(byte_characters(chunk))]).tobytes()
-            return array("I", tokenizer.encode([chunk], is_pretokenized=True, add_special_tokens=False).ids).tobytes()
+            return array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
         def encode_whole(text: str) -> bytes:
             used = plain if control else tokenizer
