@@ -57,9 +57,11 @@ RESULT = (
 
 
 def usable(rows: DataFrame, anchor: Column, id_col: str, vector_col: str, label_col: str, scale: int) -> DataFrame:
-    """id, label, is_anchor and vector (whole numbers) of the rows that take part."""
+    """id, label, is_anchor and vector (whole numbers) of the rows that take part. Ids and
+    labels are whole numbers."""
     vector = F.col(vector_col)
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    real = F.transform(vector, lambda x: x.cast("double"))
+    bad = F.exists(real, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & vector.isNotNull() & ~bad).select(
         F.col(id_col).cast("long").alias("id"),
         F.col(label_col).cast("long").alias("label"),
