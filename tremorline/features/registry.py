@@ -94,6 +94,7 @@ def extract_features(frames: Frames, spec: list[str] | dict[str, list[str]]) ->
     asked = [grids[f] for f, (_, names) in families().items() if f in grids and wanted & set(names)]
     # Families of one call share window statistics, packed values and quantiles.
     shared = {"probabilities": sorted({p for grid in asked for p in grid})} if len(asked) > 1 else {}
+    shared["blocks"] = all(wanted & set(families()[f][1]) for f in ("beyond", "strikes"))
     frames = replace(frames, shared=shared)
     tables = []
     for family, names in families().values():

@@ -46,9 +46,9 @@ def window_stats(frames: Frames, kinds: list[str] | None = None) -> DataFrame:
 
 
 def value_blocks(frames: Frames, kinds: list[str] | None, size: int = BLOCK) -> DataFrame:
-    """Packed values, staged once for all families of a call."""
+    """Packed values, staged once where several families of a call read them."""
     make = lambda: packed(frames, long_rows(frames, kinds), ("v",), size)
-    return frames.once(("blocks", size, *(kinds or frames.series.values)), make)
+    return frames.once(("blocks", size, *(kinds or frames.series.values)), make) if frames.shared.get("blocks") else make()
 
 
 def value_quantiles(frames: Frames, kinds: list[str] | None, probabilities: list[float]) -> DataFrame:
