@@ -40,13 +40,23 @@ def lagged_rows(rows: DataFrame, keys: list[str], lags: list[int], peaks: list[i
     reach = max([0, *lags, *[2 * n for n in peaks]])
     block = f"PARTITION BY {', '.join(keys)}, kind, _block ORDER BY pos"
     added = [f"lag(v, {k}) OVER ({block}) AS lag_{k}" for k in lags]
+    spread = with_halo(rows, reach)
+    # The largest of the last n values comes from those of half as many, n doubling.
+    doubled = [1 << i for i in range(max(peaks, default=1).bit_length())]
+    for n in doubled[1:]:
+        half = "v" if n == 2 else f"_top_{n // 2}"
+        spread = spread.selectExpr("*", f"greatest({half}, lag({half}, {n // 2}) OVER ({block})) AS _top_{n}")
     for n in peaks:
+        held = max(size for size in doubled if size <= n)
+        top = "v" if held == 1 else f"_top_{held}"
+        if held < n:
+            spread = spread.selectExpr("*", f"greatest({top}, lag({top}, {n - held}) OVER ({block})) AS _last_{n}")
+            top = f"_last_{n}"
         middle = f"lag(v, {n}) OVER ({block})"
-        left = f"max(v) OVER ({block} ROWS BETWEEN {2 * n} PRECEDING AND {n + 1} PRECEDING)"
-        right = f"max(v) OVER ({block} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-        seen = f"pos >= {2 * n} AND {middle} > {left} AND {middle} > {right}"
+        seen = f"pos >= {2 * n} AND {middle} > lag({top}, {n + 1}) OVER ({block}) AND {middle} > {top}"
         added.append(f"CASE WHEN {seen} THEN 1 ELSE 0 END AS peak_{n}")
-    return with_halo(rows, reach).selectExpr("*", *added).filter("NOT _halo").drop("_block", "_halo")
+    made = [name for name in spread.columns if name.startswith(("_top_", "_last_"))]
+    return spread.selectExpr("*", *added).filter("NOT _halo").drop("_block", "_halo", *made)
 
 
 def as_long(table: DataFrame, window_keys: list[str], features: dict[str, Column | str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorline.features.blocks import BLOCK, packed, per_window
+from tremorline.features.blocks import BLOCK, finished, packed, per_window, window_totals
 from tremorline.features.rows import as_long, lagged_rows, long_rows
 from tremorline.features.segments import MEAN, SD, window_sums
 from tremorline.features.window_quantiles import window_quantiles
@@ -31,6 +31,7 @@ CORRIDOR = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 CORRIDORS = tuple((a, b) for a in CORRIDOR for b in CORRIDOR if a < b)
 BINS = 10
 PARTS = 10
+CORRIDOR_CELLS = 1 << 20
 FOURIER_BLOCK = 4096
 FOURIER_WINDOWS = 16  # windows that a block is turned for at a time
 SUM_BLOCK = 1024
@@ -64,12 +65,15 @@ def value_quantiles(frames: Frames, kinds: list[str] | None, probabilities: list
 
 
 def _first_true(ordered: np.ndarray, holds: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """Index of the first element of ``ordered`` for which a monotone condition holds, by
-    bisection for a whole grid of conditions at once; its length where none holds."""
-    low, high = np.zeros(shape, np.int64), np.full(shape, len(ordered), np.int64)
+    """Index of the first element of a line of ``ordered`` for which a monotone condition holds,
+    by bisection for a whole grid of conditions at once; its length where none holds. The grid
+    has a line per line of ``ordered``, or any number of them for a single one."""
+    size = ordered.shape[1]
+    line = np.arange(len(ordered))[:, None]
+    low, high = np.zeros(shape, np.int64), np.full(shape, size, np.int64)
     while (low < high).any():
         middle = (low + high) // 2
-        hit = holds(ordered[np.minimum(middle, len(ordered) - 1)])
+        hit = holds(ordered[line, np.minimum(middle, size - 1)])
         active = low < high
         high = np.where(active & hit, middle, high)
         low = np.where(active & ~hit, middle + 1, low)
@@ -78,15 +82,16 @@ def _first_true(ordered: np.ndarray, holds: Callable[[np.ndarray], np.ndarray],
 
 def _counts(values: np.ndarray, *stats: np.ndarray) -> np.ndarray:
     """Per window: rows beyond r sigma for every r, above and below the mean, per bin."""
-    ordered = np.sort(values)
+    ordered = np.sort(values, axis=1)
+    size = values.shape[1]
     mean, sd, lo, hi = (stat[:, None] for stat in stats)
     margins = np.hstack([sd * np.array(SIGMAS, float), 1e-12 * np.maximum(np.abs(lo), np.abs(hi))])
-    above = len(values) - _first_true(ordered, lambda v: v - mean > margins, margins.shape)
+    above = size - _first_true(ordered, lambda v: v - mean > margins, margins.shape)
     below = _first_true(ordered, lambda v: ~(mean - v > margins), margins.shape)
     span = np.where(hi > lo, hi - lo, 1.0)
     number = np.arange(1, BINS)[None, :]
     starts = _first_true(ordered, lambda v: np.floor((v - lo) / span * BINS) >= number, (len(mean), BINS - 1))
-    edges = np.hstack([np.zeros((len(mean), 1)), starts, np.full((len(mean), 1), len(values))])
+    edges = np.hstack([np.zeros((len(mean), 1)), starts, np.full((len(mean), 1), size)])
     return np.hstack([above[:, :-1] + below[:, :-1], above[:, -1:], below[:, -1:], np.diff(edges, axis=1)]).astype(np.int64)
 
 
@@ -183,37 +188,48 @@ def change_quantiles(
     frames: Frames, names: list[str], kinds: list[str] | None = None
 ) -> DataFrame:
     """Mean and variance of steps whose both ends lie between two quantiles of the window."""
-    keys = [*frames.window_keys, "kind"]
     rows = lagged_rows(long_rows(frames, kinds), frames.keys, [1])
     edges = stage(value_quantiles(frames, kinds, list(CORRIDOR)), "edges")
     corridors = [x for x in CORRIDORS if any(n.endswith(f"__qh_{x[1]}__ql_{x[0]}") for n in names)]
     places = [(CORRIDOR.index(low), CORRIDOR.index(high)) for low, high in corridors]
 
-    def sums(rows: list[np.ndarray], stats: list[np.ndarray]) -> list:
-        before, now = rows
-        step = now - before
-        low, high = np.fmin(before, now), np.fmax(before, now)
-        terms = np.vstack([np.ones_like(step), step, np.abs(step), step * step])
-        out = []
-        for q in stats[0]:
-            inside = np.array([(q[a] < q[b]) & (low >= q[a]) & (high <= q[b]) & ~np.isnan(before) for a, b in places])
-            out.append((np.where(np.isnan(terms), 0.0, terms) @ inside.T.astype(float)).T.ravel())
-        return [out]
+    lower, upper = ([pair[side] for pair in places] for side in (0, 1))
+
+    def sums(rows: list[np.ndarray], stats: list[np.ndarray]) -> list[np.ndarray]:
+        step = rows[1] - rows[0]
+        low, high = (f(*rows)[:, :, None] for f in (np.fmin, np.fmax))
+        known = ~np.isnan(rows[0])[:, :, None]
+        terms = np.stack([np.ones_like(step), step, np.abs(step), step * step], axis=1)
+        terms = np.where(np.isnan(terms), 0.0, terms)
+        out = np.zeros((len(stats[0]), len(places), 4))
+        some = max(1, CORRIDOR_CELLS // (step.shape[1] * len(places)))
+        for part in range(0, len(out), some):
+            at = slice(part, part + some)
+            mine = at if len(step) > 1 else slice(None)
+            left, right = (stats[0][at][:, None, side] for side in (lower, upper))
+            inside = (left < right) & (low[mine] >= left) & (high[mine] <= right) & known[mine]
+            out[at] = np.swapaxes(terms[mine] @ inside.astype(float), 1, 2)
+        return [out.reshape(len(out), -1)]
 
     blocks = packed(frames, rows, ("lag_1", "v"))
     found = per_window(frames, blocks, edges, ("lag_1", "v"), ("q",), sums, {"t": T.ArrayType(T.DoubleType())})
     width = 4 * len(places)
-    table = found.groupBy(*keys).agg(*[F.expr(f"sum(t[{i}])").alias(f"t{i}") for i in range(width)])
-    values = {}
+    stems = {}
     for i, (low, high) in enumerate(corridors):
-        m, moved, total, squares = (f"t{4 * i + k}" for k in range(4))
-        for is_abs, first in ((False, moved), (True, total)):
-            mean = f"coalesce(try_divide({first}, {m}), 0.0D)"
-            spread = f"greatest(coalesce(try_divide({squares}, {m}), 0.0D) - pow({mean}, 2), 0.0D)"
-            stem = f"__isabs_{is_abs}__qh_{high}__ql_{low}"
-            values['change_quantiles__f_agg_"mean"' + stem] = mean
-            values['change_quantiles__f_agg_"var"' + stem] = spread
-    return as_long(table, frames.window_keys, {name: values[name] for name in names})
+        for is_abs in (False, True):
+            for k, how in enumerate(("mean", "var")):
+                stems[f'change_quantiles__f_agg_"{how}"__isabs_{is_abs}__qh_{high}__ql_{low}'] = (i, int(is_abs), k)
+    chosen = np.array([stems[name] for name in names])
+
+    def finish(totals: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, None]:
+        m, moved, total, squares = np.moveaxis(totals.reshape(len(totals), -1, 4), 2, 0)
+        some = np.where(m > 0, m, 1.0)
+        first = np.stack([moved, total], axis=2) / some[:, :, None]
+        spread = np.maximum((squares / some)[:, :, None] - first * first, 0.0)
+        values = np.stack([first, spread], axis=3)
+        return values[:, chosen[:, 0], chosen[:, 1], chosen[:, 2]], None
+
+    return finished(window_totals(frames, found, width), frames.window_keys, "t", list(names), finish)
 
 
 def mass_quantiles(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
@@ -250,18 +266,19 @@ def mass_quantiles(frames: Frames, names: list[str], kinds: list[str] | None = N
     return table.select(*keys, feature.alias("feature"), ((c("pos") + 1) / c("end")).alias("value"))
 
 
-def _strikes(values: np.ndarray, mean: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list:
+def _strikes(values: np.ndarray, mean: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
     """Per window: best run, run from the start, run to the end, above and below the mean."""
     noise = 1e-12 * np.maximum(np.abs(lo), np.abs(hi))
-    distance = values[None, :] - mean[:, None]
-    place = np.arange(len(values))
+    distance = values - mean[:, None]
+    size = values.shape[1]
+    place = np.arange(size)
     out = []
     for hit in (distance > noise[:, None], -distance > noise[:, None]):
         last_miss = np.maximum.accumulate(np.where(hit, -1, place), axis=1)
         run = np.where(hit, place - last_miss, 0)
-        prefix = np.where(hit.all(axis=1), len(values), hit.argmin(axis=1))
+        prefix = np.where(hit.all(axis=1), size, hit.argmin(axis=1))
         out += [run.max(axis=1), prefix, run[:, -1]]
-    return [np.full(len(mean), len(values)), *out]
+    return [np.full(len(mean), size), *out]
 
 
 def longest_strikes(
@@ -326,52 +343,48 @@ def fourier_coefficients(frames: Frames, names: list[str], kinds: list[str] | No
     blocks = packed(frames, rows, ("d", "v", "place"), FOURIER_BLOCK)
     windows = rows.filter(c("pos") == c("end") - 1).select(*keys, c("end").alias("length"))
 
-    def sums(rows: list[np.ndarray], stats: list[np.ndarray]) -> list:
+    def sums(rows: list[np.ndarray], stats: list[np.ndarray]) -> list[np.ndarray]:
         centred, values, place = rows
         lengths = stats[0]
         out = np.zeros((len(lengths), 2 * len(wanted) + 1))
-        out[:, -1] = np.abs(values).sum()
-        for part in range(0, len(lengths), FOURIER_WINDOWS):
-            some = slice(part, part + FOURIER_WINDOWS)
-            turn = np.exp((-2j * np.pi / lengths[some])[:, None] * place)
-            state = np.ones_like(turn)
-            for order in range(wanted[-1] + 1):
-                at = np.searchsorted(wanted, order)
-                if wanted[at] == order:
-                    found = state @ centred
-                    out[some, at], out[some, len(wanted) + at] = found.real, found.imag
-                state *= turn
+        out[:, -1] = np.abs(values).sum(axis=1)
+        if len(centred) > 1:  # many series: windows of one length turn alike
+            for length in np.unique(lengths):
+                some = lengths == length
+                turns = np.exp((-2j * np.pi / length) * np.mod(np.outer(place[0], wanted), length))
+                out[some, : len(wanted)], out[some, len(wanted) : -1] = centred[some] @ turns.real, centred[some] @ turns.imag
+        else:
+            for part in range(0, len(lengths), FOURIER_WINDOWS):
+                some = slice(part, part + FOURIER_WINDOWS)
+                turn = np.exp((-2j * np.pi / lengths[some])[:, None] * place)
+                state = np.ones_like(turn)
+                for order in range(wanted[-1] + 1):
+                    at = np.searchsorted(wanted, order)
+                    if wanted[at] == order:
+                        found = state @ centred[0]
+                        out[some, at], out[some, len(wanted) + at] = found.real, found.imag
+                    state *= turn
         if wanted[0] == 0:
-            out[:, 0] = values.sum()
-        return [list(out)]
+            out[:, 0] = values.sum(axis=1)
+        return [out]
 
     found = per_window(
         frames, blocks, windows, ("d", "v", "place"), ("length",), sums, {"t": T.ArrayType(T.DoubleType())}
     )
-    width = 2 * len(orders) + 1
-    table = found.groupBy(*keys).agg(F.array(*[F.expr(f"sum(t[{i}])") for i in range(width)]).alias("t"))
-    table = table.select(*keys, "t", (F.get("t", F.lit(width - 1)) * 1e-12).alias("noise"))
-    sums_of = F.transform(
-        F.sequence(F.lit(0), F.lit(len(orders) - 1)),
-        lambda i: F.struct(i.alias("i"), F.get("t", i).alias("re"), F.get("t", i + len(orders)).alias("im")),
-    )
-    sums = table.select(*keys, "noise", F.inline(sums_of))
-    order = F.get(F.array(*[F.lit(k) for k in orders]), c("i"))
-    # order zero and the highest order of an even window are real; rounding noise is zero
-    two_sided = (order > 0) & (order * 2 < c("end")) & (F.abs("im") > c("noise"))
-    im = F.when(two_sided, c("im")).otherwise(0.0)
-    re = F.when(F.abs("re") > c("noise"), c("re")).otherwise(0.0)
-    parts = {"real": re, "imag": im, "abs": F.sqrt(re * re + im * im), "angle": F.degrees(F.atan2(im, re))}
-    pairs = F.array(
-        *[
-            F.struct(
-                F.concat(F.lit(f'fft_coefficient__attr_"{attr}"__coeff_'), order.cast("string")).alias("feature"),
-                F.when(order * 2 <= c("end"), value).alias("value"),
-            )
-            for attr, value in parts.items()
-        ]
-    )
-    return sums.select(*keys, F.inline(pairs)).filter(c("feature").isin(list(names)))
+    table = window_totals(frames, found, 2 * len(orders) + 1, FOURIER_BLOCK)
+    parts = {f'fft_coefficient__attr_"{a}"__coeff_{k}': (i, j) for i, a in enumerate(FOURIER_ATTRS) for j, k in enumerate(orders)}
+    chosen = np.array([parts[name] for name in names])
+
+    def finish(totals: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        re, im, noise = totals[:, : len(wanted)], totals[:, len(wanted) : -1], totals[:, -1:] * 1e-12
+        # order zero and the highest order of an even window are real; rounding noise is zero
+        two_sided = (wanted > 0) & (wanted * 2 < ends[:, None]) & (np.abs(im) > noise)
+        im = np.where(two_sided, im, 0.0)
+        re = np.where(np.abs(re) > noise, re, 0.0)
+        values = np.stack([re, im, np.sqrt(re * re + im * im), np.degrees(np.arctan2(im, re))], axis=1)
+        return values[:, chosen[:, 0], chosen[:, 1]], (wanted * 2 > ends[:, None])[:, chosen[:, 1]]
+
+    return finished(table, frames.window_keys, "t", list(names), finish)
 
 
 def beyond_names() -> list[str]:
