@@ -55,7 +55,7 @@ def packed(frames: Frames, rows: DataFrame, columns: tuple[str, ...], size: int
     )
 
 
-def _fields(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def struct_fields(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Offsets of the lists of structs, and their fields end to end; lists of one length become rows."""
     offsets = lists.offsets.to_numpy()
     inner, out = lists.flatten(), {}
@@ -105,8 +105,8 @@ def per_window(
 
     def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first = batch.column("_first").to_numpy()
-        offsets, rows = _fields(batch.column("_s"))
-        ends_at, stats = _fields(batch.column("_w"))
+        offsets, rows = struct_fields(batch.column("_s"))
+        ends_at, stats = struct_fields(batch.column("_w"))
         record = np.repeat(np.arange(len(first)), np.diff(offsets))
         order = np.lexsort((rows["pos"], record))
         rows = [np.asarray(rows[k], float)[order] for k in row_columns]

@@ -6,11 +6,16 @@ Aggregates and values are SQL expressions over the columns of ``long_rows``."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tremorline.features.blocks import BLOCK, lists_of, spread, struct_fields, window_totals
 from tremorline.features.finishing import (
     ar_coefficients,
     lag_covariances,
@@ -20,6 +25,7 @@ from tremorline.features.finishing import (
     unit_root_test,
 )
 from tremorline.features.rows import as_long, lagged_rows, long_rows
+from tremorline.operators.indexing import with_halo
 from tremorline.operators.rolling import Frames
 
 
@@ -65,20 +71,6 @@ def _tag(value: float) -> str:
     return str(value).replace("-", "m").replace(".", "p").replace("+", "")
 
 
-def newest(depth: int) -> str:
-    """The last ``depth`` values of a window, latest first, read off its last row."""
-    older = "".join(f", lag_{k} - c" for k in range(1, depth))
-    return f"max(CASE WHEN pos = end - 1 THEN array(d{older}) END)"
-
-
-def product(lag: int) -> Partial:
-    return Partial(f"sum(d * (lag_{lag} - c))", "sum", (lag,))
-
-
-def earliest(depth: int) -> Partial:
-    return Partial(f"collect_list(CASE WHEN pos < {depth} THEN struct(pos, d) END)", "gather")
-
-
 def partials() -> dict[str, Partial]:
     known = {
         "n": Partial("count(1)"),
@@ -104,7 +96,6 @@ def partials() -> dict[str, Partial]:
         "h1": Partial("sum(hours)"),
         "h2": Partial("sum(hours * hours)"),
         "h_d": Partial("sum(hours * d)"),
-        "head": earliest(EDGE),
     }
     for value in VALUES:
         known[f"eq_{_tag(value)}"] = Partial(total(f"v = {value}"))
@@ -120,10 +111,6 @@ def partials() -> dict[str, Partial]:
         known[f"tras_{lag}"] = Partial(f"sum(v * v * {mid} - {mid} * {old} * {old})", "sum", (lag, 2 * lag))
     for n in PEAKS:
         known[f"peaks_{n}"] = Partial(f"sum(peak_{n})", "sum", (), n)
-    for lag in range(1, EDGE + 1):
-        known[f"prod_{lag}"] = product(lag)
-    for depth in (10, EDGE):
-        known[f"tail_{depth}"] = Partial(newest(depth), "own", tuple(range(1, depth)))
     return known
 
 
@@ -186,9 +173,8 @@ CLOCKS = {
     "linear_trend": ("(n * (n - 1.0D) / 2)", "((n - 1.0D) * n * (2 * n - 1.0D) / 6)", "t_d"),
     "linear_trend_timewise": ("h1", "h2", "h_d"),
 }
-PACF_NEEDS = tuple(f"prod_{k}" for k in range(1, 10)) + ("head", "tail_10")
-ACF_NEEDS = tuple(f"prod_{k}" for k in range(1, EDGE + 1)) + ("head", f"tail_{EDGE}")
-AR_NEEDS = tuple(f"prod_{k}" for k in range(1, 11)) + ("head", "tail_10")
+# lag products and edge values, from ``lag_lists`` of that depth
+LAGS, DEEP_LAGS = "lags_10", f"lags_{EDGE}"
 
 
 def catalogue() -> dict[str, Feature]:
@@ -251,12 +237,12 @@ def catalogue() -> dict[str, Feature]:
         add(f"number_peaks__n_{n}", f"peaks_{n}", f"peaks_{n}")
     for lag in range(10):
         scaled = f"try_divide(get(_cov, {lag}), (n - {lag}) * var)"
-        add(f"autocorrelation__lag_{lag}", f"CASE WHEN n > {lag} AND var > 1e-8D THEN {scaled} END", *PACF_NEEDS)
-        add(f"partial_autocorrelation__lag_{lag}", f"get(_pacf, {lag})", *PACF_NEEDS)
+        add(f"autocorrelation__lag_{lag}", f"CASE WHEN n > {lag} AND var > 1e-8D THEN {scaled} END", LAGS)
+        add(f"partial_autocorrelation__lag_{lag}", f"get(_pacf, {lag})", LAGS)
     for stat in ("mean", "median", "var"):
-        add(f'agg_autocorrelation__f_agg_"{stat}"__maxlag_40', _agg_autocorrelation(stat), *ACF_NEEDS)
+        add(f'agg_autocorrelation__f_agg_"{stat}"__maxlag_40', _agg_autocorrelation(stat), DEEP_LAGS)
     for k in range(11):
-        add(f"ar_coefficient__coeff_{k}__k_10", f"get(_ar, {k})", *AR_NEEDS)
+        add(f"ar_coefficient__coeff_{k}__k_10", f"get(_ar, {k})", LAGS)
     add("benford_correlation", _benford(), *[f"digit_{k}" for k in range(1, 10)])
     for name, clock in CLOCKS.items():
         needs = ("t_d",) if name == "linear_trend" else ("h1", "h2", "h_d")
@@ -267,10 +253,10 @@ def catalogue() -> dict[str, Feature]:
 
 
 def window_sums(
-    frames: Frames, names: list[str], kinds: list[str] | None = None, extra: dict[str, Partial] | None = None
+    frames: Frames, names: list[str], kinds: list[str] | None = None
 ) -> DataFrame:
     """One row per window and axis with the accumulated partials in ``names`` and ``var``."""
-    known = partials() | (extra or {})
+    known = partials()
     wanted = {name: known[name] for name in dict.fromkeys([*BASE, *names])}
     lags = sorted({k for p in wanted.values() for k in p.lags})
     peaks = sorted({p.peak for p in wanted.values() if p.peak})
@@ -283,24 +269,73 @@ def window_sums(
     return table.withColumn("var", F.expr("greatest(s2 / n - (s1 / n) * (s1 / n), 0.0D)"))
 
 
-def _with_edges(table: DataFrame) -> DataFrame:
-    return table.withColumn("_head", F.expr("transform(array_sort(head), s -> s.d)"))
+def lag_lists(frames: Frames, kinds: list[str] | None, depth: int) -> DataFrame:
+    """One row per window and axis with ``_prods``, the sums of d(t) d(t - lag) for lags up to
+    ``depth``, ``_tail``, its last values, latest first, and ``_head``, its first ones.
+
+    Blocks, with the rows before them repeated as a halo, give each segment its share.
+    """
+    keys = [*frames.keys, "kind"]
+    rows = with_halo(long_rows(frames, kinds).select(*keys, "pos", "end", "d"), depth, BLOCK)
+    blocks = spread(frames, rows, [*keys, "_block"]).groupBy(*keys, "_block").agg(
+        F.collect_list(F.struct("pos", "end", "d", "_halo")).alias("_s")
+    )
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            offsets, rows = struct_fields(batch.column("_s"))
+            record = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            order = np.lexsort((rows["pos"], record))
+            pos, end, halo = (rows[k][order] for k in ("pos", "end", "_halo"))
+            d = np.asarray(rows["d"], float)[order]
+            place = np.arange(len(d))
+            since = place - offsets[record]
+            new = (np.diff(record) != 0) | (np.diff(end) != 0) | (np.diff(halo.astype(np.int8)) != 0)
+            starts = np.flatnonzero(np.concatenate([[True], new]))
+            group = np.cumsum(np.concatenate([[0], new]))
+            found = np.zeros((len(starts), 3, depth))
+            for lag in range(1, depth + 1):
+                there = np.where(since >= lag, d[place - lag], 0.0)
+                found[:, 0, lag - 1] = np.add.reduceat(d * there, starts)
+            last = np.flatnonzero(pos == end - 1)
+            back = np.arange(depth)
+            found[group[last], 1] = np.where(since[last][:, None] >= back, d[last[:, None] - back], 0.0)
+            first = np.flatnonzero(pos < depth)
+            found[group[first], 2, pos[first]] = d[first]
+            own = np.flatnonzero(~halo[starts])
+            taken = pa.array(record[starts[own]])
+            arrays = [*(batch.column(k).take(taken) for k in keys), pa.array(end[starts[own]])]
+            yield pa.RecordBatch.from_arrays([*arrays, lists_of(found[own].reshape(len(own), -1))], [*keys, "end", "t"])
+
+    fields = {f.name: f.dataType for f in blocks.schema}
+    schema = T.StructType([T.StructField(k, fields[k]) for k in keys]).add("end", T.LongType())
+    found = blocks.mapInArrow(share, schema.add("t", T.ArrayType(T.DoubleType())))
+    table = window_totals(frames, found, 3 * depth)
+    parts = {name: [f"{name}_{i}" for i in range(depth)] for name in ("_prods", "_tail", "_head")}
+    flat = [column for names in parts.values() for column in names]
+    table = table.select(*frames.window_keys, "kind", *[F.get("t", F.lit(i)).alias(k) for i, k in enumerate(flat)])
+    if frames.step is not None:
+        table = frames.upto(table, {k: (F.col(k), "sum") for name in ("_prods", "_head") for k in parts[name]})
+    arrays = [F.array(*names).alias(name) for name, names in parts.items()]
+    return table.select(*frames.window_keys, "kind", *arrays)
 
 
 def _products(depth: int) -> str:
-    return f"array(s2, {', '.join(f'coalesce(prod_{k}, 0.0D)' for k in range(1, depth + 1))})"
+    return f"concat(array(s2), slice(_prods, 1, {depth}))"
 
 
 def extract(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
     known = catalogue()
     chosen = {name: known[name] for name in names}
     needs = [p for f in chosen.values() for p in f.partials]
-    table = window_sums(frames, needs, kinds)
-    if "head" in needs:
-        table = _with_edges(table)
-        deep = set(ACF_NEEDS) <= set(needs)
-        products, newest_name = (_products(EDGE), f"tail_{EDGE}") if deep else (_products(9), "tail_10")
-        table = table.withColumn("_cov", lag_covariances(F.expr(products), "_head", newest_name, "s1", "n"))
+    table = window_sums(frames, [p for p in needs if p not in (LAGS, DEEP_LAGS)], kinds)
+    if LAGS in needs or DEEP_LAGS in needs:
+        deep = DEEP_LAGS in needs
+        table = table.join(lag_lists(frames, kinds, EDGE if deep else 10), [*frames.window_keys, "kind"])
+        products = _products(EDGE if deep else 9)
+        table = table.withColumn("_cov", lag_covariances(F.expr(products), "_head", "_tail", "s1", "n"))
         if deep:
             scaled = "CASE WHEN var < 1e-10D THEN 0.0D WHEN var > 1e-8D THEN try_divide(x, (n - i - 1) * var) END"
             lags = f"transform(filter(slice(_cov, 2, {EDGE}), x -> x IS NOT NULL), (x, i) -> {scaled})"
@@ -309,7 +344,7 @@ def extract(frames: Frames, names: list[str], kinds: list[str] | None = None) ->
         covariances = F.expr("transform(slice(_cov, 1, 10), (x, i) -> try_divide(x, n - i))")
         table = table.withColumn("_pacf", partial_autocorrelations(covariances, "n"))
     if any(name.startswith("ar_coefficient") for name in names):
-        weights = ar_coefficients(F.expr(_products(10)), "_head", "tail_10", "s1", "n", "c")
+        weights = ar_coefficients(F.expr(_products(10)), "_head", "_tail", "s1", "n", "c")
         table = table.withColumn("_ar", weights)
     for name, clock in CLOCKS.items():
         if f'{name}__attr_"pvalue"' in names:
@@ -323,11 +358,8 @@ def unit_root(frames: Frames, names: list[str], kinds: list[str] | None = None)
     """Augmented unit root test from lag products; the deepest lag follows from the
     longest series."""
     depth = max(1, unit_root_depth(frames.series.longest) + 1)
-    extra = {f"prod_{k}": product(k) for k in range(1, depth + 1)}
-    extra["newest"] = Partial(newest(depth), "own", tuple(range(1, depth)))
-    extra["head"] = earliest(depth)
-    table = _with_edges(window_sums(frames, list(extra), kinds, extra))
-    tested = table.withColumn("_test", unit_root_test(F.expr(_products(depth)), "_head", "newest", "s1", "n"))
+    table = window_sums(frames, [], kinds).join(lag_lists(frames, kinds, depth), [*frames.window_keys, "kind"])
+    tested = table.withColumn("_test", unit_root_test(F.expr(_products(depth)), "_head", "_tail", "s1", "n"))
     attrs = {name: f"get(_test, {i})" for i, name in enumerate(unit_root_names())}
     return as_long(tested, frames.window_keys, {name: attrs[name] for name in names})
 
