@@ -5,8 +5,11 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import types as T
+
 import brute
-from tremorline.features import windowed
+from tremorline.features import blocks, segments, windowed
+from tremorline.features.blocks import packed, per_window
 from tremorline.features.finishing import incomplete_beta, unit_root_p_value
 from tremorline.features.registry import (
     efficient,
@@ -18,6 +21,7 @@ from tremorline.features.registry import (
     minimal,
     to_matrix,
 )
+from tremorline.features.rows import long_rows
 from tremorline.operators.indexing import BLOCK_ROWS, index_series
 from tremorline.operators.rolling import expanding, whole_series
 from tremorline.session import stage
@@ -242,3 +246,42 @@ def test_matrix_and_impute(spark):
     assert filled == {(1, "x"): 1.0, (2, "x"): 4.0, (3, "x"): 1.0, (4, "x"): 2.5, (5, "x"): 4.0, (1, "y"): 0.0, (2, "y"): 0.0}
     wide = to_matrix(impute(long, ["w"]), ["w"], ["x__a", "y__b"])
     assert sorted(wide.columns) == ["w", "x__a", "y__b"] and wide.count() == 5
+
+
+def test_pieces_of_many_series_are_computed_together(spark, make_series):
+    rng = np.random.default_rng(3)
+    sizes = [30 + i % 3 for i in range(60)]
+    series = index_series(make_series({i: (rng.normal(0, 1, n), rng.normal(0, 1, n)) for i, n in enumerate(sizes)}))
+    some = expanding(series.with_rows(stage(series.rows, "many")), 9, 10)
+    calls, windows = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def means(rows, stats):
+        calls.add(1)
+        windows.add(len(stats[0]))
+        return [rows[0].mean(axis=1) + 0.0 * stats[0]]
+
+    long = long_rows(some)
+    ends = long.filter("pos = end - 1").selectExpr("id", "end", "kind", "end AS length")
+    found = per_window(some, packed(some, long, ("v",)), ends, ("v",), ("length",), means, {"m": T.LongType()})
+    assert found.count() == windows.value == ends.count()
+    assert calls.value < windows.value / 3
+
+
+def test_lag_products_do_not_depend_on_blocks(spark, make_series, monkeypatch):
+    rng = np.random.default_rng(4)
+    series = index_series(make_series({1: (rng.normal(0, 1, 90), rng.normal(0, 1, 90)), 2: (rng.normal(0, 1, 45), rng.normal(5, 2, 45))}))
+    some = expanding(series.with_rows(stage(series.rows, "lags")), 9, 10)
+    names = ["autocorrelation__lag_3", "ar_coefficient__coeff_2__k_10", *segments.unit_root_names()]
+
+    def rows():
+        found = extract_features(some, names).collect()
+        return {(r["id"], r["end"], r["kind"], r["feature"]): r["value"] for r in found}
+
+    want = rows()
+    for module in (segments, blocks):
+        monkeypatch.setattr(module, "BLOCK", 32)
+    monkeypatch.setattr(segments, "window_totals", lambda f, t, width: blocks.window_totals(f, t, width, 32))
+    got = rows()
+    assert got.keys() == want.keys()
+    for key, value in want.items():
+        assert got[key] == value or got[key] == pytest.approx(value, rel=1e-6, abs=1e-9), key

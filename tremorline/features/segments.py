@@ -31,8 +31,8 @@ from tremorline.operators.rolling import Frames
 
 @dataclass(frozen=True)
 class Partial:
-    """An aggregate over a segment and how segments merge: sum, min, max, own (the last
-    segment only) or gather (concatenation of short lists)."""
+    """An aggregate over a segment and how segments merge: sum, min, max or own (the
+    last segment only)."""
 
     agg: str
     merge: str = "sum"
