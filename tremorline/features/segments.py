@@ -297,11 +297,11 @@ def lag_lists(frames: Frames, kinds: list[str] | None, depth: int) -> DataFrame:
             group = np.cumsum(np.concatenate([[0], new]))
             found = np.zeros((len(starts), 3, depth))
             for lag in range(1, depth + 1):
-                there = np.where(since >= lag, d[place - lag], 0.0)
+                there = np.where(since >= lag, d[np.maximum(place - lag, 0)], 0.0)
                 found[:, 0, lag - 1] = np.add.reduceat(d * there, starts)
             last = np.flatnonzero(pos == end - 1)
             back = np.arange(depth)
-            found[group[last], 1] = np.where(since[last][:, None] >= back, d[last[:, None] - back], 0.0)
+            found[group[last], 1] = np.where(since[last][:, None] >= back, d[np.maximum(last[:, None] - back, 0)], 0.0)
             first = np.flatnonzero(pos < depth)
             found[group[first], 2, pos[first]] = d[first]
             own = np.flatnonzero(~halo[starts])
