@@ -1,11 +1,13 @@
 """Token files: exact round trips against the library."""
 
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from tremorline import session
 from tremorline.llm import queries, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,3 +54,13 @@ def test_ties_missing_ids_and_an_empty_table(spark, tmp_path):
     assert [r[1] for r in got] == [0, 2, 4, 6, 8]
     empty = token_files.write(frame.limit(0), str(tmp_path / "b"), PATH)
     assert token_files.read_documents(spark, empty).count() == 0
+
+
+def test_a_plain_folder_on_a_cluster_is_the_one_that_spark_takes_it_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    monkeypatch.setattr(session, "_open_scopes", [str(tmp_path / "staged")])
+    frame = spark.createDataFrame([(1, "x"), (2, "a b")], "doc_id long, text string")
+    manifest = token_files.write(frame, str(tmp_path / "out"), PATH)
+    assert {r.id for r in token_files.read_documents(spark, manifest).collect()} == {1, 2}
+    assert all(r.tokens.startswith(str(tmp_path / "out")) for r in manifest.collect())
+    assert session.qualified(spark, "s") == f"{os.getcwd()}/s"

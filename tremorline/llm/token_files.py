@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorline.llm import tokens
-from tremorline.session import stage
+from tremorline.session import qualified, stage
 
 SEQUENCE_LENGTH = 2048
 BATCH = 256
@@ -160,10 +160,10 @@ def write(
 ) -> DataFrame:
     """Write the token files of ``docs`` and return their manifest, in order of ``start``:
     tokens, documents (paths), n_documents, n_tokens and start (tokens in the pairs before)."""
-    local = docs.sparkSession.sparkContext.master.startswith("local")
-    if ":" not in folder.split("/")[0] and not local:
-        # pyarrow would take it for a folder of the machine that a task runs on
-        raise ValueError("name the file system of the folder, as in file:/, hdfs:// or s3://")
+    if ":" not in folder.split("/")[0]:
+        # pyarrow would take it for a folder of the machine that a task runs on, Spark takes it
+        # for one of its default file system, which also holds the manifest
+        folder = qualified(docs.sparkSession, folder)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")

@@ -60,6 +60,14 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the file system that Spark takes it for; a local one stays a plain path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = system.makeQualified(where)
+    return full.toUri().getPath() if full.toUri().getScheme() == "file" else full.toString()
+
+
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside are deleted at the end, when results must have been written."""
