@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorline.features.blocks import BLOCK, finished, packed, per_window, window_totals
+from tremorline.features.prefixes import FAN, longest_runs, per_prefix
 from tremorline.features.rows import as_long, lagged_rows, long_rows
 from tremorline.features.segments import MEAN, SD, window_sums
 from tremorline.features.window_quantiles import window_quantiles
@@ -281,6 +282,25 @@ def _strikes(values: np.ndarray, mean: np.ndarray, lo: np.ndarray, hi: np.ndarra
     return [np.full(len(mean), size), *out]
 
 
+def _strikes_of_block(rows: list[np.ndarray], stats: list[np.ndarray]) -> list[np.ndarray]:
+    """The same of one line of values for many windows: what is above a mean are the values from
+    some rank on, what is below are those up to some rank."""
+    values, (mean, lo, hi) = rows[1], (stat[:, None] for stat in stats)
+    noise = 1e-12 * np.maximum(np.abs(lo), np.abs(hi))
+    size = len(values)
+    by_value = np.argsort(values, kind="stable")
+    rank = np.empty(size, np.int64)
+    rank[by_value] = np.arange(size)
+    ordered = values[by_value][None, :]
+    above = _first_true(ordered, lambda v: v - mean > noise, mean.shape)[:, 0]
+    below = _first_true(ordered, lambda v: ~(mean - v > noise), mean.shape)[:, 0]
+    out = []
+    for ranks, least in ((rank, above), (size - 1 - rank, size - below)):
+        edges = [np.searchsorted(-np.minimum.accumulate(r), -least, side="right") for r in (ranks, ranks[::-1])]
+        out += [longest_runs(ranks, least), *edges]
+    return [np.full(len(mean), size), *out]
+
+
 def longest_strikes(
     frames: Frames, names: list[str], kinds: list[str] | None = None, block_rows: int = BLOCK
 ) -> DataFrame:
@@ -292,15 +312,15 @@ def longest_strikes(
     keys = [*frames.window_keys, "kind"]
     measures = ("best", "prefix", "suffix")
     outputs = {name: T.LongType() for name in ("rows", *[f"{m}_{side}" for side in ("above", "below") for m in measures])}
-    found = per_window(
-        frames,
-        value_blocks(frames, kinds, block_rows),
-        window_stats(frames, kinds),
-        ("v",),
-        ("mean", "lo", "hi"),
-        lambda rows, stats: _strikes(rows[0], *stats),
-        outputs,
-    )
+    stats, columns = window_stats(frames, kinds), ("mean", "lo", "hi")
+    least = max(1, block_rows // 8)
+    if frames.series.longest > block_rows:
+        sizes = (least, least * FAN, least * FAN * FAN)
+        cut = lambda rows, stats: _strikes(rows[1], *stats)
+        found = per_prefix(frames, long_rows(frames, kinds), stats, columns, _strikes_of_block, cut, outputs, sizes)
+    else:
+        blocks, strikes = value_blocks(frames, kinds, block_rows), lambda rows, stats: _strikes(rows[0], *stats)
+        found = per_window(frames, blocks, stats, ("v",), columns, strikes, outputs)
     sides = F.array(
         *[
             F.struct(F.lit(side).alias("side"), *[c(f"{m}_{side}").alias(m) for m in measures])
@@ -310,7 +330,7 @@ def longest_strikes(
     blocks = found.select(*keys, "_block", "rows", F.inline(sides))
     full = c("best") == c("rows")
     breaks = {"_breaks": (F.when(full, 0).otherwise(1), "sum")}
-    count = frames.series.longest // block_rows + 1
+    count = frames.series.longest // least + 1
     blocks = running(blocks, [*keys, "side"], ["_block"], c("_block"), count, breaks, exclusive=True)
     group = F.coalesce("_breaks", F.lit(0))
     pieces = F.when(full, F.array(F.struct(c("g").alias("g"), c("rows").alias("part")))).otherwise(
