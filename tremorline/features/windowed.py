@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremorline.features.blocks import BLOCK, finished, packed, per_window, window_totals
-from tremorline.features.prefixes import FAN, longest_runs, per_prefix
+from tremorline.features.prefixes import FAN, longest_runs, per_prefix, sums_within
 from tremorline.features.rows import as_long, lagged_rows, long_rows
 from tremorline.features.segments import MEAN, SD, window_sums
 from tremorline.features.window_quantiles import window_quantiles
@@ -189,7 +189,6 @@ def change_quantiles(
     frames: Frames, names: list[str], kinds: list[str] | None = None
 ) -> DataFrame:
     """Mean and variance of steps whose both ends lie between two quantiles of the window."""
-    rows = lagged_rows(long_rows(frames, kinds), frames.keys, [1])
     edges = stage(value_quantiles(frames, kinds, list(CORRIDOR)), "edges")
     corridors = [x for x in CORRIDORS if any(n.endswith(f"__qh_{x[1]}__ql_{x[0]}") for n in names)]
     places = [(CORRIDOR.index(low), CORRIDOR.index(high)) for low, high in corridors]
@@ -212,9 +211,21 @@ def change_quantiles(
             out[at] = np.swapaxes(terms[mine] @ inside.astype(float), 1, 2)
         return [out.reshape(len(out), -1)]
 
-    blocks = packed(frames, rows, ("lag_1", "v"))
-    found = per_window(frames, blocks, edges, ("lag_1", "v"), ("q",), sums, {"t": T.ArrayType(T.DoubleType())})
-    width = 4 * len(places)
+    def sums_of_block(rows: list[np.ndarray], stats: list[np.ndarray]) -> list[np.ndarray]:
+        step = rows[1] - rows[0]
+        terms = np.stack([np.ones_like(step), step, np.abs(step), step * step])
+        terms = np.where(np.isnan(terms) | np.isnan(rows[0]), 0.0, terms)
+        left, right = (stats[0][:, side] for side in (lower, upper))
+        found = sums_within(np.fmin(*rows), np.fmax(*rows), terms, left.ravel(), right.ravel())
+        found = np.where((left < right).reshape(-1, 1), found, 0.0)
+        return [found.reshape(len(left), -1)]
+
+    outputs, width = {"t": T.ArrayType(T.DoubleType())}, 4 * len(places)
+    if frames.series.longest > BLOCK:
+        found = per_prefix(frames, long_rows(frames, kinds), edges, ("q",), sums_of_block, sums, outputs)
+    else:
+        rows = lagged_rows(long_rows(frames, kinds), frames.keys, [1])
+        found = per_window(frames, packed(frames, rows, ("lag_1", "v")), edges, ("lag_1", "v"), ("q",), sums, outputs)
     stems = {}
     for i, (low, high) in enumerate(corridors):
         for is_abs in (False, True):
@@ -230,7 +241,8 @@ def change_quantiles(
         values = np.stack([first, spread], axis=3)
         return values[:, chosen[:, 0], chosen[:, 1], chosen[:, 2]], None
 
-    return finished(window_totals(frames, found, width), frames.window_keys, "t", list(names), finish)
+    table = window_totals(frames, found, width, BLOCK)
+    return finished(table, frames.window_keys, "t", list(names), finish)
 
 
 def mass_quantiles(frames: Frames, names: list[str], kinds: list[str] | None = None) -> DataFrame:
