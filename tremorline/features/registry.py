@@ -13,10 +13,13 @@ from tremorline.features.rows import union_all
 from tremorline.operators.indexing import quoted
 from tremorline.operators.quantiles import group_quantiles
 from tremorline.operators.rolling import Frames
-from tremorline.session import stage
+from tremorline.session import stage, stage_folder, staging_scope
 
 Family = Callable[[Frames, list[str], list[str]], DataFrame]
 
+# Calls of more families write down each family's result before the next one runs.
+FAMILIES_AT_ONCE = 4
+
 # The ten features of the minimal set.
 MINIMAL = (
     "sum_values",
@@ -83,7 +86,9 @@ def extract_features(frames: Frames, spec: list[str] | dict[str, list[str]]) ->
     """Long features: window keys, ``kind``, ``feature``, ``value``.
 
     ``spec`` is a list of features for every axis or a list per axis. Only the families
-    that are asked for run, and only with the aggregates they need.
+    that are asked for run, and only with the aggregates they need. Where many families are
+    asked for, each one's features are staged, and its shuffles and its own staged tables go,
+    before the next family runs: disk holds the features and one family's work at a time.
     """
     if frames.series.nulls:
         raise ValueError("fill missing values before extracting features")
@@ -95,7 +100,17 @@ def extract_features(frames: Frames, spec: list[str] | dict[str, list[str]]) ->
     # Families of one call share window statistics, packed values and quantiles.
     shared = {"probabilities": sorted({p for grid in asked for p in grid})} if len(asked) > 1 else {}
     shared["blocks"] = all(wanted & set(families()[f][1]) for f in ("beyond", "strikes"))
+    many = sum(bool(wanted & set(names)) for _, names in families().values()) > FAMILIES_AT_ONCE
+    spark, folder = frames.rows.sparkSession, stage_folder(frames.rows.sparkSession)
+    shared["folder"] = folder
     frames = replace(frames, shared=shared)
+
+    def computed(family: Family, names: list[str], kinds: list[str]) -> DataFrame:
+        if not many:
+            return family(frames, names, kinds)
+        with staging_scope(spark):
+            return stage(family(frames, names, kinds), "family", folder)
+
     tables = []
     for family, names in families().values():
         chosen: dict[tuple[str, ...], list[str]] = {}
@@ -103,7 +118,7 @@ def extract_features(frames: Frames, spec: list[str] | dict[str, list[str]]) ->
             mine = tuple(n for n in names if n in set(wanted))
             if mine:
                 chosen.setdefault(mine, []).append(kind)
-        tables += [family(frames, list(mine), kinds) for mine, kinds in chosen.items()]
+        tables += [computed(family, list(mine), kinds) for mine, kinds in chosen.items()]
     return union_all(tables)
 
 

@@ -46,7 +46,7 @@ class Frames:
     def once(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
         """The staged table of that name, made when it is first asked for."""
         if key not in self.shared:
-            self.shared[key] = stage(make(), str(key[0]))
+            self.shared[key] = stage(make(), str(key[0]), self.shared.get("folder"))
         return self.shared[key]
 
     def upto(

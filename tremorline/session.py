@@ -78,22 +78,42 @@ def staging_scope(spark: SparkSession) -> Iterator[None]:
         delete_folder(spark, _open_scopes.pop())
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """Where tables are staged: the open scope if there is one."""
+    return _open_scopes[-1] if _open_scopes else stage_root(spark)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A new folder for a staged table, in the open scope if there is one."""
-    folder = _open_scopes[-1] if _open_scopes else stage_root(spark)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a staged table."""
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+# Shuffle files of a statement go when it ends, not when the driver collects its garbage.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Statements run inside leave no shuffle files."""
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
     The table survives lost executors, cuts the lineage, keeps column pruning and
     filter pushdown for every reader, and gives the optimizer a true size, so that it
     broadcasts a staged lookup only when the lookup is below its threshold. It costs a
     write and a read of the table, and its files until the enclosing ``staging_scope``
-    ends or, outside of one, until the folder is cleared.
+    ends or, outside of one, until the folder is cleared. Its shuffle files go at once.
     """
     spark = df.sparkSession
-    path = stage_path(spark, name)
-    df.write.parquet(path)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else stage_path(spark, name)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
